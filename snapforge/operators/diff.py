@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from snapforge.catalog import Catalog
 from snapforge.functions.names import qualified_name
+from snapforge.session import keep
 
 # Order of entities and operations in a full diff.
 ENTITIES = ("table", "column", "foreign_key", "unique", "check", "index", "sequence")
@@ -86,39 +87,44 @@ def diff_tables(src: Catalog, tgt: Catalog) -> DataFrame:
     return s.join(t, ["schema", "table"], "full_outer").withColumn("op", op).filter("op is not null").select("schema", "table", "op")
 
 
-def diff_columns(src: Catalog, tgt: Catalog) -> DataFrame:
-    """Columns to create, drop and modify in the tables that both catalogs have."""
-    common = names_in_both(_table_keys(src.tables), _table_keys(tgt.tables))
-    diff = _compare(src.columns, tgt.columns, ["schema", "table", "name"], COLUMN_FIELDS)
-    return diff.join(common, ["schema", "table"], "left_semi").select(*diff.columns)
+def _without(diff: DataFrame, gone: DataFrame, schema: str = "schema", table: str = "table") -> DataFrame:
+    """Drop changes of tables that are themselves created or dropped."""
+    skip = gone.select(F.col("schema").alias(schema), F.col("table").alias(table))
+    return diff.join(skip, [schema, table], "left_anti").select(*diff.columns)
 
 
-def _without(diff: DataFrame, skip: DataFrame, schema: str = "schema", table: str = "table") -> DataFrame:
-    """Drop changes of tables that are themselves created or dropped."""
-    gone = skip.select(F.col("schema").alias(schema), F.col("table").alias(table))
-    return diff.join(gone, [schema, table], "left_anti").select(*diff.columns)
+# The ``gone`` argument below takes the result of ``diff_tables`` when it is already at hand.
 
 
-def diff_foreign_keys(src: Catalog, tgt: Catalog) -> DataFrame:
+def diff_columns(src: Catalog, tgt: Catalog, gone: DataFrame | None = None) -> DataFrame:
+    """Columns to create, drop and modify in the tables that both catalogs have."""
+    diff = _compare(src.columns, tgt.columns, ["schema", "table", "name"], COLUMN_FIELDS)
+    return _without(diff, diff_tables(src, tgt) if gone is None else gone)
+
+
+def diff_foreign_keys(src: Catalog, tgt: Catalog, gone: DataFrame | None = None) -> DataFrame:
     """Foreign keys by source table and constraint. The column lists compare as sets."""
     keys = ["src_schema", "src_table", "constraint"]
     diff = _compare(src.foreign_keys, tgt.foreign_keys, keys, FOREIGN_KEY_FIELDS, ("src_columns", "ref_columns"))
-    return _without(diff, diff_tables(src, tgt), "src_schema", "src_table")
+    return _without(diff, diff_tables(src, tgt) if gone is None else gone, "src_schema", "src_table")
 
 
-def diff_uniques(src: Catalog, tgt: Catalog) -> DataFrame:
+def diff_uniques(src: Catalog, tgt: Catalog, gone: DataFrame | None = None) -> DataFrame:
+    """Unique constraints by table and constraint."""
     diff = _compare(src.uniques, tgt.uniques, ["schema", "table", "constraint"], UNIQUE_FIELDS)
-    return _without(diff, diff_tables(src, tgt))
+    return _without(diff, diff_tables(src, tgt) if gone is None else gone)
 
 
-def diff_checks(src: Catalog, tgt: Catalog) -> DataFrame:
+def diff_checks(src: Catalog, tgt: Catalog, gone: DataFrame | None = None) -> DataFrame:
+    """Check constraints by table and constraint; their texts are compared."""
     diff = _compare(src.checks, tgt.checks, ["schema", "table", "constraint"], CHECK_FIELDS)
-    return _without(diff, diff_tables(src, tgt))
+    return _without(diff, diff_tables(src, tgt) if gone is None else gone)
 
 
-def diff_indexes(src: Catalog, tgt: Catalog) -> DataFrame:
+def diff_indexes(src: Catalog, tgt: Catalog, gone: DataFrame | None = None) -> DataFrame:
+    """Indexes by table and index name."""
     diff = _compare(src.indexes, tgt.indexes, ["schema", "table", "name"], INDEX_FIELDS)
-    return _without(diff, diff_tables(src, tgt))
+    return _without(diff, diff_tables(src, tgt) if gone is None else gone)
 
 
 def diff_sequences(src: Catalog, tgt: Catalog) -> DataFrame:
@@ -155,16 +161,24 @@ def _unified(diff: DataFrame, entity: str) -> DataFrame:
 
 
 def diff_catalog(src: Catalog, tgt: Catalog, skip_sequences: bool = False) -> DataFrame:
-    """All differences, in the order in which they would be applied."""
+    """All differences, in the order in which they would be applied.
+
+    The table changes are needed by every other comparison, so they are written once.
+    """
+    gone = keep(diff_tables(src, tgt), "tables")
     parts = {
-        "table": diff_tables, "column": diff_columns, "foreign_key": diff_foreign_keys, "unique": diff_uniques,
-        "check": diff_checks, "index": diff_indexes, "sequence": diff_sequences,
+        "table": gone,
+        "column": diff_columns(src, tgt, gone),
+        "foreign_key": diff_foreign_keys(src, tgt, gone),
+        "unique": diff_uniques(src, tgt, gone),
+        "check": diff_checks(src, tgt, gone),
+        "index": diff_indexes(src, tgt, gone),
     }
+    if not skip_sequences:
+        parts["sequence"] = diff_sequences(src, tgt)
     out = None
-    for entity in ENTITIES:
-        if entity == "sequence" and skip_sequences:
-            continue
-        one = _unified(parts[entity](src, tgt), entity)
+    for entity, diff in parts.items():
+        one = _unified(diff, entity)
         out = one if out is None else out.unionByName(one)
     by_table = F.when(F.col("entity") == "column", F.col("table"))
     return out.orderBy(_rank(F.col("entity"), ENTITIES), by_table, _rank(F.col("op"), OPERATIONS), "qualified_name", "table")

@@ -27,34 +27,45 @@ def _pairs(edges: DataFrame) -> DataFrame:
     return edges.select("src", "ref").distinct()
 
 
-def dependency_levels(edges: DataFrame, nodes: DataFrame | None = None) -> DataFrame:
-    """``node``, ``level``: 0 without parents, else one more than the highest parent.
+def _peel(pairs: DataFrame) -> tuple[list[DataFrame], bool]:
+    """The edges that are left after each round, and whether they ran out.
 
-    Self references are ignored; any other cycle is an error, see ``break_edges``. ``nodes`` adds
-    nodes without edges.
+    A round drops the edges whose ref has no edge of its own any more. A node is the src of an edge
+    in as many rounds as its longest path is long; edges into or on a cycle are never dropped.
     """
-    pairs = _pairs(edges)
+    rounds: list[DataFrame] = []
+    left, size = pairs, pairs.count()
+    while size:
+        rounds.append(left)
+        waiting = left.select(F.col("src").alias("ref")).distinct()
+        left = keep(left.join(waiting, "ref", "left_semi").select("src", "ref"), "edges")
+        before, size = size, left.count()
+        if size == before:
+            return rounds, False
+    return rounds, True
+
+
+def _levels(pairs: DataFrame, rounds: list[DataFrame], nodes: DataFrame | None) -> DataFrame:
     every = pairs.select(F.col("src").alias("node")).union(pairs.select("ref"))
     if nodes is not None:
         every = every.union(nodes.select("node"))
-    left = keep(pairs.filter("src <> ref"), "edges")
-    pending = keep(every.distinct(), "nodes")
-    found: list[DataFrame] = []
-    while True:
-        # Nodes that still have a parent in the remaining edges wait for a later round.
-        waiting = keep(left.select(F.col("src").alias("node")).distinct(), "waiting")
-        ready = keep(pending.join(waiting, "node", "left_anti"), "ready")
-        if ready.isEmpty():
-            raise ValueError("the edges contain a cycle; remove break_edges first")
-        found.append(ready.withColumn("level", F.lit(len(found))))
-        if waiting.isEmpty():
-            break
-        left = keep(left.join(ready.withColumnRenamed("node", "ref"), "ref", "left_anti"), "edges")
-        pending = waiting
-    out = found[0]
-    for f in found[1:]:
-        out = out.unionByName(f)
-    return out
+    counted = every.select("node", F.lit(0).alias("_in"))
+    for left in rounds:
+        counted = counted.union(left.select("src").distinct().select("src", F.lit(1)))
+    return counted.groupBy("node").agg(F.sum("_in").cast("int").alias("level"))
+
+
+def dependency_levels(edges: DataFrame, nodes: DataFrame | None = None) -> DataFrame:
+    """``node``, ``level``: 0 without parents, else one more than the highest parent.
+
+    Self references are ignored; any other cycle is an error, see ``load_order``. ``nodes`` adds
+    nodes without edges.
+    """
+    pairs = keep(_pairs(edges), "edges")
+    rounds, acyclic = _peel(pairs.filter("src <> ref"))
+    if not acyclic:
+        raise ValueError("the edges contain a cycle; use load_order")
+    return _levels(pairs, rounds, nodes)
 
 
 def reachability(edges: DataFrame) -> DataFrame:
@@ -189,10 +200,14 @@ def break_edges(edges: DataFrame) -> DataFrame:
 
 
 def load_order(edges: DataFrame, nodes: DataFrame | None = None) -> DataFrame:
-    """Levels after the cycles are broken; always defined."""
-    broken = _pairs(break_edges(edges))
-    ends = _pairs(edges)
-    every = ends.select(F.col("src").alias("node")).union(ends.select("ref"))
-    if nodes is not None:
-        every = every.union(nodes.select("node"))
-    return dependency_levels(ends.join(broken, ["src", "ref"], "left_anti"), every)
+    """``dependency_levels`` without the edges of ``break_edges``; defined for every graph.
+
+    Cycles are only searched, in the edges that are left over, when the first pass does not end.
+    """
+    pairs = keep(_pairs(edges), "edges")
+    proper = pairs.filter("src <> ref")
+    rounds, acyclic = _peel(proper)
+    if not acyclic:
+        broken = keep(break_edges(rounds[-1]), "broken")
+        rounds, _ = _peel(keep(proper.join(broken, ["src", "ref"], "left_anti"), "edges"))
+    return _levels(pairs, rounds, nodes)

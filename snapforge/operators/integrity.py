@@ -7,10 +7,13 @@ broken keys.
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from snapforge.catalog import Catalog
+from snapforge.functions.names import qualify
 from snapforge.functions.types import spark_type
 from snapforge.session import keep
 
@@ -91,8 +94,6 @@ def check_predicate(condef: str) -> str:
     ``regexp_like(a, b)`` is kept (Spark has it), character set prefixes and ``::type`` casts of
     literals go.
     """
-    import re
-
     text = condef.strip()
     wrapped = re.fullmatch(r"(?is)check\s*\((.*)\)(\s+not\s+valid)?", text)
     if wrapped:
@@ -146,21 +147,36 @@ def length_violations(df: DataFrame, columns: DataFrame) -> DataFrame:
     return df.withColumn("violations", F.array_compact(F.array(*tests))).filter(F.size("violations") > 0)
 
 
+def _row_rules(df: DataFrame, table: str, checks: list[tuple[str, str]], required: list[str]) -> DataFrame:
+    """Check rules (broken rows) and the NOT NULL rule (columns with nulls) of one table, in one pass."""
+    counts = [F.count_if(~F.expr(p)).alias(f"_c{i}") for i, (_, p) in enumerate(checks)]
+    nulls = F.lit(0).cast("bigint")
+    for c in _cols(required):
+        nulls = nulls + F.when(F.count_if(c.isNull()) > 0, 1).otherwise(0)
+    found = df.agg(*counts, nulls.alias("_nulls"))
+
+    def row(rule: str, constraint: str, column: str) -> Column:
+        return F.struct(
+            F.lit(rule).alias("rule"), F.lit(table).alias("table"), F.lit(constraint).alias("constraint"), F.col(column).alias("violations")
+        )
+
+    rows = [row("check", name, f"_c{i}") for i, (name, _) in enumerate(checks)]
+    if required:
+        rows.append(row("not null", "", "_nulls"))
+    return found.select(F.inline(F.array(*rows)))
+
+
 def violation_report(dfs: dict[str, DataFrame], catalog: Catalog) -> DataFrame:
     """Number of violations per declared rule: ``rule``, ``table``, ``constraint``, ``violations``.
 
-    What a database would refuse on restore, as one lazy DataFrame.
+    What a database would refuse on restore, as one lazy DataFrame: keys count by value, checks by
+    row, NOT NULL by column. The loops run over the rules of the catalog, not over data.
     """
-    from snapforge.functions.names import qualify
-
     parts: list[DataFrame] = []
 
     def add(rule: str, table: str, constraint: str, broken: DataFrame) -> None:
-        parts.append(
-            broken.agg(F.count(F.lit(1)).alias("violations")).select(
-                F.lit(rule).alias("rule"), F.lit(table).alias("table"), F.lit(constraint).alias("constraint"), "violations"
-            )
-        )
+        named = [F.lit(rule).alias("rule"), F.lit(table).alias("table"), F.lit(constraint).alias("constraint")]
+        parts.append(broken.agg(F.count(F.lit(1)).alias("violations")).select(*named, "violations"))
 
     for k in catalog.keys.collect():
         table = qualify(k["schema"], k["table"])
@@ -174,16 +190,16 @@ def violation_report(dfs: dict[str, DataFrame], catalog: Catalog) -> DataFrame:
         child, parent = qualify(f["src_schema"], f["src_table"]), qualify(f["ref_schema"], f["ref_table"])
         if child in dfs and parent in dfs:
             add("foreign key", child, f["constraint"], orphan_keys(dfs[child], dfs[parent], f["src_columns"], f["ref_columns"]))
+    checks: dict[str, list[tuple[str, str]]] = {}
     for c in catalog.checks.collect():
-        table = qualify(c["schema"], c["table"])
-        if table in dfs:
-            add("check", table, c["constraint"], check_violations(dfs[table], check_predicate(c["condef"])))
+        checks.setdefault(qualify(c["schema"], c["table"]), []).append((c["constraint"], check_predicate(c["condef"])))
     required: dict[str, list[str]] = {}
     for c in catalog.columns.filter("not nullable").select("schema", "table", "name").collect():
         required.setdefault(qualify(c["schema"], c["table"]), []).append(c["name"])
-    for table, names in required.items():
-        if table in dfs:
-            add("not null", table, "", not_null_violations(dfs[table], sorted(n for n in names if n in dfs[table].columns)))
+    for table in sorted((set(checks) | set(required)) & set(dfs)):
+        names = sorted(n for n in required.get(table, []) if n in dfs[table].columns)
+        if names or checks.get(table):
+            parts.append(_row_rules(dfs[table], table, checks.get(table, []), names))
     if not parts:
         return catalog.tables.sparkSession.createDataFrame([], "rule string, table string, constraint string, violations bigint")
     out = parts[0]

@@ -8,12 +8,12 @@ per range partition.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-from snapforge.session import keep
+from snapforge.session import keep, range_partitions
 
 # Paging limits.
 PAGES_PER_TABLE = 10
@@ -75,10 +75,12 @@ def with_position(df: DataFrame, sort: list[Column]) -> DataFrame:
     and not one.
     """
     columns = [_sort_key(f) for f in df.schema.fields]
+    by = [*sort, F.col("_tie"), F.col("_copy")]
+    n = range_partitions(df)
     return (
         df.withColumn("_tie", F.xxhash64(*columns))
         .withColumn("_copy", F.rand(17))
-        .repartitionByRange(*sort, F.col("_tie"), F.col("_copy"))
+        .repartitionByRange(*([n, *by] if n else by))
         .sortWithinPartitions(*sort, F.col("_tie"))
         .drop("_tie", "_copy")
         .withColumn(POSITION, F.monotonically_increasing_id())
@@ -100,13 +102,19 @@ def partition_offsets(positioned: DataFrame) -> DataFrame:
     return counts.withColumn("_before", F.coalesce(F.sum("_rows").over(before), F.lit(0)))
 
 
-def number_positioned(positioned: DataFrame, name: str = "row_num", start: int = 1) -> DataFrame:
-    """Replace the position column by the global row number."""
-    offsets = F.broadcast(partition_offsets(positioned).select("_part", "_before"))
+def number_positioned(
+    positioned: DataFrame, name: str = "row_num", start: int = 1, offsets: DataFrame | None = None
+) -> DataFrame:
+    """Replace the position column by the global row number.
+
+    The broadcast side has one row per range partition, of which there are ``MAX_PARTITIONS`` at
+    most (or the session's number of shuffle partitions).
+    """
+    offsets = partition_offsets(positioned) if offsets is None else offsets
     position = F.col(POSITION)
     return (
         positioned.withColumn("_part", part_of(position))
-        .join(offsets, "_part")
+        .join(F.broadcast(offsets.select("_part", "_before")), "_part")
         .withColumn(name, position.bitwiseAND(F.lit(_POSITION_MASK)) + F.col("_before") + F.lit(start))
         .drop("_part", "_before", POSITION)
     )
@@ -144,7 +152,7 @@ def read_page(df: DataFrame, page: int, size: int, order: list[str] | None = Non
     return page_of(keep(with_position(df, sort_order(df, order, nulls)), "paged"), page, size)
 
 
-def page_of(positioned: DataFrame, page: int, size: int) -> DataFrame:
+def page_of(positioned: DataFrame, page: int, size: int, offsets: DataFrame | None = None) -> DataFrame:
     """Rows of one page of a positioned table.
 
     The first and last position of the page are looked up in the partition offsets (two numbers
@@ -152,25 +160,15 @@ def page_of(positioned: DataFrame, page: int, size: int) -> DataFrame:
     groups outside the page.
     """
     first, last = page * size, (page + 1) * size - 1
-    offsets = partition_offsets(positioned).filter(
-        (F.col("_before") <= last) & (F.col("_before") + F.col("_rows") > first)
-    )
-    bits = F.shiftleft(F.col("_part"), _POSITION_BITS)
-    bounds = offsets.agg(
-        F.min(bits + F.greatest(F.lit(first) - F.col("_before"), F.lit(0))).alias("low"),
-        F.max(bits + F.least(F.lit(last) - F.col("_before"), F.col("_rows") - 1)).alias("high"),
+    offsets = partition_offsets(positioned) if offsets is None else offsets
+    touched = offsets.filter((F.col("_before") <= last) & (F.col("_before") + F.col("_rows") > first))
+    part = F.shiftleft(F.col("_part"), _POSITION_BITS)
+    bounds = touched.agg(
+        F.min(part + F.greatest(F.lit(first) - F.col("_before"), F.lit(0))).alias("low"),
+        F.max(part + F.least(F.lit(last) - F.col("_before"), F.col("_rows") - 1)).alias("high"),
     ).head()
-    if bounds["low"] is None:
-        return number_positioned(positioned.filter(F.lit(False)))
-    hit = positioned.filter(F.col(POSITION).between(bounds["low"], bounds["high"]))
-    before = F.broadcast(offsets.select("_part", "_before"))
-    position = F.col(POSITION)
-    return (
-        hit.withColumn("_part", part_of(position))
-        .join(before, "_part")
-        .withColumn("row_num", position.bitwiseAND(F.lit(_POSITION_MASK)) + F.col("_before") + 1)
-        .drop("_part", "_before", POSITION)
-    )
+    inside = F.lit(False) if bounds["low"] is None else F.col(POSITION).between(bounds["low"], bounds["high"])
+    return number_positioned(positioned.filter(inside), offsets=offsets)
 
 
 def running_totals(
@@ -210,17 +208,19 @@ def running_totals(
 
 
 def write_positioned(
-    df: DataFrame, path: str, order: list[str] | None = None, nulls: str = "last", compression: str | None = None
+    df: DataFrame,
+    path: str,
+    offsets_path: str,
+    order: list[str] | None = None,
+    nulls: str = "last",
+    compression: str | None = None,
 ) -> None:
-    """Store a table in key order with its position column."""
+    """Store a table in key order with its position column, and beside it the partition offsets."""
     writer = with_position(df, sort_order(df, order, nulls)).write.mode("errorifexists")
     if compression:
         writer = writer.option("compression", compression)
     writer.parquet(path)
-
-
-def read_positioned(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.parquet(path)
+    partition_offsets(df.sparkSession.read.parquet(path)).write.mode("errorifexists").parquet(offsets_path)
 
 
 __all__ = [
@@ -232,7 +232,6 @@ __all__ = [
     "page_of",
     "page_size",
     "read_page",
-    "read_positioned",
     "row_count",
     "row_sequence",
     "running_totals",

@@ -8,6 +8,10 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 CHECKPOINT_KEY = "spark.checkpoint.dir"
+SHUFFLE_KEY = "spark.sql.shuffle.partitions"
+# Input bytes per shuffle partition, and the most partitions one shuffle gets.
+PARTITION_BYTES = 128 << 20
+MAX_PARTITIONS = 100_000
 
 
 def build_session(app: str = "snapforge", master: str | None = None, **conf: str) -> SparkSession:
@@ -31,6 +35,22 @@ def build_session(app: str = "snapforge", master: str | None = None, **conf: str
     return builder.getOrCreate()
 
 
+def partitions_for_bytes(size: int) -> int:
+    """Shuffle partitions that keep each of them near ``PARTITION_BYTES``."""
+    return max(1, min(MAX_PARTITIONS, -(-size // PARTITION_BYTES)))
+
+
+def range_partitions(df: DataFrame) -> int | None:
+    """Number of partitions for a full shuffle of ``df``, or None for the session's setting.
+
+    The planner's size estimate of the input decides. For inputs that the setting covers, None
+    leaves it to adaptive execution to merge small partitions.
+    """
+    estimate = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    wanted = partitions_for_bytes(estimate)
+    return wanted if wanted > int(df.sparkSession.conf.get(SHUFFLE_KEY)) else None
+
+
 def _scratch_base(spark: SparkSession) -> str:
     base = spark.conf.get(CHECKPOINT_KEY, None) or spark.sparkContext.getCheckpointDir()
     if base:

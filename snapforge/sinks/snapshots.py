@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import re
+from collections.abc import Callable
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
 from datetime import datetime
 
@@ -9,11 +12,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from snapforge.operators.manifest import MANIFEST, assert_capacity
-from snapforge.operators.paging import POSITION, write_positioned
-from snapforge.session import delete_path, hadoop_path
-from snapforge.sources.snapshots import manifest_path, read_manifest, table_path, version_path
+from snapforge.operators.paging import partition_offsets, write_positioned
+from snapforge.session import delete_path, hadoop_path, path_exists
+from snapforge.sources.snapshots import manifest_path, offsets_path, read_manifest, table_path, version_path
 
+# Content type of a stored table, tables written at the same time.
 CONTENT_TYPE = "application/vnd.apache.parquet"
+PARALLELISM = 10
 
 
 @dataclass(frozen=True)
@@ -33,6 +38,18 @@ def guard_writable(target) -> None:
         raise PermissionError(f"{getattr(target, 'name', target)} is read-only")
 
 
+def _check_name(kind: str, name: str) -> None:
+    """Names become folder names, so they keep to characters that need no escaping."""
+    if not re.fullmatch(r"[\w.$-]+", name):
+        raise ValueError(f"{kind} name {name!r} cannot be a folder name")
+
+
+def _each_table(names, work: Callable[[str], int]) -> dict[str, int]:
+    """Run ``work`` for every table, several at a time, so that small tables do not wait in line."""
+    with ThreadPoolExecutor(PARALLELISM) as pool:
+        return dict(zip(names, pool.map(work, names)))
+
+
 def folder_size(spark: SparkSession, path: str) -> int:
     """Bytes below a folder, from the file system listing."""
     fs, target = hadoop_path(spark, path)
@@ -68,18 +85,25 @@ def write_snapshot(
 
     Rows go through one range shuffle and are written once; the stored position column gives row
     numbers and pages later without another sort. An existing version is an error, and so is an
-    empty set of tables. Tables are written one after another, each with all executors.
+    empty set of tables.
     """
     guard_writable(storage)
     if not dfs:
         raise ValueError("nothing to store")
+    _check_name("data", data)
+    for table in dfs:
+        _check_name("table", table)
     spark = next(iter(dfs.values())).sparkSession
-    sizes = {}
-    for table, df in dfs.items():
+    if path_exists(spark, version_path(storage.root, data, version)):
+        raise FileExistsError(f"version {version} of {data} exists in {storage.name}")
+
+    def store(table: str) -> int:
         path = table_path(storage.root, data, version, table)
-        write_positioned(df, path, (pks or {}).get(table), nulls, compression)
-        sizes[table] = folder_size(spark, path)
-    return _finish(spark, storage, data, version, sizes, tags)
+        parts = offsets_path(storage.root, data, version, table)
+        write_positioned(dfs[table], path, parts, (pks or {}).get(table), nulls, compression)
+        return folder_size(spark, path)
+
+    return _finish(spark, storage, data, version, _each_table(list(dfs), store), tags)
 
 
 def _finish(spark, storage: Storage, data: str, version: int, sizes: dict[str, int], tags) -> DataFrame:
@@ -117,13 +141,17 @@ def write_fanout(
         write_snapshot(dfs, first, data, version, pks, tags, compression)
     spark = next(iter(dfs.values())).sparkSession
     for s in others:
-        sizes = {}
-        for table in dfs:
-            path = table_path(s.root, data, version, table)
-            stored = spark.read.parquet(table_path(first.root, data, version, table))
-            stored.write.mode("errorifexists").option("compression", compression).parquet(path)
-            sizes[table] = folder_size(spark, path)
-        rows = _finish(spark, s, data, version, sizes, tags)
+
+        def copy(table: str, to: Storage = s) -> int:
+            path = table_path(to.root, data, version, table)
+            for source, target in (
+                (offsets_path(first.root, data, version, table), offsets_path(to.root, data, version, table)),
+                (table_path(first.root, data, version, table), path),
+            ):
+                spark.read.parquet(source).write.mode("errorifexists").option("compression", compression).parquet(target)
+            return folder_size(spark, path)
+
+        rows = _finish(spark, s, data, version, _each_table(list(dfs), copy), tags)
         if s.record:
             recorded.append(rows)
     out = spark.createDataFrame([], MANIFEST)
@@ -155,17 +183,19 @@ def clear_version(spark: SparkSession, storage: Storage, data: str, version: int
     wanted = names if tables is None else set(tables)
     if not names or wanted - names:
         raise ValueError(f"unknown tables {sorted(wanted - names)} in version {version} of {data}")
-    sizes = {}
-    for table in sorted(names):
+
+    def carry(table: str) -> int:
         rows = spark.read.parquet(table_path(storage.root, data, version, table))
+        kept = rows.limit(0) if table in wanted else rows
         path = table_path(storage.root, data, version + 1, table)
-        (rows.limit(0) if table in wanted else rows).write.mode("errorifexists").parquet(path)
-        sizes[table] = folder_size(spark, path)
-    return _finish(spark, storage, data, version + 1, sizes, None)
+        kept.write.mode("errorifexists").parquet(path)
+        partition_offsets(kept).write.mode("errorifexists").parquet(offsets_path(storage.root, data, version + 1, table))
+        return folder_size(spark, path)
+
+    return _finish(spark, storage, data, version + 1, _each_table(sorted(names), carry), None)
 
 
 __all__ = [
-    "POSITION",
     "Storage",
     "clear_version",
     "delete_version",

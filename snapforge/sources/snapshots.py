@@ -1,7 +1,8 @@
 """Stored versions: folder layout and reads.
 
-Layout: ``<root>/data=<data>/version=<n>/table=<name>/`` with Parquet files in key order, and
-``<root>/manifest/data=<data>/version=<n>/`` with one row per table and storage.
+Layout: ``<root>/data=<data>/version=<n>/table=<name>/`` with Parquet files in key order, beside it
+``offsets=<name>/`` with one row per range partition, and ``<root>/manifest/data=<data>/version=<n>/``
+with one row per table and storage.
 """
 
 from __future__ import annotations
@@ -22,6 +23,10 @@ def table_path(root: str, data: str, version: int, table: str) -> str:
     return f"{version_path(root, data, version)}/table={table}"
 
 
+def offsets_path(root: str, data: str, version: int, table: str) -> str:
+    return f"{version_path(root, data, version)}/offsets={table}"
+
+
 def manifest_path(root: str) -> str:
     return f"{root}/manifest"
 
@@ -33,14 +38,16 @@ def read_snapshot(spark: SparkSession, root: str, data: str, version: int, table
 
 def read_numbered(spark: SparkSession, root: str, data: str, version: int, table: str) -> DataFrame:
     """Rows of one table with their ``row_num`` in the stored order; nothing is sorted again."""
-    return number_positioned(spark.read.parquet(table_path(root, data, version, table)))
+    offsets = spark.read.parquet(offsets_path(root, data, version, table))
+    return number_positioned(spark.read.parquet(table_path(root, data, version, table)), offsets=offsets)
 
 
 def read_snapshot_page(
     spark: SparkSession, root: str, data: str, version: int, table: str, page: int, size: int
 ) -> DataFrame:
     """One page of a stored table; files and row groups outside the page are skipped."""
-    return page_of(spark.read.parquet(table_path(root, data, version, table)), page, size)
+    offsets = spark.read.parquet(offsets_path(root, data, version, table))
+    return page_of(spark.read.parquet(table_path(root, data, version, table)), page, size, offsets)
 
 
 def read_version(spark: SparkSession, root: str, data: str, version: int) -> dict[str, DataFrame]:
