@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from checks import Registry, table
 from snapforge.catalog import SCHEMAS, Catalog, Column, ForeignKey
 from snapforge.operators import integrity as ig
+from snapforge.session import local_frame
 from snapforge.operators.sequences import SequenceMapping, advance_sequences, max_value, next_sequence_values
 
 _LENGTH_COLUMNS = [
@@ -166,7 +167,7 @@ def register(r: Registry) -> None:
 
     def sequence_frame(spark):
         full = SCHEMAS["sequences"]
-        return spark.createDataFrame([(s, n, 1, 1, None, 1, False, 1, 0) for s, n in _sequences], full)
+        return local_frame(spark, [(s, n, 1, 1, None, 1, False, 1, 0) for s, n in _sequences], full)
 
     def new_values(spark, d):
         dfs = {f"shop.{t}": table(spark, d, t) for t in ("customer", "orders", "lineitem", "part")}

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from snapforge.functions.names import qualified_name
 from snapforge.functions.types import type_facts
+from snapforge.session import local_frame
 
 SCHEMAS = {
     "tables": "schema string, table string",
@@ -108,7 +109,7 @@ class Catalog:
             if isinstance(given, DataFrame):
                 built[name] = given
             else:
-                built[name] = spark.createDataFrame([_as_row(r, SCHEMAS[name]) for r in given or []], SCHEMAS[name])
+                built[name] = local_frame(spark, [_as_row(r, SCHEMAS[name]) for r in given or []], SCHEMAS[name])
         if "tables" not in frames:
             built["tables"] = built["columns"].select("schema", "table").distinct()
         if schemas is None:
@@ -167,7 +168,7 @@ def catalog_columns(
                     "PRI" if f.name in pks.get(table, []) else None, None, None, f.nullable, (table, f.name) in ident,
                 )
             )
-    return spark.createDataFrame(rows, SCHEMAS["columns"])
+    return local_frame(spark, rows, SCHEMAS["columns"])
 
 
 def catalog_constraints(rows: DataFrame) -> dict[str, DataFrame]:

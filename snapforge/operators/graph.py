@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from snapforge.functions.names import qualified_name
-from snapforge.session import keep
+from snapforge.session import keep, local_frame
 
 
 def catalog_edges(foreign_keys: DataFrame) -> DataFrame:
@@ -166,7 +166,7 @@ def components(edges: DataFrame) -> DataFrame:
         )
         left = _trim(keep(rest.select("src", "ref"), "pairs"))
     if found is None:
-        return edges.sparkSession.createDataFrame([], "node string, root string")
+        return local_frame(edges.sparkSession, [], "node string, root string")
     return found
 
 

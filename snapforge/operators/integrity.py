@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from snapforge.catalog import Catalog
 from snapforge.functions.names import qualify
 from snapforge.functions.types import spark_type
-from snapforge.session import keep
+from snapforge.session import keep, local_frame
 
 
 def _cols(names: list[str]) -> list[Column]:
@@ -201,7 +201,7 @@ def violation_report(dfs: dict[str, DataFrame], catalog: Catalog) -> DataFrame:
         if names or checks.get(table):
             parts.append(_row_rules(dfs[table], table, checks.get(table, []), names))
     if not parts:
-        return catalog.tables.sparkSession.createDataFrame([], "rule string, table string, constraint string, violations bigint")
+        return local_frame(catalog.tables.sparkSession, [], "rule string, table string, constraint string, violations bigint")
     out = parts[0]
     for p in parts[1:]:
         out = out.unionByName(p)

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from snapforge.catalog import Catalog
 from snapforge.functions.masks import mask_fixed, mask_original, mask_random
 from snapforge.functions.names import qualify
+from snapforge.session import local_frame
 
 MASK_TYPES = ("ORIGINAL", "FIXED", "RANDOM")
 
@@ -40,7 +41,7 @@ class MaskTarget:
 
 def targets_frame(spark: SparkSession, targets: list[MaskTarget]) -> DataFrame:
     rows = [(t.schema, t.table, t.column) for t in targets]
-    return spark.createDataFrame(rows, "schema string, table string, column string")
+    return local_frame(spark, rows, "schema string, table string, column string")
 
 
 def validate_mask_config(catalog: Catalog, config: DataFrame) -> DataFrame:
@@ -97,29 +98,35 @@ def mask_columns(
 
     The config is checked against the catalog before any work.
     """
-    spark = catalog.columns.sparkSession
-    config = targets_frame(spark, targets)
-    errors = validate_mask_config(catalog, config).collect()  # at most one row per config row
+    facts = _target_facts(catalog, targets)
+    errors = [f"{name}.{column}: {fact['error']}" for (name, column), fact in facts.items() if fact["error"]]
+    errors += [f"{name}: no data" for name in sorted({n for n, _ in facts} - set(dfs))]
     if errors:
-        raise ValueError("; ".join(f"{qualify(e['schema'], e['table'])}.{e['column']}: {e['error']}" for e in errors))
-    lengths = {
-        (qualify(r["schema"], r["table"]), r["name"]): r["max_length"]
-        for r in catalog.columns.join(
-            config.select(F.coalesce("schema", F.lit("")).alias("_s"), F.col("table").alias("_t"), F.col("column").alias("_c")),
-            (F.coalesce("schema", F.lit("")) == F.col("_s")) & (F.col("table") == F.col("_t")) & (F.col("name") == F.col("_c")),
-            "left_semi",
-        )
-        .select("schema", "table", "name", "max_length")
-        .collect()  # one row per masked column
-    }
-    by_table: dict[str, dict[str, int | None]] = {}
-    for t in targets:
-        name = qualify(t.schema, t.table)
-        by_table.setdefault(name, {})[t.column] = lengths[(name, t.column)]
+        raise ValueError("; ".join(errors))
     out = dict(dfs)
-    for t in targets:
-        name = qualify(t.schema, t.table)
-        if name not in dfs:
-            raise ValueError(f"no data for table {name}")
-        out[name] = mask_table(dfs[name], by_table[name], mask, catalog.primary_key(t.schema, t.table), name)
+    for name in {n for n, _ in facts}:
+        lengths = {column: fact["max_length"] for (table, column), fact in facts.items() if table == name}
+        pk = next(fact["pk"] for (table, _), fact in facts.items() if table == name)
+        out[name] = mask_table(dfs[name], lengths, mask, pk, name)
     return out
+
+
+def _target_facts(catalog: Catalog, targets: list[MaskTarget]) -> dict[tuple[str, str], dict]:
+    """Per (table, column) asked for: the error or None, the declared length, the key columns.
+
+    One job; its result has one row per target.
+    """
+    table_key = [F.coalesce("schema", F.lit("")).alias("_schema"), F.col("table").alias("_table")]
+    config = targets_frame(catalog.columns.sparkSession, targets).select(*table_key, "column")
+    known = catalog.tables.select(*table_key, F.lit(True).alias("_known")).distinct()
+    columns = catalog.columns.select(*table_key, F.col("name").alias("column"), "max_length", F.lit(True).alias("_found"))
+    keys = catalog.keys.select(*table_key, F.col("columns").alias("pk"))
+    error = F.when(F.col("_known").isNull(), "table not found").when(F.col("_found").isNull(), "column not found")
+    rows = (
+        config.join(known, ["_schema", "_table"], "left")
+        .join(columns, ["_schema", "_table", "column"], "left")
+        .join(keys, ["_schema", "_table"], "left")
+        .withColumn("error", error)
+        .collect()
+    )
+    return {(qualify(r["_schema"], r["_table"]), r["column"]): r.asDict() for r in rows}

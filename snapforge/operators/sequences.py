@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from snapforge.functions.names import qualified_name, qualify
+from snapforge.session import local_frame
 
 # Placeholders of a sequence name template.
 TABLE_PLACEHOLDER = "{tableName}"
@@ -74,7 +75,7 @@ def next_sequence_values(
         ]
         parts.append(maxima.select(F.inline(F.array(*pairs))))
     if not parts:
-        return sequences.sparkSession.createDataFrame([], RESULT)
+        return local_frame(sequences.sparkSession, [], RESULT)
     values = parts[0]
     for p in parts[1:]:
         values = values.unionByName(p)

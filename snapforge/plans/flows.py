@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Callable
 from dataclasses import dataclass, field
-from datetime import datetime
+from datetime import UTC, datetime
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from snapforge.catalog import Catalog
 from snapforge.functions.names import qualify
@@ -15,6 +16,7 @@ from snapforge.operators.evolve import OpResult, column_ops, evolve_table
 from snapforge.operators.manifest import RUN_LOG
 from snapforge.operators.masking import Mask, MaskTarget, mask_columns
 from snapforge.operators.schema_map import map_schema
+from snapforge.session import local_frame
 from snapforge.sinks.restore import restore_all
 from snapforge.sinks.snapshots import Storage, write_fanout
 from snapforge.sources.snapshots import read_version
@@ -33,7 +35,7 @@ class RunLog:
         results: list[object] = []
         failure: Exception | None = None
         for i, (kind, step) in enumerate(steps):
-            start = datetime.now()
+            start = datetime.now(UTC)
             status = "SKIPPED"
             if failure is None:
                 try:
@@ -41,13 +43,13 @@ class RunLog:
                     status = "SUCCESS"
                 except Exception as e:  # noqa: BLE001 - recorded, then raised below
                     failure, status = e, "FAILED"
-            self.rows.append((self.run_id, self.flow, i, kind, status, start, datetime.now()))
+            self.rows.append((self.run_id, self.flow, i, kind, status, start, datetime.now(UTC)))
         if failure is not None:
             raise failure
         return results
 
     def frame(self, spark: SparkSession) -> DataFrame:
-        return spark.createDataFrame(self.rows, RUN_LOG)
+        return local_frame(spark, self.rows, RUN_LOG)
 
     def append_to(self, spark: SparkSession, path: str) -> None:
         """Add this run to a stored run log."""
@@ -55,7 +57,7 @@ class RunLog:
 
     def tags(self) -> dict[str, str]:
         """Tags of a version made by this run: date, time and flow."""
-        now = datetime.now()
+        now = datetime.now(UTC)
         return {"date": now.strftime("%Y-%m-%d"), "time": now.strftime("%H:%M:%S"), "flow": self.flow}
 
 
@@ -129,7 +131,6 @@ def update_schema(
     if dry_run:
         return dfs, changes, {}
     columns = diff_columns(wanted, current)
-    spark = wanted.tables.sparkSession
     rows = columns.select("schema", "table").distinct().collect()  # one row per changed table
     out = dict(dfs)
     outcomes: dict[str, list[OpResult]] = {}
@@ -142,12 +143,9 @@ def update_schema(
     dropped = changes.filter("entity = 'table' and op = 'DROP'").select("qualified_name").collect()
     for r in dropped:
         out.pop(r[0], None)
-    del spark
     return out, changes, outcomes
 
 
 def _ordinals(catalog: Catalog, schema: str, table: str) -> list[str]:
-    from pyspark.sql import functions as F
-
     rows = catalog.columns.filter((F.coalesce("schema", F.lit("")) == schema) & (F.col("table") == table))
     return [r["name"] for r in rows.orderBy("ordinal", "name").select("name").collect()]

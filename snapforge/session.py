@@ -4,8 +4,12 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterable, Sequence
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 CHECKPOINT_KEY = "spark.checkpoint.dir"
 SHUFFLE_KEY = "spark.sql.shuffle.partitions"
@@ -84,6 +88,18 @@ def keep(df: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def local_frame(spark: SparkSession, rows: Iterable[Sequence], ddl: str) -> DataFrame:
+    """A small frame from Python rows, such as catalog entries.
+
+    Goes through Arrow, so it is a local relation of the plan: no job is needed to read it, and
+    joins with an empty one are removed by the planner.
+    """
+    schema = T.StructType.fromDDL(ddl)
+    names = schema.fieldNames()
+    data = pa.Table.from_pylist([dict(zip(names, r)) for r in rows], schema=to_arrow_schema(schema, timestamp_utc=True))
+    return spark.createDataFrame(data, schema=schema)
+
+
 def hadoop_path(spark: SparkSession, path: str):
     """(file system, path) of the Hadoop API for ``path``."""
     target = spark._jvm.org.apache.hadoop.fs.Path(path)

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from snapforge.catalog import Catalog, CatalogHook
 from snapforge.functions.names import qualified_name, qualify
 from snapforge.operators.graph import catalog_edges, load_order
+from snapforge.session import local_frame
 from snapforge.sinks.snapshots import guard_writable
 from snapforge.sources.tables import JdbcSource
 
@@ -149,7 +150,7 @@ def restore_all(
     if failed:
         bad = [f"{r[0]}: {r[4]}" for r in report if r[2] == "FAILED"]
         raise RestoreError("; ".join(bad), report)
-    return spark.createDataFrame(report, REPORT)
+    return local_frame(spark, report, REPORT)
 
 
 def _children_first(catalog: Catalog, names: list[str] | None) -> list[str]:

@@ -6,14 +6,14 @@ import re
 from collections.abc import Callable
 from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
-from datetime import datetime
+from datetime import UTC, datetime
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from snapforge.operators.manifest import MANIFEST, assert_capacity
 from snapforge.operators.paging import partition_offsets, write_positioned
-from snapforge.session import delete_path, hadoop_path, path_exists
+from snapforge.session import delete_path, hadoop_path, local_frame, path_exists
 from snapforge.sources.snapshots import manifest_path, offsets_path, read_manifest, table_path, version_path
 
 # Content type of a stored table, tables written at the same time.
@@ -63,7 +63,7 @@ def _record(
         (data, version, table, f"data={data}/version={version}", CONTENT_TYPE, size, [storage.name], tags or {}, now)
         for table, size in sizes.items()
     ]
-    return spark.createDataFrame(rows, MANIFEST)
+    return local_frame(spark, rows, MANIFEST)
 
 
 def _write_manifest(rows: DataFrame, root: str) -> None:
@@ -113,7 +113,7 @@ def _finish(spark, storage: Storage, data: str, version: int, sizes: dict[str, i
         except ValueError:
             delete_path(spark, version_path(storage.root, data, version))
             raise
-    rows = _record(spark, storage, data, version, sizes, tags, datetime.now())
+    rows = _record(spark, storage, data, version, sizes, tags, datetime.now(UTC))
     if storage.record:
         _write_manifest(rows, storage.root)
     return rows
@@ -154,7 +154,7 @@ def write_fanout(
         rows = _finish(spark, s, data, version, _each_table(list(dfs), copy), tags)
         if s.record:
             recorded.append(rows)
-    out = spark.createDataFrame([], MANIFEST)
+    out = local_frame(spark, [], MANIFEST)
     for rows in recorded:
         out = out.unionByName(rows)
     return out

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from snapforge.operators.manifest import MANIFEST, merge_manifest
 from snapforge.operators.paging import POSITION, number_positioned, page_of
-from snapforge.session import path_exists
+from snapforge.session import local_frame, path_exists
 
 
 def version_path(root: str, data: str, version: int) -> str:
@@ -65,8 +65,8 @@ def read_version(spark: SparkSession, root: str, data: str, version: int) -> dic
 def read_manifest(spark: SparkSession, root: str) -> DataFrame:
     """The manifest of a root, one row per file with all storages that hold it."""
     if not path_exists(spark, manifest_path(root)):
-        return spark.createDataFrame([], MANIFEST)
+        return local_frame(spark, [], MANIFEST)
     rows = spark.read.schema(MANIFEST).parquet(manifest_path(root))
     columns = [c.split(" ")[0] for c in MANIFEST.replace("map<string,string>", "map").split(", ")]
-    empty = spark.createDataFrame([], MANIFEST)
+    empty = local_frame(spark, [], MANIFEST)
     return merge_manifest(rows.select(*columns), empty)
