@@ -10,7 +10,7 @@ from snapforge.functions.codecs import DATETIME_FORMAT, decode_cells, encode_cel
 from snapforge.operators.paging import DEFAULT_BATCH, page_number
 
 # Fixed value: shape of the interchange document.
-PAGE_SCHEMA = T.StructType.fromDDL(
+PAGE_SCHEMA = (
     "tableName string, pageSize bigint, totalPages bigint, totalRecords bigint, "
     "dataPages array<struct<pageNum: bigint, data: map<string, array<string>>, size: bigint>>"
 )
