@@ -162,7 +162,7 @@ def register(r: Registry) -> None:
         backup({t: table(spark, d, t) for t in SHOP}, catalog, [storage], "shop", 1)
         target = new_target(spark, "masked")
         masks = [([MaskTarget(None, "customer", "c_name")], Mask("FIXED", "*", 30))]
-        masked_restore(spark, storage, "shop", 1, catalog, target, masks, log=RunLog(1, "nightly"))
+        masked_restore(spark, storage, "shop", 1, target, masks, log=RunLog(1, "nightly"))
         return spark.table(target.ident("customer"))
 
     @r.add(

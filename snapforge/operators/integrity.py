@@ -45,13 +45,12 @@ def unique_violations(df: DataFrame, columns: list[str]) -> DataFrame:
 def unique_violations_wide(df: DataFrame, columns: list[str]) -> DataFrame:
     """``unique_violations`` for long texts.
 
-    The first pass groups by a 32-byte digest, so no text is shuffled; only texts whose digest
-    repeats take part in the exact grouping.
+    The first pass groups by an 8-byte hash, so no text is shuffled; only texts whose hash repeats
+    take part in the exact grouping, which also sorts out texts that merely share a hash.
     """
-    digest = F.sha2(F.to_json(F.array(*[c.cast("string") for c in _cols(columns)])), 256)
-    keyed = df.filter(_all_present(columns)).select(*_cols(columns), digest.alias("_digest"))
-    repeated = keyed.groupBy("_digest").agg(F.count(F.lit(1)).alias("_n")).filter("_n > 1").select("_digest")
-    candidates = keyed.join(keep(repeated, "digests"), "_digest", "left_semi")
+    keyed = df.filter(_all_present(columns)).select(*_cols(columns), F.xxhash64(*_cols(columns)).alias("_hash"))
+    repeated = keyed.groupBy("_hash").agg(F.count(F.lit(1)).alias("_n")).filter("_n > 1").select("_hash")
+    candidates = keyed.join(keep(repeated, "hashes"), "_hash", "left_semi")
     return unique_violations(candidates, columns)
 
 
@@ -79,7 +78,7 @@ def fk_violations(
     adaptive execution splits a hot key of the child.
     """
     keys = keep(orphan_keys(child, parent, columns, ref_columns).select(*_cols(columns)), "orphans")
-    return child.join(keys, columns, "left_semi")
+    return child.join(keys, columns, "left_semi").select(*[F.col(f"`{c}`") for c in child.columns])
 
 
 def check_violations(df: DataFrame, predicate: str) -> DataFrame:

@@ -131,8 +131,8 @@ def run_summary(run_log: DataFrame) -> DataFrame:
     )
     start, finish = F.min("started_at"), F.max("finished_at")
     seconds = F.timestamp_diff("MICROSECOND", start, finish) / F.lit(1_000_000.0)
-    return run_log.groupBy("run_id").agg(
-        F.min("flow").alias("flow"),
+    # A run belongs to one flow; as a second key it keeps the aggregation hash based.
+    return run_log.groupBy("run_id", "flow").agg(
         status.alias("status"),
         is_status["SUCCESS"].alias("completed_steps"),
         total.alias("number_of_steps"),
@@ -145,8 +145,13 @@ def run_summary(run_log: DataFrame) -> DataFrame:
 def latest_run_per_flow(runs: DataFrame) -> DataFrame:
     """The last started run of each flow; the higher run id decides between equal times.
 
-    An aggregate instead of a window, so a flow with very many runs is reduced before the shuffle.
+    The last start of each flow is a plain maximum over two columns; only rows with that start are
+    looked at in full. Both steps reduce a flow with very many runs before they shuffle.
     """
     rest = [c for c in runs.columns if c != "flow"]
-    last = F.max_by(F.struct(*rest), F.struct("started_at", "run_id"))
-    return runs.groupBy("flow").agg(last.alias("_run")).select("flow", "_run.*").select(*runs.columns)
+    last = runs.groupBy("flow").agg(F.max("started_at").alias("_last")).withColumnRenamed("flow", "_flow")
+    hit = runs.join(
+        last, F.col("flow").eqNullSafe(F.col("_flow")) & F.col("started_at").eqNullSafe(F.col("_last")), "left_semi"
+    )
+    best = F.max_by(F.struct(*rest), F.struct("run_id", *[c for c in ("step",) if c in rest]))
+    return hit.groupBy("flow").agg(best.alias("_run")).select("flow", "_run.*").select(*runs.columns)

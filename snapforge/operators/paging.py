@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-from snapforge.session import keep, range_partitions
+from snapforge.session import keep, local_frame, range_partitions
 
 # Paging limits.
 PAGES_PER_TABLE = 10
@@ -43,12 +43,14 @@ def snapshot_totals(dfs: dict[str, DataFrame], batch: int = DEFAULT_BATCH) -> Da
     Paging stops after a page that is not full, and that page counts even when it is empty, so
     there are floor(rows / size) + 1 pages.
     """
-    totals = None
-    for table, df in dfs.items():
-        one = row_count(df).select(F.lit(table).alias("table"), F.col("row_count").alias("total_records"))
-        totals = one if totals is None else totals.unionByName(one)
-    if totals is None:
+    if not dfs:
         raise ValueError("no tables")
+    spark = next(iter(dfs.values())).sparkSession
+    # All tables are counted in one stage; the zero keeps tables without rows in the result.
+    ones = local_frame(spark, [(t, 0) for t in dfs], "table string, n bigint")
+    for table, df in dfs.items():
+        ones = ones.unionByName(df.select(F.lit(table).alias("table"), F.lit(1).cast("bigint").alias("n")))
+    totals = ones.groupBy("table").agg(F.sum("n").alias("total_records"))
     sized = totals.withColumn("page_size", page_size(F.col("total_records"), batch))
     return sized.withColumn("total_pages", F.expr("total_records div page_size") + 1)
 

@@ -18,8 +18,8 @@ from snapforge.operators.masking import Mask, MaskTarget, mask_columns
 from snapforge.operators.schema_map import map_schema
 from snapforge.session import local_frame
 from snapforge.sinks.restore import restore_all
-from snapforge.sinks.snapshots import Storage, write_fanout
-from snapforge.sources.snapshots import read_version
+from snapforge.sinks.snapshots import Storage, write_catalog, write_fanout
+from snapforge.sources.snapshots import read_stored_catalog, read_version
 
 
 @dataclass
@@ -70,11 +70,16 @@ def primary_keys(catalog: Catalog) -> dict[str, list[str]]:
 def backup(
     dfs: dict[str, DataFrame], catalog: Catalog, storages: list[Storage], data: str, version: int, log: RunLog | None = None
 ) -> DataFrame:
-    """Store all tables in key order in every storage; returns the manifest rows."""
+    """Store all tables in key order, and the catalog, in every storage; returns the manifest rows."""
     log = log or RunLog(version, f"backup {data}")
-    return log.run(
-        [("To", lambda: write_fanout(dfs, storages, data, version, primary_keys(catalog), log.tags()))]
-    )[0]
+
+    def store() -> DataFrame:
+        rows = write_fanout(dfs, storages, data, version, primary_keys(catalog), log.tags())
+        for s in storages:
+            write_catalog(catalog, s, data, version)
+        return rows
+
+    return log.run([("To", store)])[0]
 
 
 def masked_restore(
@@ -82,19 +87,18 @@ def masked_restore(
     storage: Storage,
     data: str,
     version: int,
-    catalog: Catalog,
     target,
     masks: list[tuple[list[MaskTarget], Mask]] = (),
     schema_map: tuple[str, str] | None = None,
     log: RunLog | None = None,
 ) -> DataFrame:
-    """Read a version, mask columns, rename a schema, and load the tables into ``target``."""
+    """Read a version with its catalog, mask columns, rename a schema, and load it into ``target``."""
     log = log or RunLog(version, f"restore {data}")
     state: dict = {}
 
     def read() -> None:
         state["dfs"] = read_version(spark, storage.root, data, version)
-        state["catalog"] = catalog
+        state["catalog"] = read_stored_catalog(spark, storage.root, data, version)
 
     def mask() -> None:
         for targets, m in masks:

@@ -29,6 +29,10 @@ def build_session(app: str = "snapforge", master: str | None = None, **conf: str
         SparkSession.builder.appName(app)
         .config("spark.sql.adaptive.enabled", "true")
         .config("spark.sql.adaptive.skewJoin.enabled", "true")
+        # A map task that is run again and gives other rows (a random number over an unordered
+        # input) makes its readers run again as well, so no row is lost or doubled.
+        .config("spark.sql.shuffle.orderIndependentChecksum.enabled", "true")
+        .config("spark.sql.shuffle.orderIndependentChecksum.enableFullRetryOnMismatch", "true")
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
     )

@@ -11,10 +11,19 @@ from datetime import UTC, datetime
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from snapforge.catalog import Catalog
 from snapforge.operators.manifest import MANIFEST, assert_capacity
 from snapforge.operators.paging import partition_offsets, write_positioned
 from snapforge.session import delete_path, hadoop_path, local_frame, path_exists
-from snapforge.sources.snapshots import manifest_path, offsets_path, read_manifest, table_path, version_path
+from snapforge.sources.snapshots import (
+    CATALOG_FACTS,
+    catalog_path,
+    manifest_path,
+    offsets_path,
+    read_manifest,
+    table_path,
+    version_path,
+)
 
 # Content type of a stored table, tables written at the same time.
 CONTENT_TYPE = "application/vnd.apache.parquet"
@@ -119,6 +128,17 @@ def _finish(spark, storage: Storage, data: str, version: int, sizes: dict[str, i
     return rows
 
 
+def write_catalog(catalog: Catalog, storage: Storage, data: str, version: int) -> None:
+    """Store the catalog beside the tables of a version, from where a restore reads it."""
+    guard_writable(storage)
+    base = catalog_path(storage.root, data, version)
+    spark = catalog.tables.sparkSession
+    facts = local_frame(spark, [(catalog.source_type, list(catalog.schemas or ()))], CATALOG_FACTS)
+    facts.write.mode("errorifexists").json(f"{base}/facts")
+    with ThreadPoolExecutor(PARALLELISM) as pool:
+        list(pool.map(lambda item: item[1].write.mode("errorifexists").parquet(f"{base}/{item[0]}"), catalog.frames().items()))
+
+
 def write_fanout(
     dfs: dict[str, DataFrame],
     storages: list[Storage],
@@ -201,6 +221,7 @@ __all__ = [
     "delete_version",
     "folder_size",
     "guard_writable",
+    "write_catalog",
     "write_compressed",
     "write_fanout",
     "write_snapshot",

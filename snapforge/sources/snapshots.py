@@ -1,8 +1,9 @@
 """Stored versions: folder layout and reads.
 
 Layout: ``<root>/data=<data>/version=<n>/table=<name>/`` with Parquet files in key order, beside it
-``offsets=<name>/`` with one row per range partition, and ``<root>/manifest/data=<data>/version=<n>/``
-with one row per table and storage.
+``offsets=<name>/`` with one row per range partition, and
+``<root>/manifest/data=<data>/version=<n>/`` with one row per table and storage. The catalog of a
+version is in its ``catalog/`` folder, one small table per frame.
 """
 
 from __future__ import annotations
@@ -10,11 +11,15 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from snapforge.catalog import SCHEMAS, Catalog
 from snapforge.operators.manifest import MANIFEST, merge_manifest
 from snapforge.operators.paging import POSITION, number_positioned, page_of
 from snapforge.session import local_frame, path_exists
 
 
+CATALOG_FACTS = "source_type string, schemas array<string>"
+
+
 def version_path(root: str, data: str, version: int) -> str:
     return f"{root}/data={data}/version={version}"
 
@@ -50,6 +55,20 @@ def read_snapshot_page(
     return page_of(spark.read.parquet(table_path(root, data, version, table)), page, size, offsets)
 
 
+def catalog_path(root: str, data: str, version: int) -> str:
+    return f"{version_path(root, data, version)}/catalog"
+
+
+def read_stored_catalog(spark: SparkSession, root: str, data: str, version: int) -> Catalog:
+    """The catalog stored with a version; a version without one is an error."""
+    base = catalog_path(root, data, version)
+    if not path_exists(spark, base):
+        raise ValueError(f"version {version} of {data} has no catalog")
+    facts = spark.read.schema(CATALOG_FACTS).json(f"{base}/facts").head()
+    frames = {name: spark.read.schema(ddl).parquet(f"{base}/{name}") for name, ddl in SCHEMAS.items()}
+    return Catalog.of(spark, **frames, source_type=facts["source_type"], schemas=facts["schemas"] or ())
+
+
 def read_version(spark: SparkSession, root: str, data: str, version: int) -> dict[str, DataFrame]:
     """All tables of a version by name, as recorded in the manifest."""
     names = (

@@ -129,7 +129,8 @@ def test_random_graphs(spark, seed):
     for a in root:
         for b in root:
             assert (root[a] == root[b]) == (a == b or ((a, b) in reach and (b, a) in reach))
-    left = [p for p in pairs if p not in set(pairs_of(break_edges(every)))]
+    broken = set(pairs_of(break_edges(every)))
+    left = [p for p in pairs if p not in broken]
     assert not any(a == b for a, b in closure(left))
     level = levels_of(load_order(every))
     assert all(level[a] > level[b] for a, b in left)
