@@ -7,14 +7,16 @@ import uuid
 from pyspark.sql import functions as F
 
 from checks import TABLES, Registry, table
-from snapforge.catalog import Catalog, Column, ForeignKey
+from snapforge.catalog import Catalog, Column, ForeignKey, catalog_columns
 from snapforge.operators.manifest import merge_manifest
 from snapforge.operators.masking import Mask, MaskTarget
 from snapforge.operators.paging import row_count
 from snapforge.plans.flows import RunLog, backup, masked_restore
 from snapforge.session import scratch_path
+from snapforge.sinks.interchange import write_backup
 from snapforge.sinks.restore import TableTarget, clear_tables, drop_tables, restore_all
 from snapforge.sinks.snapshots import Storage, clear_version, delete_version, write_compressed, write_fanout, write_snapshot
+from snapforge.sources.interchange import read_backup
 from snapforge.sources.page_json import read_page_json, read_page_totals, write_page_json
 from snapforge.sources.snapshots import read_manifest, read_numbered, read_snapshot, read_snapshot_page, read_version
 
@@ -134,6 +136,15 @@ def register(r: Registry) -> None:
         write_page_json(df, path, "lineitem")
         return read_page_json(spark, path, df.schema)
 
+    @r.add("SELECT * FROM orders")
+    def backup_folder_orders(spark, d):
+        folder = scratch_path(spark, "folder")
+        dfs = {f"shop.{t}": table(spark, d, t) for t in ("customer", "orders")}
+        columns = catalog_columns(spark, {t.split(".")[1]: df for t, df in dfs.items()}, "shop")
+        keys = [("shop", t, f"pk_{t}", PKS[t]) for t in ("customer", "orders")]
+        write_backup(dfs, Catalog.of(spark, columns=columns, keys=keys), folder)
+        return read_backup(spark, folder)[1]["shop.orders"]
+
     @r.add(
         """SELECT 'region' AS "table", 0 AS level, count(*) AS row_count FROM region UNION ALL SELECT 'nation', 1, count(*) FROM nation
            UNION ALL SELECT 'customer', 2, count(*) FROM customer UNION ALL SELECT 'supplier', 2, count(*) FROM supplier
