@@ -74,7 +74,9 @@ def with_position(df: DataFrame, sort: list[Column]) -> DataFrame:
 
     Rows with equal keys are spread by a hash of the whole row and exact copies by a random
     number, so that a key or a row that makes up a large part of the table fills many partitions
-    and not one.
+    and not one. The random number is seeded per partition: over files a repeated task draws the
+    same numbers; over an input without fixed order the session's shuffle checksums make readers
+    of a repeated task run again (see ``build_session``).
     """
     columns = [_sort_key(f) for f in df.schema.fields]
     by = [*sort, F.col("_tie"), F.col("_copy")]
@@ -216,9 +218,17 @@ def write_positioned(
     order: list[str] | None = None,
     nulls: str = "last",
     compression: str | None = None,
+    ordered: bool = True,
 ) -> None:
-    """Store a table in key order with its position column, and beside it the partition offsets."""
-    writer = with_position(df, sort_order(df, order, nulls)).write.mode("errorifexists")
+    """Store a table with its position column, and beside it the partition offsets.
+
+    Rows are stored in key order, or with ``ordered`` off as they come, without any shuffle.
+    """
+    if ordered:
+        positioned = with_position(df, sort_order(df, order, nulls))
+    else:
+        positioned = df.withColumn(POSITION, F.monotonically_increasing_id())
+    writer = positioned.write.mode("errorifexists")
     if compression:
         writer = writer.option("compression", compression)
     writer.parquet(path)

@@ -89,12 +89,14 @@ def write_snapshot(
     tags: dict[str, str] | None = None,
     compression: str = "zstd",
     nulls: str = "last",
+    ordered: bool = True,
 ) -> DataFrame:
     """Store every table of a version in key order; returns its manifest rows.
 
     Rows go through one range shuffle and are written once; the stored position column gives row
-    numbers and pages later without another sort. An existing version is an error, and so is an
-    empty set of tables.
+    numbers and pages later without another sort. With ``ordered`` off there is no shuffle: rows
+    keep the order of the input, and so do the pages. An existing version is an error, and so is
+    an empty set of tables.
     """
     guard_writable(storage)
     if not dfs:
@@ -109,7 +111,7 @@ def write_snapshot(
     def store(table: str) -> int:
         path = table_path(storage.root, data, version, table)
         parts = offsets_path(storage.root, data, version, table)
-        write_positioned(dfs[table], path, parts, (pks or {}).get(table), nulls, compression)
+        write_positioned(dfs[table], path, parts, (pks or {}).get(table), nulls, compression, ordered)
         return folder_size(spark, path)
 
     return _finish(spark, storage, data, version, _each_table(list(dfs), store), tags)

@@ -5,9 +5,12 @@ from __future__ import annotations
 import hashlib
 import io
 import zipfile
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from typing import BinaryIO
+from urllib.parse import unquote, urlsplit
 
 import pandas as pd
+from pyarrow import fs
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -26,8 +29,8 @@ CONTENT_TYPES = {
 }
 UNKNOWN_TYPE = "application/octet-stream"
 
-# A binary cell holds less than 2 GiB; longer files are read in pieces.
-CELL_LIMIT = 1 << 30
+# Longer files are hashed piece by piece instead of being loaded into a cell.
+CELL_LIMIT = 256 << 20
 _PIECE = 8 << 20
 
 
@@ -53,6 +56,15 @@ def file_inventory(spark: SparkSession, path: str) -> DataFrame:
     )
 
 
+def _open(path: str):
+    """A seekable reader of a file on any file system that executors can reach."""
+    uri = urlsplit(path)
+    if uri.scheme in ("", "file"):
+        return fs.LocalFileSystem().open_input_file(unquote(uri.path))
+    where, inner = fs.FileSystem.from_uri(path.replace("s3a://", "s3://", 1))
+    return where.open_input_file(inner)
+
+
 def file_checksums(spark: SparkSession, path: str, algorithm: str = "md5", cell_limit: int = CELL_LIMIT) -> DataFrame:
     """path, length and hex digest of all files below ``path``.
 
@@ -67,14 +79,11 @@ def file_checksums(spark: SparkSession, path: str, algorithm: str = "md5", cell_
     large = files.filter(F.col("length") > cell_limit).select("path", "length")
 
     def stream(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        from pyarrow import fs
-
         for batch in batches:
             sums = []
-            for uri in batch["path"]:
-                where, inner = fs.FileSystem.from_uri(uri.replace("file:///", "/").replace("file:/", "/"))
+            for path in batch["path"]:
                 h = hashlib.new(algorithm)
-                with where.open_input_stream(inner) as f:
+                with _open(path) as f:
                     while piece := f.read(_PIECE):
                         h.update(piece)
                 sums.append(h.hexdigest())
@@ -98,8 +107,8 @@ _ENTRY = "path string, name string, size bigint, content binary"
 _BATCH_BYTES = 32 << 20
 
 
-def _read_entries(path: str, content: bytes) -> Iterator[tuple[str, str, int, bytes]]:
-    with zipfile.ZipFile(io.BytesIO(content)) as archive:
+def _read_entries(path: str, source: BinaryIO) -> Iterator[tuple[str, str, int, bytes]]:
+    with zipfile.ZipFile(source) as archive:
         for info in archive.infolist():
             if info.is_dir():
                 raise ValueError(f"{path}: directory entry {info.filename}")
@@ -110,13 +119,13 @@ def _read_entries(path: str, content: bytes) -> Iterator[tuple[str, str, int, by
             yield path, info.filename, len(data), data
 
 
-def _entries(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+def _entries(batches: Iterator[pd.DataFrame], source: Callable[[pd.Series], BinaryIO]) -> Iterator[pd.DataFrame]:
     columns = ["path", "name", "size", "content"]
     held: list[tuple[str, str, int, bytes]] = []
     held_bytes = 0
     for batch in batches:
-        for path, content in zip(batch["path"], batch["content"]):
-            for entry in _read_entries(path, content):
+        for _, row in batch.iterrows():
+            for entry in _read_entries(row["path"], source(row)):
                 held.append(entry)
                 held_bytes += entry[2]
                 if held_bytes >= _BATCH_BYTES or len(held) >= 1_000:
@@ -127,18 +136,28 @@ def _entries(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 
 def expand_archives(files: DataFrame) -> DataFrame:
-    """One row per entry of the zip files in ``files`` (path, content).
+    """One row per entry of the zip files in ``files`` (path, and optionally content).
 
-    An entry that cannot be read is skipped, a directory entry is an error. Entries leave the task
-    in batches of bounded size.
+    Without a content column the archives are opened at their path and read entry by entry, so
+    their size does not matter. An entry that cannot be read is skipped, a directory entry is an
+    error. Entries leave the task in batches of bounded size.
     """
-    return (
-        files.select("path", "content")
-        .mapInPandas(_entries, _ENTRY)
-        .select("path", "name", content_type(F.col("name")).alias("content_type"), "size", "content")
+    if "content" in files.columns:
+        given = files.select("path", "content")
+
+        def entries(batches):
+            return _entries(batches, lambda row: io.BytesIO(row["content"]))
+    else:
+        given = files.select("path")
+
+        def entries(batches):
+            return _entries(batches, lambda row: _open(row["path"]))
+
+    return given.mapInPandas(entries, _ENTRY).select(
+        "path", "name", content_type(F.col("name")).alias("content_type"), "size", "content"
     )
 
 
 def read_archives(spark: SparkSession, path: str) -> DataFrame:
     """Entries of all zip files below ``path``; names decide what is an archive."""
-    return expand_archives(_binary(spark, path).filter(F.lower("path").endswith(".zip")))
+    return expand_archives(_binary(spark, path).filter(F.lower("path").endswith(".zip")).select("path"))

@@ -56,6 +56,14 @@ def test_page_read_is_a_range_filter_on_the_scan(spark, root):
     assert "SortMergeJoin" not in plan
 
 
+def test_unordered_snapshot_has_no_shuffle_and_whole_pages(spark, root):
+    df = spark.range(2_000).select((F.col("id") * 7 % 2_000).alias("id"))
+    write_snapshot({"t": df}, Storage("disk", root), "d", 1, {"t": ["id"]}, ordered=False)
+    pages = [[r["id"] for r in read_snapshot_page(spark, root, "d", 1, "t", p, 900).collect()] for p in range(3)]
+    assert [len(p) for p in pages] == [900, 900, 200]
+    assert sorted(sum(pages, [])) == list(range(2_000))
+
+
 def test_snapshot_refusals(spark, root):
     with pytest.raises(ValueError, match="nothing"):
         write_snapshot({}, Storage("disk", root), "d", 1)
@@ -186,6 +194,8 @@ def test_archives(spark, tmp_path):
     assert got == {"data-t.json": (2, "application/json"), "deep/name.txt": (1000, "text/plain")}
     with zipfile.ZipFile(tmp_path / "b.zip", "w") as z:
         z.mkdir("folder")
+    given = spark.read.format("binaryFile").load(f"{tmp_path}/a.zip")
+    assert {r["name"]: (r["size"], r["content_type"]) for r in expand_archives(given).collect()} == got
     with pytest.raises(PySparkException, match="directory entry"):
         read_archives(spark, str(tmp_path)).collect()
     broken = spark.createDataFrame([("c.zip", bytearray(b"no zip"))], "path string, content binary")
