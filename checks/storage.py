@@ -72,6 +72,12 @@ def register(r: Registry) -> None:
         write_snapshot({"events": table(spark, d, "events")}, Storage("disk", root), "log", 7, PKS)
         return read_numbered(spark, root, "log", 7, "events")
 
+    @r.add("SELECT * FROM documents")
+    def snapshot_unordered_documents(spark, d):
+        root = scratch_path(spark, "snapshots")
+        write_snapshot({"documents": table(spark, d, "documents")}, Storage("disk", root), "text", 1, ordered=False)
+        return read_snapshot(spark, root, "text", 1, "documents")
+
     @r.add("SELECT *, row_number() OVER (ORDER BY o_orderkey) AS row_num FROM orders ORDER BY o_orderkey LIMIT 500 OFFSET 1000")
     def snapshot_page_orders(spark, d):
         root = scratch_path(spark, "snapshots")

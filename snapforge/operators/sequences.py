@@ -15,6 +15,9 @@ from snapforge.session import local_frame
 TABLE_PLACEHOLDER = "{tableName}"
 COLUMN_PLACEHOLDER = "{columnName}"
 
+# Fixed value: sources that have no sequences.
+WITHOUT_SEQUENCES = ("MYSQL",)
+
 RESULT = "sequence string, table string, column string, max_value bigint, new_value bigint"
 
 
@@ -46,13 +49,16 @@ def next_sequence_values(
     template: str | None = None,
     column: str | None = None,
     mappings: list[SequenceMapping] | None = None,
+    source_type: str | None = None,
 ) -> DataFrame:
     """New value max + 1 (1 for an empty table) per sequence that exists.
 
     The template is tried for every table that has ``column``, mappings name their column.
     Missing tables, columns and sequences are skipped. Every table is scanned once, for the
-    columns asked for only.
+    columns asked for only. A source without sequences gives no rows.
     """
+    if source_type in WITHOUT_SEQUENCES:
+        return local_frame(sequences.sparkSession, [], RESULT)
     wanted: dict[str, list[tuple[str, str]]] = {}
     if template is not None and column is not None:
         for table in dfs:

@@ -54,6 +54,8 @@ def range_partitions(df: DataFrame) -> int | None:
     The planner's size estimate of the input decides. For inputs that the setting covers, None
     leaves it to adaptive execution to merge small partitions.
     """
+    if not hasattr(df, "_jdf"):  # a remote session shows no estimates
+        return None
     estimate = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
     wanted = partitions_for_bytes(estimate)
     return wanted if wanted > int(df.sparkSession.conf.get(SHUFFLE_KEY)) else None

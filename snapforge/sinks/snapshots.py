@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from snapforge.catalog import Catalog
-from snapforge.operators.manifest import MANIFEST, assert_capacity
+from snapforge.operators.manifest import MANIFEST, assert_capacity, retention_select
 from snapforge.operators.paging import partition_offsets, write_positioned
 from snapforge.session import delete_path, hadoop_path, local_frame, path_exists
 from snapforge.sources.snapshots import (
@@ -194,6 +194,19 @@ def delete_version(spark: SparkSession, storage: Storage, data: str, version: in
     return delete_path(spark, version_path(storage.root, data, version))
 
 
+def apply_retention(
+    spark: SparkSession, storage: Storage, count_limit: int | None = None, size_limit: int | None = None
+) -> list[tuple[str, int]]:
+    """Delete the versions that ``retention_select`` names; returns them as (data, version)."""
+    guard_writable(storage)
+    chosen = retention_select(read_manifest(spark, storage.root), count_limit, size_limit)
+    rows = chosen.select("data", "version").orderBy("data", "version").collect()  # one row per deleted folder
+    removed = [(r["data"], r["version"]) for r in rows]
+    for data, version in removed:
+        delete_version(spark, storage, data, version)
+    return removed
+
+
 def clear_version(spark: SparkSession, storage: Storage, data: str, version: int, tables: list[str] | None = None) -> DataFrame:
     """A new version (number + 1) in which the listed tables, or all, have no rows."""
     guard_writable(storage)
@@ -219,6 +232,7 @@ def clear_version(spark: SparkSession, storage: Storage, data: str, version: int
 
 __all__ = [
     "Storage",
+    "apply_retention",
     "clear_version",
     "delete_version",
     "folder_size",

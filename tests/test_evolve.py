@@ -124,3 +124,4 @@ def test_sequences(spark):
     assert got == {"s.a_id_seq": (3, 4), "s.b_id_seq": (None, 1), "s.neg_id_seq": (-4, -3), "s.x": (2, 3)}
     assert max_value(dfs["s.a"], "t").head()[0] is None
     assert next_sequence_values(dfs, seqs).isEmpty()
+    assert next_sequence_values(dfs, seqs, "{tableName}_{columnName}_seq", "id", source_type="MYSQL").isEmpty()

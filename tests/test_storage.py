@@ -23,7 +23,7 @@ from snapforge.operators.masking import Mask
 from snapforge.plans.flows import RunLog
 from snapforge.session import local_frame, partitions_for_bytes, range_partitions, scratch_path
 from snapforge.sinks.restore import JdbcTarget, RestoreError, TableTarget, clear_tables, drop_tables, missing_tables, restore_all, restore_table
-from snapforge.sinks.snapshots import Storage, delete_version, write_fanout, write_snapshot
+from snapforge.sinks.snapshots import Storage, apply_retention, delete_version, write_fanout, write_snapshot
 from snapforge.sources.files import changed_files, expand_archives, file_checksums, file_inventory, read_archives
 from snapforge.sources.snapshots import read_manifest, read_snapshot, read_snapshot_page, read_version
 from snapforge.sources.tables import JdbcSource, catalog_from_views, hash_predicates, split_options
@@ -110,6 +110,15 @@ def test_retention_keeps_the_newest(spark):
     assert removed() == []
 
 
+def test_apply_retention(spark, root):
+    disk = Storage("disk", root)
+    for version in (1, 2, 3):
+        write_snapshot({"t": spark.range(version)}, disk, "d", version)
+    assert apply_retention(spark, disk, count_limit=2) == [("d", 1)]
+    assert sorted(r["version"] for r in read_manifest(spark, root).collect()) == [2, 3]
+    assert read_snapshot(spark, root, "d", 3, "t").count() == 3
+
+
 def test_run_log(spark):
     log = RunLog(4, "nightly")
     with pytest.raises(RuntimeError, match="broken"):
