@@ -13,7 +13,7 @@ from snapforge.functions.names import qualified_name, qualify
 from snapforge.operators.graph import catalog_edges, load_order
 from snapforge.session import local_frame
 from snapforge.sinks.snapshots import guard_writable
-from snapforge.sources.tables import JdbcSource
+from snapforge.sources.tables import JdbcSource, table_exists, table_row_count
 
 # Rows per insert batch, tables restored at the same time.
 BATCH_SIZE = 1_000
@@ -32,7 +32,11 @@ class RestoreError(RuntimeError):
 
 @dataclass(frozen=True)
 class JdbcTarget:
-    """Tables of a database. The writer opens one connection per partition, ``connections`` at most."""
+    """Tables of a database. The writer opens one connection per partition, ``connections`` at most.
+
+    Every partition is inserted in its own transaction. A task that was lost after its commit runs
+    again and would insert its rows twice, so the rows in the table are counted around the write.
+    """
 
     source: JdbcSource
 
@@ -53,6 +57,9 @@ class JdbcTarget:
     def append(self, df: DataFrame, table: str) -> None:
         self._writer(df, table).mode("append").save()
 
+    def count(self, spark: SparkSession, table: str) -> int:
+        return table_row_count(spark, self.source, table) if table_exists(spark, self.source, table) else 0
+
     def clear(self, spark: SparkSession, table: str) -> None:
         empty = self.source.reader(spark).option("dbtable", self.source.quote_table(table)).load().limit(0)
         self._writer(empty, table).option("truncate", "true").mode("overwrite").save()
@@ -87,12 +94,20 @@ class TableTarget:
 def restore_table(df: DataFrame, target, table: str) -> int:
     """Append all rows, key and identity values included; creates the table if missing.
 
-    Returns the number of rows written, counted while writing.
+    Returns the number of rows written, counted while writing. A target whose appends are not
+    atomic has a ``count``; its table must have grown by exactly that number.
     """
     guard_writable(target)
+    spark = df.sparkSession
+    before = target.count(spark, table) if hasattr(target, "count") else None
     seen = Observation()
     target.append(df.observe(seen, F.count(F.lit(1)).alias("n")), table)
-    return int(seen.get.get("n", 0))
+    written = int(seen.get.get("n", 0))
+    if before is not None:
+        grown = target.count(spark, table) - before
+        if grown != written:
+            raise RuntimeError(f"{table} grew by {grown} rows instead of {written}; clear it and restore again")
+    return written
 
 
 def table_levels(catalog: Catalog) -> list[list[str]]:

@@ -65,6 +65,36 @@ def hash_predicates(source_type: str, columns: list[str], partitions: int) -> li
     return [f"{row_hash} % {partitions} = {i}" for i in range(partitions)]
 
 
+def aggregate_query(source: JdbcSource, table: str, **columns: str) -> str:
+    """Query that computes one aggregate per output column inside the database."""
+    fields = ", ".join(f"{expr} as {source.quote(name)}" for name, expr in columns.items())
+    return f"select {fields} from {source.quote_table(table)}"
+
+
+def table_row_count(spark: SparkSession, source: JdbcSource, table: str) -> int:
+    """COUNT(*) of a database table, computed there."""
+    query = aggregate_query(source, table, row_count="count(*)")
+    return int(source.reader(spark).option("query", query).load().head()[0])
+
+
+def table_maxima(spark: SparkSession, source: JdbcSource, table: str, columns: list[str]) -> DataFrame:
+    """One row with the maxima of ``columns`` under their own names, computed in the database.
+
+    The maximum of a maximum is the same, so ``next_sequence_values`` takes this frame in place of
+    the table and no rows are read.
+    """
+    query = aggregate_query(source, table, **{c: f"max({source.quote(c)})" for c in columns})
+    return source.reader(spark).option("query", query).load()
+
+
+def table_exists(spark: SparkSession, source: JdbcSource, table: str) -> bool:
+    """Whether the database has the table, from its information schema."""
+    schema, _, name = table.rpartition(".")
+    views = source.reader(spark).option("dbtable", "information_schema.tables").load()
+    views = views.toDF(*[c.lower() for c in views.columns]).filter(F.col("table_name") == name)
+    return not (views.filter(F.col("table_schema") == schema) if schema else views).isEmpty()
+
+
 def scan_table(
     spark: SparkSession,
     source: JdbcSource,
@@ -85,7 +115,7 @@ def scan_table(
         dtype = schema[pk[0]].dataType
         if isinstance(dtype, (T.NumericType, T.DateType, T.TimestampType)):
             key = source.quote(pk[0])
-            query = f"select min({key}) as low, max({key}) as high from {source.quote_table(table)}"
+            query = aggregate_query(source, table, low=f"min({key})", high=f"max({key})")
             bounds = source.reader(spark).option("query", query).load().head()
             if bounds is not None and bounds[0] is not None:
                 return plain.options(**split_options(dtype, bounds[0], bounds[1], n, key)).load()

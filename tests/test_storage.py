@@ -26,7 +26,7 @@ from snapforge.sinks.restore import JdbcTarget, RestoreError, TableTarget, clear
 from snapforge.sinks.snapshots import Storage, apply_retention, delete_version, write_fanout, write_snapshot
 from snapforge.sources.files import changed_files, expand_archives, file_checksums, file_inventory, read_archives
 from snapforge.sources.snapshots import read_manifest, read_snapshot, read_snapshot_page, read_version
-from snapforge.sources.tables import JdbcSource, catalog_from_views, hash_predicates, split_options
+from snapforge.sources.tables import JdbcSource, aggregate_query, catalog_from_views, hash_predicates, split_options
 from snapforge.streaming import check_violations, length_violations, mask_table
 
 
@@ -166,6 +166,23 @@ def test_restore_appends_by_column_name(spark):
     assert sorted(map(tuple, spark.table(target.ident("t")).collect())) == [(1, "a"), (2, "b")]
 
 
+class Doubling(TableTarget):
+    """A target whose append was run twice, as after a task lost past its commit."""
+
+    def count(self, spark, table):
+        return spark.table(self.ident(table)).count() if spark.catalog.tableExists(self.ident(table)) else 0
+
+    def append(self, df, table):
+        super().append(df, table)
+        super().append(df.filter("id = 1"), table)
+
+
+def test_restore_notices_rows_inserted_twice(spark):
+    target = Doubling(new_target(spark, "doubling").namespace)
+    with pytest.raises(RuntimeError, match="grew by 4 rows instead of 3"):
+        restore_table(spark.range(3), target, "t")
+
+
 def test_drop_all_takes_the_sequences(spark):
     catalog = shop_catalog(spark).with_frames(sequences=local_frame(spark, [(None, "s", 1, 1, 9, 1, False, 1, 0)], "schema string, name string, start_value bigint, min_value bigint, max_value bigint, increment_by bigint, cycle boolean, cache_size bigint, last_value bigint"))
     target = new_target(spark, "dropall")
@@ -221,6 +238,8 @@ def test_jdbc_plans(spark):
         parts = hash_predicates(vendor, ["a", "b"], 3)
         assert len(parts) == 3 and parts[0].endswith("% 3 = 0")
     assert JdbcSource("jdbc:x", "SQLSERVER").quote_table("dbo.t") == "[dbo].[t]"
+    query = aggregate_query(JdbcSource("jdbc:x", "POSTGRES"), "s.t", id='max("id")', n="count(*)")
+    assert query == 'select max("id") as "id", count(*) as "n" from "s"."t"'
 
 
 def test_catalog_from_information_schema(spark):
