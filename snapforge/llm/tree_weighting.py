@@ -53,24 +53,23 @@ def _flat(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
 
 def _count_task(depth: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        keys, counts = np.zeros(0, np.uint64), np.zeros(0, np.int64)
+        held: list[tuple[np.ndarray, np.ndarray]] = []
 
-        def batch(k, c):
-            return pa.RecordBatch.from_arrays([pa.array(k.view(np.int64)), pa.array(c)], names=["gram", "n"])
+        def merged() -> tuple[np.ndarray, np.ndarray]:
+            keys, at = np.unique(np.concatenate([k for k, _ in held]), return_inverse=True)
+            return keys, np.bincount(at, weights=np.concatenate([c for _, c in held])).astype(np.int64)
 
-        def add(texts):
-            nonlocal keys, counts
-            k, c = np.unique(_grams(*_flat(texts), depth), return_counts=True)
-            merged, at = np.unique(np.concatenate([keys, k]), return_inverse=True)
-            keys, counts = merged, np.bincount(at, weights=np.concatenate([counts, c])).astype(np.int64)
+        def batch(keys, counts):
+            return pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), pa.array(counts)], names=["gram", "n"])
 
         for part in _portions(batches, _COUNT_BYTES):
-            add([t for _, t in part])
-            if len(keys) > 2_000_000:
-                yield batch(keys, counts)
-                keys, counts = keys[:0], counts[:0]
-        if len(keys):
-            yield batch(keys, counts)
+            held.append(np.unique(_grams(*_flat([t for _, t in part]), depth), return_counts=True))
+            if sum(len(k) for k, _ in held) > 4_000_000:
+                held = [merged()]
+                if len(held[0][0]) > 2_000_000:
+                    yield batch(*held.pop())
+        if held:
+            yield batch(*merged())
 
     return run
 
@@ -109,24 +108,20 @@ def _bits(grams: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.
     return node[order], np.concatenate(zeros)[order], np.concatenate(ones)[order]
 
 
-_COEFFICIENTS = np.array([1 / 12, -1 / 360, 1 / 1260])
+def _log_gamma(n: np.ndarray, plus: float) -> np.ndarray:
+    """log Gamma(n + plus) of counts n; from a table where they are small, by Stirling's series elsewhere."""
+    x = np.maximum(n, _SMALL) + plus
+    far = (x - 0.5) * np.log(x) - x + 0.5 * math.log(2 * math.pi) + 1 / (12 * x) - 1 / (360 * x**3)
+    return np.where(n < _SMALL, _TABLES[plus][np.minimum(n, _SMALL - 1).astype(np.int64)], far)
 
 
-def _lgamma(x: np.ndarray) -> np.ndarray:
-    """log Gamma of positive numbers, by Stirling's series behind seven steps of the recurrence."""
-    shift = np.zeros_like(x)
-    y = x.copy()
-    for _ in range(7):
-        small = y < 7
-        shift[small] -= np.log(y[small])
-        y = np.where(small, y + 1, y)
-    inv = 1 / y
-    return shift + (y - 0.5) * np.log(y) - y + 0.5 * math.log(2 * math.pi) + inv * (_COEFFICIENTS[0] + inv**2 * (_COEFFICIENTS[1] + inv**2 * _COEFFICIENTS[2]))
+_SMALL = 1 << 16
+_TABLES = {plus: np.array([math.lgamma(i + plus) for i in range(_SMALL)]) for plus in (0.5, 1.0)}
 
 
 def kt(zeros: np.ndarray, ones: np.ndarray) -> np.ndarray:
     """Natural logarithm of the Krichevsky-Trofimov probability of the counts, in any order."""
-    return _lgamma(zeros + 0.5) + _lgamma(ones + 0.5) - math.log(math.pi) - _lgamma(zeros + ones + 1)
+    return _log_gamma(zeros, 0.5) + _log_gamma(ones, 0.5) - math.log(math.pi) - _log_gamma(zeros + ones, 1.0)
 
 
 def slot(node: np.ndarray, depth: int, bits: int) -> tuple[np.ndarray, np.ndarray]:
