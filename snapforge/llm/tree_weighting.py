@@ -51,25 +51,45 @@ def _flat(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     return np.frombuffer(b"".join(texts), np.uint8), np.concatenate([[0], np.cumsum(lengths)[:-1]]).astype(np.int64)
 
 
-def _count_task(depth: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[tuple[np.ndarray, np.ndarray]] = []
+def _merge(held: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+    keys, at = np.unique(np.concatenate([k for k, _ in held]), return_inverse=True)
+    return keys, np.bincount(at, weights=np.concatenate([c for _, c in held])).astype(np.int64)
+
+
+def _by_part(parts: np.ndarray, *columns: np.ndarray) -> Iterator[tuple[int, bytes]]:
+    """(part, packed columns) of each part, rows in their order."""
+    order = np.argsort(parts.astype(np.uint16), kind="stable")
+    cuts = np.flatnonzero(np.diff(parts[order])) + 1
+    for rows in np.split(order, cuts):
+        if len(rows):
+            yield int(parts[rows[0]]), _blob(*(c[rows] for c in columns))
+
 
-        def merged() -> tuple[np.ndarray, np.ndarray]:
-            keys, at = np.unique(np.concatenate([k for k, _ in held]), return_inverse=True)
-            return keys, np.bincount(at, weights=np.concatenate([c for _, c in held])).astype(np.int64)
+def _sent(rows: Iterator[tuple[int, bytes]]) -> pa.RecordBatch:
+    parts, data = zip(*rows)
+    return pa.RecordBatch.from_arrays([pa.array(parts, pa.int32()), pa.array(data, pa.binary())], names=["part", "data"])
 
-        def batch(keys, counts):
-            return pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), pa.array(counts)], names=["gram", "n"])
 
-        for part in _portions(batches, _COUNT_BYTES):
-            held.append(np.unique(_grams(*_flat([t for _, t in part]), depth), return_counts=True))
+def _count_task(depth: int, stop: int, parts: int):
+    """Counts of all contexts with their byte, packed by a hash of the last ``stop`` bytes of the context."""
+
+    def pack(keys: np.ndarray, counts: np.ndarray) -> pa.RecordBatch:
+        with np.errstate(over="ignore"):
+            mixed = (keys >> np.uint64(8 * (depth + 1 - stop))) * np.uint64(0x9E3779B97F4A7C15)
+        return _sent(_by_part(((mixed >> np.uint64(32)) % np.uint64(parts)).astype(np.int64), keys, counts))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[tuple[np.ndarray, np.ndarray]] = []
+        for portion in _portions(batches, _COUNT_BYTES):
+            grams = _grams(*_flat([t for _, t in portion]), depth)
+            if len(grams):
+                held.append(np.unique(grams, return_counts=True))
             if sum(len(k) for k, _ in held) > 4_000_000:
-                held = [merged()]
+                held = [_merge(held)]
                 if len(held[0][0]) > 2_000_000:
-                    yield batch(*held.pop())
+                    yield pack(*held.pop())
         if held:
-            yield batch(*merged())
+            yield pack(*_merge(held))
 
     return run
 
@@ -135,35 +155,63 @@ def slot(node: np.ndarray, depth: int, bits: int) -> tuple[np.ndarray, np.ndarra
     return (h >> np.uint64(64 - bits)).astype(np.int64), (h >> np.uint64(20)).astype(np.uint16)
 
 
+_SHARDS = 64  # parts of each table
+
+
+def _busiest(place, tag, zeros, ones, own) -> tuple[np.ndarray, ...]:
+    """Of the decisions that share a slot the one made most often has it; the others are left to shorter contexts."""
+    order = np.lexsort((tag, zeros + ones, place))
+    last = order[np.append(place[order][1:] != place[order][:-1], True)] if len(order) else order
+    return tuple(x[last] for x in (place, tag, zeros, ones, own))
+
+
 def _weigh_task(depth: int, stop: int, bits: int):
-    """Decisions of contexts of ``depth`` down to ``stop`` bytes; rows of one ``stop``-byte context are in one task.
+    """Decisions of contexts of ``depth`` down to ``stop`` bytes, packed by depth and part of its table.
 
-    Rows (depth, place, tag, zeros, ones, own, value): place is the slot, ``own`` the weight of the
-    node's own estimate. The nodes of ``stop`` bytes come again with depth -1, the node as place
-    and its log P_w as value, to go on from.
+    All rows of a ``stop``-byte context are in one task. The decisions of one byte less, with the sum of
+    their children's log P_w, go on as sums.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = pa.Table.from_batches(b) if (b := list(batches)) else None
-        if table is None or not table.num_rows:
+        held = [tuple(_unblob(data)) for batch in batches for data in batch.column(1).to_pylist()]
+        if not held:
             return
-        gram = table["gram"].to_numpy().view(np.uint64)
-        order = np.argsort(gram)
-        gram, n = gram[order], table["n"].to_numpy()[order].astype(np.float64)
+        gram, n = _merge(held)
         below: dict[str, np.ndarray] | None = None
         for d in range(depth, stop - 1, -1):
             key = ((gram >> np.uint64(8 * (depth + 1 - d))) << np.uint64(8)) | (gram & np.uint64(255))
             found, at = np.unique(key, return_inverse=True)
             node, zeros, ones = _bits(found, np.bincount(at, weights=n))
             value, own = _mix(node, zeros, ones, below)
-            yield _weighed(d, *slot(node, d, bits), zeros, ones, own, value)
-            if d == stop:
-                yield _weighed(-1, node.view(np.int64), np.zeros(len(node)), zeros, ones, own, value)
+            place, tag = slot(node, d, bits)
+            place, tag, zeros4, ones4, own2 = _busiest(place, tag, zeros.astype(np.float32), ones.astype(np.float32), own.astype(np.float16))
+            shard = (d * _SHARDS + (place * _SHARDS >> min(bits, 8 * (d + 1)))).astype(np.int64)
+            yield _sent(_by_part(shard, place.astype("<u4"), tag, zeros4, ones4, own2))
             below = {"node": node, "value": value}
+        parent = ((node >> np.uint64(16)) << np.uint64(8)) | (node & np.uint64(255))
+        up, at = np.unique(parent, return_inverse=True)
+        sums = [np.bincount(at, weights=x) for x in (zeros, ones, value)]
+        yield _sent((part, data) for part, data in _by_part((up % np.uint64(_SHARDS)).astype(np.int64), up, *sums))
 
     return run
 
 
+def _table_task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """One packed row per part: of a table (``part`` from the depth on), or of the sums (below ``_SHARDS``)."""
+    held: dict[int, list] = {}
+    for batch in batches:
+        for part, data in zip(*(c.to_pylist() for c in batch.columns)):
+            held.setdefault(part, []).append(_unblob(data))
+    for part, blobs in held.items():
+        columns = [np.concatenate(c) for c in zip(*blobs)]
+        if part < _SHARDS:
+            up, at = np.unique(columns[0], return_inverse=True)
+            yield _sent([(part, _blob(up, *(np.bincount(at, weights=c) for c in columns[1:])))])
+        else:
+            place, tag, zeros, ones, own = _busiest(*columns)
+            yield _sent([(part, _blob(place, tag, _logit(zeros, ones), own))])
+
+
 def _mix(node, zeros, ones, below) -> tuple[np.ndarray, np.ndarray]:
     """log P_w of the nodes and the weight of their own estimate; contexts of ``below`` are one byte longer."""
     alone = kt(zeros, ones)
@@ -176,25 +224,34 @@ def _mix(node, zeros, ones, below) -> tuple[np.ndarray, np.ndarray]:
     return value, np.exp(alone - math.log(2) - value)
 
 
-_WEIGHED = ["depth", "place", "tag", "zeros", "ones", "own", "value"]
-
-
-def _weighed(d, place, tag, zeros, ones, own, value) -> pa.RecordBatch:
-    columns = [np.full(len(place), d, np.int32), place, tag.astype(np.int32), zeros, ones, own, value]
-    return pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=_WEIGHED)
-
-
 def _logit(zeros: np.ndarray, ones: np.ndarray) -> np.ndarray:
     return np.log((ones + 0.5) / (zeros + 0.5)).astype(np.float16)
 
 
 class Model:
-    """Per depth, by slot: tag (-1: no decision), log odds of a one, weight of the own estimate."""
+    """Per depth, by slot: tag, log odds of a one (not a number: no decision), weight of the own estimate.
+
+    Only slots in use are stored and sent; a task spreads them over the slots when it scores first.
+    """
+
+    def __init__(self, depth: int, bits: int) -> None:
+        self.depth, self.bits = depth, bits
+        self.packed: dict[int, list[tuple[np.ndarray, ...]]] = {d: [] for d in range(depth + 1)}
+        self.tables: dict[int, tuple[np.ndarray, ...]] | None = None
+
+    def add(self, depth: int, place, tag, odds, own) -> None:
+        self.packed[depth].append((place.astype("<u4"), tag.astype(np.uint16), odds.astype(np.float16), own.astype(np.float16)))
 
-    def __init__(self, tables: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]], depth: int, bits: int) -> None:
-        self.tables, self.depth, self.bits = tables, depth, bits
+    def _spread(self) -> None:
         self.keys = np.full(1 << _MEMO_BITS, np.iinfo(np.uint64).max, np.uint64)
         self.values = np.zeros(1 << _MEMO_BITS, np.float32)
+        self.tables = {}
+        for d, parts in self.packed.items():
+            size = 1 << min(self.bits, 8 * (d + 1))
+            self.tables[d] = np.zeros(size, np.uint16), np.full(size, np.nan, np.float16), np.zeros(size, np.float16)
+            for place, *columns in parts:
+                for table, column in zip(self.tables[d], columns):
+                    table[place] = column
 
     def _fresh(self, gram: np.ndarray) -> np.ndarray:
         """log10 probability of the byte of each key."""
@@ -209,7 +266,7 @@ class Model:
                 tags, odds, weights = (t[at] for t in self.tables[d])
                 ones, own = 1 / (1 + np.exp(-odds.astype(np.float64))), weights.astype(np.float64)
                 # A context without counts leaves the decision to the shorter one alone.
-                here = tags == tag
+                here = (tags == tag) & ~np.isnan(odds)
                 chance = np.where(here, np.where(seen, own * ones + (1 - own) * chance, ones), chance)
                 seen |= here
             bit = (byte >> np.uint64(7 - b)) & np.uint64(1)
@@ -217,6 +274,8 @@ class Model:
         return total
 
     def log10(self, gram: np.ndarray) -> np.ndarray:
+        if self.tables is None:
+            self._spread()
         with np.errstate(over="ignore"):
             at = ((gram * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - _MEMO_BITS)).astype(np.int64)
         known = self.keys[at] == gram
@@ -231,60 +290,35 @@ class Model:
         return out
 
 
-def _table_task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        depth, place, tag, zeros, ones, own = (c.to_numpy(zero_copy_only=False) for c in batch.columns)
-        for d in np.unique(depth):
-            at = depth == d
-            parts = (place[at].astype("<i4"), tag[at].astype("<i4"), _logit(zeros[at], ones[at]), own[at].astype(np.float16))
-            yield pa.RecordBatch.from_pydict({"depth": pa.array([d], pa.int32()), "data": [_blob(*parts)]})
-
-
-def _empty(size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    return np.full(size, -1, np.int32), np.zeros(size, np.float16), np.zeros(size, np.float16)
-
-
 def train(texts: DataFrame, depth: int = DEPTH, bits: int = SLOT_BITS) -> Model:
     """The model of all texts (column ``text``); null and empty texts teach nothing.
 
     What comes to the driver is bounded: a value per decision of the contexts of at most one byte, and
     the slots of the hashed tables, at most 2^bits for each longer length.
     """
-    stop = 2
-    grams = texts.select("text").mapInArrow(_count_task(depth), "gram long, n long").groupBy("gram").agg(F.sum("n").alias("n"))
-    shared = F.shiftrightunsigned("gram", 8 * (depth + 1 - stop))
-    weighed = keep(
-        grams.repartition(shared).mapInArrow(
-            _weigh_task(depth, stop, bits), "depth int, place long, tag int, zeros double, ones double, own double, value double"
-        ),
-        "weighed",
-    )
-    # Of the decisions that share a slot the one that was made most often has it; the others are left
-    # to their shorter contexts.
-    most = F.struct(F.col("zeros") + F.col("ones"), "tag", "zeros", "ones", "own")
-    slots = weighed.filter("depth >= 0").groupBy("depth", "place").agg(F.max(most).alias("m"))
-    packed = slots.select("depth", "place", "m.tag", "m.zeros", "m.ones", "m.own")
-    tables = {d: _empty(1 << min(bits, 8 * (d + 1))) for d in range(depth + 1)}
-    for row in packed.mapInArrow(_table_task, "depth int, data binary").toLocalIterator():
-        at, *parts = _unblob(row.data)
-        for table, part in zip(tables[row.depth], parts):
-            table[at] = part
-    parent = F.shiftleft(F.shiftrightunsigned("place", 16), 8).bitwiseOR(F.col("place").bitwiseAND(F.lit(255)))
-    low = weighed.filter("depth = -1").groupBy(parent.alias("node")).agg(F.sum("zeros").alias("z"), F.sum("ones").alias("o"), F.sum("value").alias("v"))
-    low = low.orderBy("node").toPandas()  # at most 256 * 255 rows
-    node, zeros, ones, children = low["node"].to_numpy().astype(np.uint64), low["z"].to_numpy(float), low["o"].to_numpy(float), low["v"].to_numpy(float)
+    stop, parts, sent = 2, partitions(texts), "part int, data binary"
+    counted = texts.select("text").mapInArrow(_count_task(depth, stop, parts), sent)
+    weighed = counted.repartitionById(parts, F.col("part")).mapInArrow(_weigh_task(depth, stop, bits), sent)
+    packed = weighed.repartitionById(parts, F.col("part")).mapInArrow(_table_task, sent)
+    model, sums = Model(depth, bits), []
+    for row in packed.toLocalIterator():
+        if row.part < _SHARDS:
+            sums.append(_unblob(row.data))
+        else:
+            model.add(row.part // _SHARDS, *_unblob(row.data))
+    if not sums:
+        return model
+    node, zeros, ones, children = (np.concatenate(c) for c in zip(*sums))  # at most 256 * 255
+    order = np.argsort(node)
+    node, zeros, ones, children = node[order], zeros[order], ones[order], children[order]
     for d in (1, 0):
-        if not len(node):
-            break
         alone = kt(zeros, ones)
         value = np.logaddexp(alone, children) - math.log(2)
-        at = node.astype(np.int64)
-        for table, part in zip(tables[d], (0, _logit(zeros, ones), np.exp(alone - math.log(2) - value))):
-            table[at] = part
+        model.add(d, node, np.zeros(len(node)), _logit(zeros, ones), np.exp(alone - math.log(2) - value))
         up = ((node >> np.uint64(16)) << np.uint64(8)) | (node & np.uint64(255))
         node, back = np.unique(up, return_inverse=True)
         zeros, ones, children = (np.bincount(back, weights=x) for x in (zeros, ones, value))
-    return Model(tables, depth, bits)
+    return model
 
 
 _PACKED = "place int, kind int, flush long, data binary"
