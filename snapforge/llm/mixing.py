@@ -15,7 +15,7 @@ from snapforge.llm.common import WORD, others, quoted
 from snapforge.session import keep
 
 BLOCK_WORDS = 16
-SHARD_DOCS = 20_000
+SHARD_DOCS = 2_000
 SEED = 20
 CAP = 3
 
