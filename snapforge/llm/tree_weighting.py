@@ -25,7 +25,8 @@ from snapforge.session import keep
 
 DEPTH = 5
 SLOT_BITS = 22  # slots of one table: 2^22
-_COUNT_BYTES = 4 << 20  # bytes of texts that are counted at once
+_COUNT_BYTES = 1 << 20  # bytes of texts that are counted at once
+_FLUSH_BYTES = 8 << 20  # bytes of texts whose words are packed together
 _SCORE_BYTES = 1 << 19
 _MEMO_BITS = 21
 _WORDS = 400_000
@@ -84,9 +85,9 @@ def _count_task(depth: int, stop: int, parts: int):
             grams = _grams(*_flat([t for _, t in portion]), depth)
             if len(grams):
                 held.append(np.unique(grams, return_counts=True))
-            if sum(len(k) for k, _ in held) > 4_000_000:
+            if sum(len(k) for k, _ in held) > 1_500_000:
                 held = [_merge(held)]
-                if len(held[0][0]) > 2_000_000:
+                if len(held[0][0]) > 750_000:
                     yield pack(*held.pop())
         if held:
             yield pack(*_merge(held))
@@ -363,7 +364,7 @@ def _word_task(shipped, buckets: int, groups: int):
         from pyspark import TaskContext
 
         task, model, codes = TaskContext.get().partitionId(), shipped.value, _Codes()
-        for number, part in enumerate(_portions(batches, 16 << 20)):
+        for number, part in enumerate(_portions(batches, _FLUSH_BYTES)):
             flush = xxhash.xxh64_intdigest(repr((task, number, [o for o, _ in part][:1])).encode()) >> 1
             ids, held = zip(*(o for o, _ in part))
             words = [data.lower().split() + [_END] for _, data in part]
