@@ -26,10 +26,10 @@ from snapforge.session import keep
 DEPTH = 5
 SLOT_BITS = 22  # slots of one table: 2^22
 _COUNT_BYTES = 1 << 20  # bytes of texts that are counted at once
-_FLUSH_BYTES = 8 << 20  # bytes of texts whose words are packed together
+_FLUSH_BYTES = 4 << 20  # bytes of texts whose words are packed together
 _SCORE_BYTES = 1 << 19
 _MEMO_BITS = 21
-_WORDS = 400_000
+_WORDS = 200_000
 
 
 def _grams(data: np.ndarray, starts: np.ndarray, depth: int) -> np.ndarray:
@@ -253,6 +253,7 @@ class Model:
             for place, *columns in parts:
                 for table, column in zip(self.tables[d], columns):
                     table[place] = column
+        self.packed = {}
 
     def _fresh(self, gram: np.ndarray) -> np.ndarray:
         """log10 probability of the byte of each key."""
