@@ -24,11 +24,11 @@ from snapforge.llm.common import fold, partitions, planes, text_bytes, unplanes
 from snapforge.session import keep
 
 DEPTH = 5
-SLOT_BITS = 22  # slots of one table: 2^22
+SLOT_BITS = 21  # slots of one table: 2^21
 _COUNT_BYTES = 1 << 20  # bytes of texts that are counted at once
-_FLUSH_BYTES = 4 << 20  # bytes of texts whose words are packed together
+_FLUSH_BYTES = 3 << 20  # bytes of texts whose words are packed together
 _SCORE_BYTES = 1 << 19
-_MEMO_BITS = 21
+_MEMO_BITS = 20
 _WORDS = 200_000
 
 
@@ -476,6 +476,7 @@ def score_texts(docs: DataFrame, depth: int = DEPTH, bits: int = SLOT_BITS, part
         rows.mapInArrow(_word_task(shipped, groups, groups), _PACKED).repartitionById(groups, F.col("place")).mapInArrow(_total_task(groups), _PACKED),
         "totals",
     )
+    shipped.unpersist()
     sums = np.zeros(2, np.int64)
     for row in totals.filter("kind = 3").select("data").collect():  # two numbers a partition
         sums += _unblob(row.data)[0].astype(np.int64)
