@@ -148,7 +148,7 @@ def label_model(votes: np.ndarray, prior: float, start: np.ndarray, rounds: int
     return post, rates, share
 
 
-def _logistic(x: np.ndarray, y: np.ndarray, penalty: float = 1.0, steps: int = 12) -> np.ndarray:
+def _logistic(x: np.ndarray, y: np.ndarray, penalty: float = 0.1, steps: int = 15) -> np.ndarray:
     """Weights (bias last) of a ridge logistic regression on soft labels, by Newton steps."""
     x = np.hstack([x, np.ones((len(x), 1))])
     ridge = np.full(x.shape[1], penalty)
