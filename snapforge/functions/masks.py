@@ -7,6 +7,8 @@ under ``mask_original`` unless ``on_empty='keep'``.
 
 from __future__ import annotations
 
+import zlib
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -54,5 +56,6 @@ def mask_random(
     if row_key:
         draw = F.pmod(F.xxhash64(F.lit(seed), F.lit(salt), *row_key), F.lit(limit))
     else:
-        draw = F.floor(F.rand(seed) * limit)
+        # The salt tells columns apart, so the masks of one row don't share a length.
+        draw = F.floor(F.rand(seed + zlib.crc32(salt.encode())) * limit)
     return F.when(col.isNotNull(), F.repeat(F.lit(ch), (draw + 1).cast("int")))

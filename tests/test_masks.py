@@ -108,3 +108,10 @@ def test_masked_key_column_keeps_random_masks_repeatable(spark):
     masked = mask_table(df, {"id": None, "name": None}, Mask("RANDOM", "*", seed=1), ["id"])
     assert sorted(map(tuple, masked.collect())) == sorted(map(tuple, masked.collect()))
     assert masked.select("name").distinct().count() > 5
+
+
+def test_random_masks_without_key_differ_between_columns(spark):
+    a, b = (mask_random(F.lit("x"), "*", 50, seed=3, salt=name) for name in ("a", "b"))
+    rows = spark.range(200).select(F.length(a).alias("a"), F.length(b).alias("b")).collect()
+    assert sum(r.a == r.b for r in rows) < 30
+    assert {r.a for r in rows} | {r.b for r in rows} <= set(range(1, 51))
