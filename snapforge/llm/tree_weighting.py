@@ -26,10 +26,11 @@ from snapforge.session import keep
 DEPTH = 5
 SLOT_BITS = 21  # slots of one table: 2^21
 _COUNT_BYTES = 1 << 20  # bytes of texts that are counted at once
-_FLUSH_BYTES = 3 << 20  # bytes of texts whose words are packed together
-_SCORE_BYTES = 1 << 19
+_FLUSH_BYTES = 1 << 20  # bytes of texts whose words are packed together
+_SCORE_BYTES = 1 << 17
+_ROWS = 512  # rows of a batch that are unpacked at once
 _MEMO_BITS = 20
-_WORDS = 200_000
+_WORDS = 100_000
 
 
 def _grams(data: np.ndarray, starts: np.ndarray, depth: int) -> np.ndarray:
@@ -98,8 +99,9 @@ def _count_task(depth: int, stop: int, parts: int):
 def _portions(batches: Iterator[pa.RecordBatch], most: int) -> Iterator[list[tuple]]:
     """Lists of (other columns, text) of about ``most`` bytes; the text is the last column."""
     held, size = [], 0
-    for batch in batches:
-        for *other, text in zip(*(c.to_pylist() for c in batch.columns[:-1]), text_bytes(batch.column(batch.num_columns - 1))):
+    pieces = (batch.slice(at, _ROWS) for batch in batches for at in range(0, batch.num_rows, _ROWS))
+    for piece in pieces:
+        for *other, text in zip(*(c.to_pylist() for c in piece.columns[:-1]), text_bytes(piece.column(piece.num_columns - 1))):
             if not text:
                 held.append((other, text))
                 continue
@@ -348,6 +350,11 @@ def _blob(*arrays: np.ndarray) -> bytes:
     return b"".join(len(a).to_bytes(8, "little") + a.dtype.str.encode().ljust(4) + planes(a) for a in map(np.ascontiguousarray, arrays))
 
 
+def _narrow(counts: np.ndarray) -> np.ndarray:
+    """The same numbers, none below zero, in the smallest type that holds them all."""
+    return counts.astype(np.min_scalar_type(int(counts.max(initial=0))))
+
+
 def _unblob(data: bytes) -> list[np.ndarray]:
     out, at = [], 0
     while at < len(data):
@@ -374,20 +381,20 @@ def _word_task(shipped, buckets: int, groups: int):
             known, word = np.unique(flat, return_inverse=True)
             doc = np.repeat(np.arange(len(part)), lengths)
             teaches = ~np.array(held)[doc]
-            counts = np.bincount(word[teaches], minlength=len(known)).astype("<u4")
+            counts = np.bincount(word[teaches], minlength=len(known))
             cell, times = np.unique(word.astype(np.int64) * len(part) + doc, return_counts=True)
             entry_word, entry_doc = (cell // len(part)), (cell % len(part))
-            per_word = np.bincount(entry_word, minlength=len(known)).astype("<u4")
+            per_word = np.bincount(entry_word, minlength=len(known))
             scores = _text_scores(model, [data for _, data in part])
             numbers = np.array([0 if i is None else i for i in ids], "<i8")
             own = _blob(
-                numbers, np.array([i is None for i in ids], "|u1"), np.array(held, "|u1"), lengths.astype("<u4"),
-                scores.astype("<f8"), per_word, entry_doc.astype("<u4"), times.astype("<u4"),
+                numbers, np.array([i is None for i in ids], "|u1"), np.array(held, "|u1"), _narrow(lengths),
+                scores.astype("<f8"), _narrow(per_word), _narrow(entry_doc), _narrow(times),
             )
             yield _packed([(flush % groups, 1, flush, own)])
             bucket = ((known >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)).astype(np.int64)
             cuts = np.searchsorted(bucket, np.arange(buckets + 1))
-            yield _packed([(b, 0, flush, _blob(known[i:j].astype("<u8"), counts[i:j])) for b, (i, j) in enumerate(zip(cuts, cuts[1:]))])
+            yield _packed([(b, 0, flush, _blob(known[i:j].astype("<u8"), _narrow(counts[i:j]))) for b, (i, j) in enumerate(zip(cuts, cuts[1:]))])
 
     return run
 
@@ -408,7 +415,10 @@ def _text_scores(model: Model, texts: list[bytes]) -> np.ndarray:
 
 
 def _total_task(groups: int):
-    """Total of each word of the bucket, told to every batch of texts that has it (kind 2), and the bucket's sums (kind 3)."""
+    """Total of each word of the bucket, told to every batch of texts that has it (kind 2).
+
+    The bucket's sums come as kind 3: distinct words as ``place``, tokens as ``flush``.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows, place = [], 0
@@ -423,10 +433,10 @@ def _total_task(groups: int):
             return
         words, at = np.unique(np.concatenate([r[1] for r in rows]), return_inverse=True)
         total = np.bincount(at, weights=np.concatenate([r[2] for r in rows]), minlength=len(words)).astype("<u8")
-        yield _packed([(0, 3, 0, _blob(np.array([(total > 0).sum(), total.sum()], "<u8")))])
+        yield _packed([(int((total > 0).sum()), 3, int(total.sum()), b"")])
         ends = np.cumsum([len(r[1]) for r in rows])
         for (flush, own, _), end in zip(rows, ends):
-            yield _packed([(flush % groups, 2, flush, place.to_bytes(4, "little") + _blob(total[at[end - len(own) : end]]))])
+            yield _packed([(flush % groups, 2, flush, place.to_bytes(4, "little") + _blob(_narrow(total[at[end - len(own) : end]])))])
 
     return run
 
@@ -477,9 +487,8 @@ def score_texts(docs: DataFrame, depth: int = DEPTH, bits: int = SLOT_BITS, part
         "totals",
     )
     shipped.unpersist()
-    sums = np.zeros(2, np.int64)
-    for row in totals.filter("kind = 3").select("data").collect():  # two numbers a partition
-        sums += _unblob(row.data)[0].astype(np.int64)
+    sums = [F.coalesce(F.sum(c), F.lit(0)) for c in ("flush", "place")]
+    words, distinct = totals.filter("kind = 3").agg(*sums).head()  # without the packed column
     schema = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
     finished = totals.filter("kind < 3").repartitionById(groups, F.col("place"))
-    return finished.mapInArrow(_finish_task(int(sums[1]), int(sums[0])), schema)
+    return finished.mapInArrow(_finish_task(words, distinct), schema)
