@@ -24,6 +24,20 @@ _BACK = """SELECT concat('region/', n_regionkey) AS src, concat('nation/', min(n
 _PATHS = """WITH RECURSIVE e AS ({edges}), p(src, ref) AS (
       SELECT src, ref FROM e UNION SELECT p.src, e.ref FROM p JOIN e ON p.ref = e.src)"""
 
+# Each customer refers to the first and the last order, the last to the first, and the first to the customer: two cycles that share edges.
+_RINGS = """SELECT concat('customer/', o_custkey) AS c, concat('orders/', min(o_orderkey)) AS a, concat('orders/', max(o_orderkey)) AS b
+    FROM orders WHERE o_custkey IS NOT NULL GROUP BY o_custkey HAVING min(o_orderkey) < max(o_orderkey)"""
+
+
+def overlapping_edges(spark, d) -> DataFrame:
+    a, b = F.min("o_orderkey"), F.max("o_orderkey")
+    rings = (
+        table(spark, d, "orders").filter("o_custkey is not null").groupBy("o_custkey").agg(a.alias("a"), b.alias("b")).filter("a < b")
+        .select(F.concat(F.lit("customer/"), "o_custkey").alias("c"), F.concat(F.lit("orders/"), "a").alias("a"), F.concat(F.lit("orders/"), "b").alias("b"))
+    )
+    ends = F.expr("inline(array(struct(c as src, a as ref), struct(c as src, b as ref), struct(b as src, a as ref), struct(a as src, c as ref)))")
+    return rings.select(ends)
+
 
 def _edge(df: DataFrame, a: str, ak: str, b: str, bk: str) -> DataFrame:
     return df.select(F.concat(F.lit(f"{a}/"), ak).alias("src"), F.concat(F.lit(f"{b}/"), bk).alias("ref"))
@@ -97,3 +111,14 @@ def register(r: Registry) -> None:
     )
     def fk_load_order(spark, d):
         return load_order(cyclic_edges(spark, d))
+
+    @r.add(f"SELECT a AS src, c AS ref FROM ({_RINGS})")
+    def fk_break_edges_overlapping(spark, d):
+        return break_edges(overlapping_edges(spark, d))
+
+    @r.add(
+        f"""SELECT a AS node, 0::INT AS level FROM ({_RINGS}) UNION ALL SELECT b, 1::INT FROM ({_RINGS})
+            UNION ALL SELECT c, 2::INT FROM ({_RINGS})"""
+    )
+    def fk_load_order_overlapping(spark, d):
+        return load_order(overlapping_edges(spark, d))

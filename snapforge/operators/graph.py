@@ -7,6 +7,8 @@ the number of rounds is the depth of the graph, not its size.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -182,21 +184,44 @@ def cycle_edges(edges: DataFrame) -> DataFrame:
     return _inner_edges(edges, components(edges)).select(*edges.columns)
 
 
+def _turn(inner: DataFrame) -> DataFrame:
+    """All edges on one side of one node per component (``inner``: src, ref, root).
+
+    The node with the fewest edges on its smaller side is taken, then the one with the most on the
+    other side, then the last name. Every cycle through it ends with that side.
+    """
+    one, none = F.lit(1), F.lit(0)
+    ends = inner.select("root", F.col("src").alias("node"), none.alias("_in"), one.alias("_out")).union(
+        inner.select("root", "ref", one, none)
+    )
+    degrees = ends.groupBy("root", "node").agg(F.sum("_in").alias("_in"), F.sum("_out").alias("_out"))
+    best = F.struct(
+        (-F.least("_in", "_out")).alias("few"), F.greatest("_in", "_out").alias("many"), F.col("node"), (F.col("_in") <= F.col("_out")).alias("arriving")
+    )
+    chosen = degrees.groupBy("root").agg(F.max(best).alias("_t"))
+    side = F.when(F.col("_t.arriving"), F.col("ref")).otherwise(F.col("src"))
+    return inner.join(chosen, "root").filter(side == F.col("_t.node")).select("src", "ref")
+
+
 def break_edges(edges: DataFrame) -> DataFrame:
     """Edges whose removal leaves no cycle.
 
-    In every component nodes are ranked by their distance from its root and their name; the edges
-    that do not lead to a higher rank are the ones to remove. All others go strictly up, so no
-    cycle can remain. A single cycle loses one edge.
+    Self references go. In every component of the rest one node loses its edges of one side, see
+    ``_turn``; then the components of what is left are searched again, until there are none. So an
+    edge only goes while it lies on a cycle, and cycles that share an edge can end with that one.
+    All components take their turn in the same round.
     """
-    parts = keep(components(edges), "components")
-    inner = _inner_edges(edges.select(F.col("src").cast("string"), F.col("ref").cast("string")), parts)
-    starts = parts.filter("node = root").select("node", "root")
-    ranked = _spread(starts, keep(inner.select("src", "ref", F.col("root").alias("color")).distinct(), "inner"))
-    a = ranked.select(F.col("node").alias("src"), "root", F.struct("depth", "node").alias("_from"))
-    b = ranked.select(F.col("node").alias("ref"), F.col("root").alias("_root"), F.struct("depth", "node").alias("_to"))
-    joined = edges.join(a, "src").join(b, "ref").filter("root = _root")
-    return joined.filter(~(F.col("_from") < F.col("_to"))).select(*edges.columns)
+    pairs = keep(_pairs(edges.select(F.col("src").cast("string"), F.col("ref").cast("string"))), "pairs")
+    left, gone = pairs.filter("src <> ref"), [pairs.filter("src = ref")]
+    while True:
+        inner = keep(_inner_edges(left, keep(components(left), "components")), "inner")
+        if inner.isEmpty():
+            break
+        gone.append(keep(_turn(inner), "turn"))
+        left = inner.select("src", "ref").join(gone[-1], ["src", "ref"], "left_anti")
+    removed = reduce(DataFrame.union, gone).select(F.col("src").alias("_src"), F.col("ref").alias("_ref"))
+    same = (F.col("src").cast("string") == F.col("_src")) & (F.col("ref").cast("string") == F.col("_ref"))
+    return edges.join(removed, same, "left_semi")
 
 
 def load_order(edges: DataFrame, nodes: DataFrame | None = None) -> DataFrame:
