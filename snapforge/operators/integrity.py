@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import re
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -86,19 +87,45 @@ def check_violations(df: DataFrame, predicate: str) -> DataFrame:
     return df.filter(~F.expr(predicate))
 
 
+_CHECK_FORMS = [
+    (re.compile(pattern, re.IGNORECASE), new)
+    for pattern, new in (
+        (r"::(character varying|double precision|timestamp with(out)? time zone|\w+)(\(\d+(,\s*\d+)?\))?(\[\])*", ""),
+        (r'"([^"]+)"', r"`\1`"),
+        (r"(?:<>|!=)\s*ALL\s*\(\s*(\()?\s*ARRAY\s*\[([^\]]*)\]\s*(?(1)\))\s*\)", r"NOT IN (\2)"),
+        (r"=\s*ANY\s*\(\s*(\()?\s*ARRAY\s*\[([^\]]*)\]\s*(?(1)\))\s*\)", r"IN (\2)"),
+        (r"\bARRAY\s*\[([^\]]*)\]", r"array(\1)"),
+        (r"(?<![\w)\]`])\[([^\[\]]+)\]", r"`\1`"),
+    )
+]
+
+
 def check_predicate(condef: str) -> str:
     """Spark SQL predicate from the text of a check constraint.
 
     Takes off the ``CHECK ( ... )`` wrapping and rewrites the vendor forms that differ:
-    ``regexp_like(a, b)`` is kept (Spark has it), character set prefixes and ``::type`` casts of
-    literals go.
+    ``regexp_like(a, b)`` is kept (Spark has it), character set prefixes and ``::type`` casts go,
+    ``= ANY (ARRAY[..])`` becomes ``IN``, ``<> ALL (ARRAY[..])`` becomes ``NOT IN``, and names in
+    brackets or double quotes get backticks. Text inside literals stays as it is.
     """
     text = condef.strip()
     wrapped = re.fullmatch(r"(?is)check\s*\((.*)\)(\s+not\s+valid)?", text)
     if wrapped:
         text = wrapped.group(1).strip()
-    text = re.sub(r"_utf8mb[34]\\?'", "'", text).replace("\\'", "'")
-    return re.sub(r"::(character varying|[a-z_]+(\(\d+(,\d+)?\))?)(\[\])?", "", text)
+    escaped = re.search(r"_utf8mb[34]\\?'", text)  # this vendor's literals have backslash escapes, as Spark's
+    if escaped:
+        text = re.sub(r"_utf8mb[34]\\?'", "'", text).replace("\\'", "'")
+    literals: list[str] = []
+
+    def put_aside(found: re.Match) -> str:
+        inner = found.group(1) if escaped else found.group(1).replace("\\", "\\\\")
+        literals.append("'" + inner.replace("''", "\\'") + "'")
+        return f"\0{len(literals) - 1}\0"
+
+    text = re.sub(r"'((?:[^']|'')*)'", put_aside, text)
+    for pattern, new in _CHECK_FORMS:
+        text = pattern.sub(new, text)
+    return re.sub(r"\0(\d+)\0", lambda found: literals[int(found.group(1))], text)
 
 
 def not_null_violations(df: DataFrame, columns: list[str]) -> DataFrame:
@@ -146,6 +173,14 @@ def length_violations(df: DataFrame, columns: DataFrame) -> DataFrame:
     return df.withColumn("violations", F.array_compact(F.array(*tests))).filter(F.size("violations") > 0)
 
 
+def _understood(df: DataFrame, predicate: str) -> bool:
+    """Whether Spark can read a predicate on the columns of ``df``; nothing is run."""
+    try:
+        return bool(df.select(~F.expr(predicate)).columns)
+    except AnalysisException:
+        return False
+
+
 def _row_rules(df: DataFrame, table: str, checks: list[tuple[str, str]], required: list[str]) -> DataFrame:
     """Check rules (broken rows) and the NOT NULL rule (columns with nulls) of one table, in one pass."""
     counts = [F.count_if(~F.expr(p)).alias(f"_c{i}") for i, (_, p) in enumerate(checks)]
@@ -169,7 +204,9 @@ def violation_report(dfs: dict[str, DataFrame], catalog: Catalog) -> DataFrame:
     """Number of violations per declared rule: ``rule``, ``table``, ``constraint``, ``violations``.
 
     What a database would refuse on restore, as one lazy DataFrame: keys count by value, checks by
-    row, NOT NULL by column. The loops run over the rules of the catalog, not over data.
+    row, NOT NULL by column. A check whose text Spark cannot read is listed with the rule
+    ``check not translated`` and null violations. The loops run over the rules of the catalog, not
+    over data.
     """
     parts: list[DataFrame] = []
 
@@ -190,8 +227,15 @@ def violation_report(dfs: dict[str, DataFrame], catalog: Catalog) -> DataFrame:
         if child in dfs and parent in dfs:
             add("foreign key", child, f["constraint"], orphan_keys(dfs[child], dfs[parent], f["src_columns"], f["ref_columns"]))
     checks: dict[str, list[tuple[str, str]]] = {}
+    strange: list[tuple] = []
     for c in catalog.checks.collect():
-        checks.setdefault(qualify(c["schema"], c["table"]), []).append((c["constraint"], check_predicate(c["condef"])))
+        table, predicate = qualify(c["schema"], c["table"]), check_predicate(c["condef"])
+        if table not in dfs:
+            continue
+        if _understood(dfs[table], predicate):
+            checks.setdefault(table, []).append((c["constraint"], predicate))
+        else:
+            strange.append(("check not translated", table, c["constraint"], None))
     required: dict[str, list[str]] = {}
     for c in catalog.columns.filter("not nullable").select("schema", "table", "name").collect():
         required.setdefault(qualify(c["schema"], c["table"]), []).append(c["name"])
@@ -199,8 +243,8 @@ def violation_report(dfs: dict[str, DataFrame], catalog: Catalog) -> DataFrame:
         names = sorted(n for n in required.get(table, []) if n in dfs[table].columns)
         if names or checks.get(table):
             parts.append(_row_rules(dfs[table], table, checks.get(table, []), names))
-    if not parts:
-        return local_frame(catalog.tables.sparkSession, [], "rule string, table string, constraint string, violations bigint")
+    if strange or not parts:
+        parts.append(local_frame(catalog.tables.sparkSession, strange, "rule string, table string, constraint string, violations bigint"))
     out = parts[0]
     for p in parts[1:]:
         out = out.unionByName(p)

@@ -83,7 +83,7 @@ def test_check(spark):
         ("check (a > 0) NOT VALID", "a > 0"),
         ("((status)::text = 'new'::text)", "((status) = 'new')"),
         ("regexp_like(`code`,_utf8mb4\\'^[A-Z]+$\\')", "regexp_like(`code`,'^[A-Z]+$')"),
-        ("(kind = ANY (ARRAY['a'::character varying]))", "(kind = ANY (ARRAY['a']))"),
+        ("(kind = ANY (ARRAY['a'::character varying]))", "(kind IN ('a'))"),
         ("price > 0", "price > 0"),
     ],
 )
