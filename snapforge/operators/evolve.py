@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import re
 from dataclasses import dataclass
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from snapforge.functions.types import spark_type
+from snapforge.session import local_frame
 
 
 @dataclass(frozen=True)
@@ -60,21 +63,74 @@ def column_ops(diff: DataFrame, schema: str | None, table: str) -> list[ColumnOp
     return ops
 
 
+# Names of the vendors for the clock and for a new identifier.
+_FUNCTIONS = {
+    "current_date": "current_date()",
+    "current_timestamp": "current_timestamp()",
+    "localtimestamp": "current_timestamp()",
+    "now": "current_timestamp()",
+    "getdate": "current_timestamp()",
+    "sysdatetime": "current_timestamp()",
+    "gen_random_uuid": "uuid()",
+    "newid": "uuid()",
+    "uuid": "uuid()",
+}
+_LITERAL = re.compile(r"(?is)[ne]?'((?:[^']|'')*)'(?:::.+)?")
+_CALL = re.compile(r"(?is)(\w+)\s*(\(.*\))")
+
+
+def _unwrapped(text: str) -> str:
+    """``text`` without the brackets around the whole of it; brackets in literals do not count."""
+    while text.startswith("(") and text.endswith(")"):
+        bare, depth = re.sub(r"'(?:[^']|'')*'", lambda m: "x" * len(m.group()), text), 0
+        for at, char in enumerate(bare):
+            depth += (char == "(") - (char == ")")
+            if depth == 0:
+                break
+        if at < len(text) - 1:
+            break
+        text = text[1:-1].strip()
+    return text
+
+
 def default_value(default: str | None, dtype: str) -> Column:
-    """A default as a typed constant; quotes and a trailing ``::type`` are taken off literals.
+    """A default as a typed constant; brackets, quotes and a trailing ``::type`` are taken off.
 
-    A default that is a function call, such as ``now()``, is evaluated by Spark.
+    The clock and identifier functions of the vendors become Spark's. ``ValueError`` for any other
+    call, such as the next value of a sequence. A literal that does not fit the type gives null.
     """
     if default is None:
         return F.lit(None).cast(dtype)
-    text = default.split("::")[0].strip()
-    if text.upper() == "NULL":
+    text = _unwrapped(default.strip())
+    literal = _LITERAL.fullmatch(text)
+    if literal:
+        return F.lit(literal.group(1).replace("''", "'")).try_cast(dtype)
+    plain = _unwrapped(text.split("::")[0].strip())
+    if plain.upper() == "NULL":
         return F.lit(None).cast(dtype)
-    if len(text) > 1 and text[0] == text[-1] == "'":
-        return F.lit(text[1:-1].replace("''", "'")).cast(dtype)
-    if text.endswith(")") and "(" in text and not text.startswith("("):
-        return F.expr(text).cast(dtype)
-    return F.lit(text.strip("()")).cast(dtype)
+    call = _CALL.fullmatch(text)
+    known = _FUNCTIONS.get((call.group(1) if call else plain).lower())
+    if known and (not call or re.fullmatch(r"\(\s*\d*\s*\)", call.group(2))):
+        return F.expr(known).cast(dtype)
+    if call:
+        raise ValueError(f"default {default!r} cannot be translated")
+    return F.lit(plain).try_cast(dtype)
+
+
+def _is_null(default: str | None) -> bool:
+    return default is None or _unwrapped(_unwrapped(default.strip()).split("::")[0].strip()).upper() == "NULL"
+
+
+def _default_problem(df: DataFrame, default: str | None, dtype: str) -> str:
+    """Why a default cannot be used for a column of this type, or an empty text."""
+    if _is_null(default):
+        return ""
+    try:
+        # One row of constants: the planner folds it, no data is read.
+        one = local_frame(df.sparkSession, [(1,)], "one int").select(default_value(default, dtype).isNull())
+        return f"default {default!r} does not fit {dtype}" if one.head()[0] else ""
+    except (ValueError, AnalysisException) as error:
+        return str(error).splitlines()[0]
 
 
 _TYPE_FIELDS = {"data_type", "column_type", "max_length", "num_precision", "num_scale"}
@@ -139,8 +195,11 @@ def _plan(df: DataFrame, op: ColumnOp) -> tuple[ColumnOp, Column | None, Column
     except (ValueError, AttributeError):
         return op, None, None, f"unknown data type {op.data_type!r}"
     if op.op == "CREATE":
+        problem = _default_problem(df, op.default, dtype)
+        if problem:
+            return op, None, None, problem
         value = default_value(op.default, dtype)
-        test = F.lit(True) if not op.nullable and op.default is None else None
+        test = F.lit(True) if not op.nullable and _is_null(op.default) else None
         return op, value, test, ""
     col = F.col(f"`{op.name}`")
     test = F.lit(False)
