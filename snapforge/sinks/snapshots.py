@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 import re
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from concurrent.futures import ThreadPoolExecutor
+from contextlib import contextmanager
 from dataclasses import dataclass
 from datetime import UTC, datetime
 
@@ -21,6 +22,7 @@ from snapforge.sources.snapshots import (
     manifest_path,
     offsets_path,
     read_manifest,
+    read_stored_catalog,
     table_path,
     version_path,
 )
@@ -96,7 +98,7 @@ def write_snapshot(
     Rows go through one range shuffle and are written once; the stored position column gives row
     numbers and pages later without another sort. With ``ordered`` off there is no shuffle: rows
     keep the order of the input, and so do the pages. An existing version is an error, and so is
-    an empty set of tables.
+    an empty set of tables. When a table fails, the whole version is taken away again.
     """
     guard_writable(storage)
     if not dfs:
@@ -105,8 +107,6 @@ def write_snapshot(
     for table in dfs:
         _check_name("table", table)
     spark = next(iter(dfs.values())).sparkSession
-    if path_exists(spark, version_path(storage.root, data, version)):
-        raise FileExistsError(f"version {version} of {data} exists in {storage.name}")
 
     def store(table: str) -> int:
         path = table_path(storage.root, data, version, table)
@@ -114,16 +114,33 @@ def write_snapshot(
         write_positioned(dfs[table], path, parts, (pks or {}).get(table), nulls, compression, ordered)
         return folder_size(spark, path)
 
-    return _finish(spark, storage, data, version, _each_table(list(dfs), store), tags)
+    with _whole_version(spark, storage, data, version):
+        return _finish(spark, storage, data, version, _each_table(list(dfs), store), tags)
+
+
+@contextmanager
+def _whole_version(spark: SparkSession, storage: Storage, data: str, version: int) -> Iterator[None]:
+    """Takes a new version away again when writing it fails, so that it can be tried once more."""
+    if path_exists(spark, version_path(storage.root, data, version)):
+        raise FileExistsError(f"version {version} of {data} exists in {storage.name}")
+    try:
+        yield
+    except BaseException:
+        delete_version(spark, storage, data, version)
+        raise
+
+
+def _stored(spark: SparkSession, storage: Storage, data: str, version: int) -> DataFrame:
+    """Manifest rows of what a storage holds already; without a manifest one row with the size of its folders."""
+    if storage.record:
+        return read_manifest(spark, storage.root)
+    held = folder_size(spark, storage.root) - folder_size(spark, version_path(storage.root, data, version))
+    return _record(spark, storage, data, version, {"all": held}, None, datetime.now(UTC))
 
 
 def _finish(spark, storage: Storage, data: str, version: int, sizes: dict[str, int], tags) -> DataFrame:
     if storage.capacity is not None:
-        try:
-            assert_capacity(read_manifest(spark, storage.root), storage.capacity, sum(sizes.values()))
-        except ValueError:
-            delete_path(spark, version_path(storage.root, data, version))
-            raise
+        assert_capacity(_stored(spark, storage, data, version), storage.capacity, sum(sizes.values()))
     rows = _record(spark, storage, data, version, sizes, tags, datetime.now(UTC))
     if storage.record:
         _write_manifest(rows, storage.root)
@@ -173,7 +190,8 @@ def write_fanout(
                 spark.read.parquet(source).write.mode("errorifexists").option("compression", compression).parquet(target)
             return folder_size(spark, path)
 
-        rows = _finish(spark, s, data, version, _each_table(list(dfs), copy), tags)
+        with _whole_version(spark, s, data, version):
+            rows = _finish(spark, s, data, version, _each_table(list(dfs), copy), tags)
         if s.record:
             recorded.append(rows)
     out = local_frame(spark, [], MANIFEST)
@@ -208,13 +226,15 @@ def apply_retention(
 
 
 def clear_version(spark: SparkSession, storage: Storage, data: str, version: int, tables: list[str] | None = None) -> DataFrame:
-    """A new version (number + 1) in which the listed tables, or all, have no rows."""
+    """A new version (number + 1) in which the listed tables, or all, have no rows.
+
+    Tags and the stored catalog, if there is one, go along.
+    """
     guard_writable(storage)
-    names = {
-        r["name"]
-        for r in read_manifest(spark, storage.root)
-        .filter((F.col("data") == data) & (F.col("version") == version)).select("name").collect()  # one row per table
-    }
+    of_version = (F.col("data") == data) & (F.col("version") == version)
+    recorded = read_manifest(spark, storage.root).filter(of_version).select("name", "tags").collect()  # one row per table
+    names = {r["name"] for r in recorded}
+    tags = {key: value for r in recorded for key, value in (r["tags"] or {}).items()}
     wanted = names if tables is None else set(tables)
     if not names or wanted - names:
         raise ValueError(f"unknown tables {sorted(wanted - names)} in version {version} of {data}")
@@ -227,7 +247,11 @@ def clear_version(spark: SparkSession, storage: Storage, data: str, version: int
         partition_offsets(kept).write.mode("errorifexists").parquet(offsets_path(storage.root, data, version + 1, table))
         return folder_size(spark, path)
 
-    return _finish(spark, storage, data, version + 1, _each_table(sorted(names), carry), None)
+    with _whole_version(spark, storage, data, version + 1):
+        rows = _finish(spark, storage, data, version + 1, _each_table(sorted(names), carry), tags)
+        if path_exists(spark, catalog_path(storage.root, data, version)):
+            write_catalog(read_stored_catalog(spark, storage.root, data, version), storage, data, version + 1)
+    return rows
 
 
 __all__ = [
