@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-from snapforge.session import keep, local_frame, range_partitions
+from snapforge.session import keep, local_frame, range_partitions, reads_files_only
 
 # Paging limits.
 PAGES_PER_TABLE = 10
@@ -77,9 +77,15 @@ def with_position(df: DataFrame, sort: list[Column]) -> DataFrame:
     and not one. The random number is seeded per partition: over files a repeated task draws the
     same numbers; over an input without fixed order the session's shuffle checksums make readers
     of a repeated task run again (see ``build_session``).
+
+    A range shuffle reads its input twice, the first time for a sample. So an input that is more
+    than a scan of files (a join, a database table, an RDD, Python code) is written once, unordered,
+    to the scratch folder; from there the second read is cheap and the size is known.
     """
     columns = [_sort_key(f) for f in df.schema.fields]
     by = [*sort, F.col("_tie"), F.col("_copy")]
+    if not reads_files_only(df):
+        df = keep(df, "input")
     n = range_partitions(df)
     return (
         df.withColumn("_tie", F.xxhash64(*columns))

@@ -48,11 +48,27 @@ def partitions_for_bytes(size: int) -> int:
     return max(1, min(MAX_PARTITIONS, -(-size // PARTITION_BYTES)))
 
 
+def reads_files_only(df: DataFrame) -> bool:
+    """Whether ``df`` is a projection or filter of one file table, a range or a local table.
+
+    Only then is the planner's size estimate near the truth, and a second read cheap: the estimate of
+    a join is the product of its sides, that of a database table or an RDD a default near 8 EB.
+    """
+    if not hasattr(df, "_jdf"):
+        return False
+    node = df._jdf.queryExecution().optimizedPlan()
+    while node.nodeName() in ("Project", "Filter"):
+        node = node.children().head()
+    if node.nodeName() == "LogicalRelation":
+        return node.relation().getClass().getSimpleName() == "HadoopFsRelation"
+    return node.nodeName() in ("LocalRelation", "Range")
+
+
 def range_partitions(df: DataFrame) -> int | None:
     """Number of partitions for a full shuffle of ``df``, or None for the session's setting.
 
-    The planner's size estimate of the input decides. For inputs that the setting covers, None
-    leaves it to adaptive execution to merge small partitions.
+    The planner's size estimate of the input decides, see ``reads_files_only``. For inputs that the
+    setting covers, None leaves it to adaptive execution to merge small partitions.
     """
     if not hasattr(df, "_jdf"):  # a remote session shows no estimates
         return None
