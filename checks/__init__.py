@@ -41,9 +41,9 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
 
 def load_all() -> Registry:
     """Registry with all queries of this package."""
-    from checks import catalogs, files, graphs, history, integrity, masks, paging, storage
+    from checks import catalogs, files, graphs, history, integrity, masks, paging, storage, vendors
 
     registry = Registry()
-    for module in (masks, paging, integrity, catalogs, graphs, history, files, storage):
+    for module in (masks, paging, integrity, catalogs, graphs, history, files, storage, vendors):
         module.register(registry)
     return registry

@@ -11,6 +11,7 @@ from pyspark.sql import types as T
 
 from snapforge.catalog import Catalog
 from snapforge.functions.names import qualify
+from snapforge.sources.vendor_catalogs import QUERIES, catalog_from_views, vendor_catalog
 
 # Connection limit of one source, rows fetched per round trip.
 MAX_CONNECTIONS = 20
@@ -22,6 +23,7 @@ _ROW_HASH = {
     "MYSQL": "crc32(concat_ws('|-|', {columns}))",
     "SQLSERVER": "abs(cast(binary_checksum(*) as bigint))",
 }
+_OWN_SCHEMA = {"POSTGRES": "current_schema()", "MYSQL": "database()", "SQLSERVER": "schema_name()"}
 _QUOTES = {"POSTGRES": '"{}"', "MYSQL": "`{}`", "SQLSERVER": "[{}]"}
 
 
@@ -88,11 +90,13 @@ def table_maxima(spark: SparkSession, source: JdbcSource, table: str, columns: l
 
 
 def table_exists(spark: SparkSession, source: JdbcSource, table: str) -> bool:
-    """Whether the database has the table, from its information schema."""
+    """Whether the database has the table; a name without schema is looked up in the connection's own."""
     schema, _, name = table.rpartition(".")
+    if not schema:
+        schema = source.reader(spark).option("query", f"select {_OWN_SCHEMA[source.source_type]} as own").load().head()[0]
     views = source.reader(spark).option("dbtable", "information_schema.tables").load()
-    views = views.toDF(*[c.lower() for c in views.columns]).filter(F.col("table_name") == name)
-    return not (views.filter(F.col("table_schema") == schema) if schema else views).isEmpty()
+    views = views.toDF(*[c.lower() for c in views.columns])
+    return not views.filter((F.col("table_name") == name) & (F.col("table_schema") == schema)).isEmpty()
 
 
 def scan_table(
@@ -143,90 +147,29 @@ def read_folder(spark: SparkSession, root: str, tables: Iterable[str], pattern:
 
 
 def read_catalog(spark: SparkSession, source: JdbcSource, schemas: Iterable[str]) -> Catalog:
-    """Columns and constraints of a database, from the standard information schema views.
-
-    The views are read as tables and joined here; the schema filter is pushed down.
-    """
-    wanted = list(schemas)
-
-    def view(name: str, schema_column: str) -> DataFrame:
-        df = source.reader(spark).option("dbtable", f"information_schema.{name}").load()
-        df = df.toDF(*[c.lower() for c in df.columns])
-        return df.filter(F.col(schema_column).isin(wanted))
-
-    return catalog_from_views(
-        spark,
-        columns=view("columns", "table_schema"),
-        table_constraints=view("table_constraints", "table_schema"),
-        key_usage=view("key_column_usage", "table_schema"),
-        referential=view("referential_constraints", "constraint_schema"),
-        source_type=source.source_type,
-        schemas=wanted,
-    )
-
-
-def catalog_from_views(
-    spark: SparkSession,
-    columns: DataFrame,
-    table_constraints: DataFrame,
-    key_usage: DataFrame,
-    referential: DataFrame,
-    source_type: str | None = None,
-    schemas: Iterable[str] | None = None,
-) -> Catalog:
-    """Catalog from frames shaped like the standard information schema views."""
-    from snapforge.catalog import catalog_constraints
-
-    def optional(df: DataFrame, name: str, dtype: str):
-        return F.col(name).cast(dtype) if name in df.columns else F.lit(None).cast(dtype)
-
-    length = optional(columns, "character_maximum_length", "bigint")
-    # A length of -1 marks an unbounded type, and lengths past the int range mean the same.
-    bounded = F.when(length.between(0, 2**31 - 1), length.cast("int"))
-    cols = columns.select(
-        F.col("table_schema").alias("schema"),
-        F.col("table_name").alias("table"),
-        F.col("column_name").alias("name"),
-        F.col("ordinal_position").cast("int").alias("ordinal"),
-        F.coalesce(optional(columns, "udt_name", "string"), F.col("data_type")).alias("data_type"),
-        F.coalesce(
-            optional(columns, "column_type", "string"), optional(columns, "udt_name", "string"), F.col("data_type")
-        ).alias("column_type"),
-        bounded.alias("max_length"),
-        optional(columns, "numeric_precision", "int").alias("num_precision"),
-        optional(columns, "numeric_scale", "int").alias("num_scale"),
-        optional(columns, "column_key", "string").alias("column_key"),
-        optional(columns, "column_default", "string").alias("column_default"),
-        F.lit(None).cast("string").alias("default_constraint"),
-        (F.upper("is_nullable") == "YES").alias("nullable"),
-        F.coalesce(F.upper(optional(columns, "is_identity", "string")) == "YES", F.lit(False)).alias("identity"),
-    )
-    on = ["constraint_schema", "table_schema", "table_name", "constraint_name"]
-    used = key_usage.select(*on, "column_name", "ordinal_position", optional(key_usage, "position_in_unique_constraint", "int").alias("ref_pos"))
-    kinds = table_constraints.select(*on, F.col("constraint_type").alias("kind"))
-    target = key_usage.select(
-        F.col("constraint_schema").alias("unique_constraint_schema"),
-        F.col("constraint_name").alias("unique_constraint_name"),
-        F.col("ordinal_position").cast("int").alias("ref_pos"),
-        F.col("table_schema").alias("ref_schema"),
-        F.col("table_name").alias("ref_table"),
-        F.col("column_name").alias("ref_column"),
-    )
-    links = referential.select("constraint_schema", "constraint_name", "unique_constraint_schema", "unique_constraint_name")
-    rows = (
-        used.join(kinds, on)
-        .join(links, ["constraint_schema", "constraint_name"], "left")
-        .join(target, ["unique_constraint_schema", "unique_constraint_name", "ref_pos"], "left")
-        .select(
-            F.col("table_schema").alias("schema"),
-            F.col("table_name").alias("table"),
-            F.col("constraint_name").alias("constraint"),
-            "kind",
-            F.col("ordinal_position").cast("int").alias("ord"),
-            F.col("column_name").alias("column"),
-            "ref_schema",
-            "ref_table",
-            "ref_column",
-        )
-    )
-    return Catalog.of(spark, columns=cols, source_type=source_type, schemas=schemas, **catalog_constraints(rows))
+    """Catalog of a database, from its system views, see ``vendor_catalog``."""
+    queries = QUERIES[source.source_type]
+
+    def view(name: str) -> DataFrame:
+        reader = source.reader(spark)
+        where = ("query", queries[name]) if name in queries else ("dbtable", f"information_schema.{name}")
+        df = reader.option(*where).load()
+        return df.toDF(*[c.lower() for c in df.columns])
+
+    return vendor_catalog(spark, source.source_type, view, schemas)
+
+
+__all__ = [
+    "JdbcSource",
+    "aggregate_query",
+    "catalog_from_views",
+    "hash_predicates",
+    "read_catalog",
+    "read_folder",
+    "scan_table",
+    "scan_tables",
+    "split_options",
+    "table_exists",
+    "table_maxima",
+    "table_row_count",
+]
