@@ -40,7 +40,7 @@ def _pair_sql(wanted: str, current: str, keys: list[str], fields: list[str], set
     return f"""SELECT {', '.join(f'coalesce(s.{k}, t.{k}) AS {k}' for k in q)},
           CASE WHEN t."{any_key}" IS NULL THEN 'CREATE' WHEN s."{any_key}" IS NULL THEN 'DROP' ELSE 'MODIFY' END AS op,
           CASE WHEN t."{any_key}" IS NULL OR s."{any_key}" IS NULL THEN '' ELSE concat_ws(',', {', '.join(differs)}) END AS changed,
-          {', '.join(f't."{f}" AS "old_{f}", s."{f}" AS "new_{f}"' for f in fields if f not in sets)}
+          {', '.join(f't."{f}" AS "old_{f}", s."{f}" AS "new_{f}"' for f in fields)}
         FROM ({first(wanted, 's')}) s FULL JOIN ({first(current, 't')}) t ON {' AND '.join(f's.{k} = t.{k}' for k in q)}
         WHERE t."{any_key}" IS NULL OR s."{any_key}" IS NULL OR {' OR '.join(f"{value('s', f)} IS DISTINCT FROM {value('t', f)}" for f in fields)}"""
 
@@ -103,7 +103,7 @@ _FULL_COLUMN_DIFF = f"""SELECT * FROM ({_pair_sql(_W, _C, ['schema', 'table', 'n
 
 def _joined(fields: list[str]) -> list[str]:
     """Array fields of a comparison, as one text per side."""
-    return [f for f in fields if f in ("columns", "extra_columns")]
+    return [f for f in fields if f in ("columns", "extra_columns", "src_columns", "ref_columns")]
 
 
 def _flat_sql(sql: str, fields: list[str]) -> str:
@@ -114,14 +114,14 @@ def _flat_sql(sql: str, fields: list[str]) -> str:
     return f"SELECT * REPLACE ({swaps}) FROM ({sql})"
 
 
-def _flat(diff, keys: list[str], fields: list[str], sets: tuple[str, ...] = ()):
+def _flat(diff, keys: list[str], fields: list[str]):
     """The same shape from Spark: keys, op, changed, old_* and new_*."""
 
     def side(which: str, f: str):
         col = F.col(f"{which}.{f}")
         return (F.array_join(col, ",") if f in _joined(fields) else col).alias(f"{which}_{f}")
 
-    pairs = [side(which, f) for f in fields if f not in sets for which in ("old", "new")]
+    pairs = [side(which, f) for f in fields for which in ("old", "new")]
     return diff.select(*keys, "op", F.concat_ws(",", "changed_fields").alias("changed"), *pairs)
 
 
@@ -241,12 +241,9 @@ def register(r: Registry) -> None:
     def diff_columns(spark, d):
         return _flat(df_.diff_columns(*dv.catalog_pair(spark, d)), ["schema", "table", "name"], df_.COLUMN_FIELDS)
 
-    @r.add(_FK_DIFF)
+    @r.add(_flat_sql(_FK_DIFF, df_.FOREIGN_KEY_FIELDS))
     def diff_foreign_keys(spark, d):
-        sets = ("src_columns", "ref_columns")
-        return _flat(
-            df_.diff_foreign_keys(*dv.full_catalog_pair(spark, d)), ["src_schema", "src_table", "constraint"], df_.FOREIGN_KEY_FIELDS, sets
-        )
+        return _flat(df_.diff_foreign_keys(*dv.full_catalog_pair(spark, d)), ["src_schema", "src_table", "constraint"], df_.FOREIGN_KEY_FIELDS)
 
     @r.add(_flat_sql(_UNIQUE_DIFF, df_.UNIQUE_FIELDS))
     def diff_uniques(spark, d):
@@ -318,11 +315,11 @@ def register(r: Registry) -> None:
         return evolve_table(table(spark, d, "part"), ops, ["p_partkey", "p_name"])[0]
 
     @r.add(
-        """SELECT l_orderkey, l_linenumber, TRY_CAST(l_extendedprice AS DECIMAL(12,2)) AS l_extendedprice, l_shipdate::DATE AS l_shipdate,
-                  l_returnflag, true AS checked FROM lineitem"""
+        """SELECT * EXCLUDE (l_tax) REPLACE (TRY_CAST(l_extendedprice AS DECIMAL(12,2)) AS l_extendedprice, l_shipdate::DATE AS l_shipdate),
+                  true AS checked FROM lineitem"""
     )
     def evolve_lineitem_from_diff(spark, d):
-        line = table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", "l_extendedprice", "l_shipdate", "l_returnflag", "l_tax")
+        line = table(spark, d, "lineitem")
         names = {"l": line}
         current = Catalog.of(spark, columns=catalog_columns(spark, names))
         wanted_rows = catalog_columns(spark, names).filter("name <> 'l_tax'")
@@ -335,7 +332,7 @@ def register(r: Registry) -> None:
             }
         )
         extra = wanted_rows.limit(1).withColumns(
-            {"name": F.lit("checked"), "data_type": F.lit("boolean"), "column_type": F.lit("boolean"), "column_default": F.lit("true"), "ordinal": F.lit(9),
+            {"name": F.lit("checked"), "data_type": F.lit("boolean"), "column_type": F.lit("boolean"), "column_default": F.lit("true"), "ordinal": F.lit(99),
              "num_precision": F.lit(None).cast("int"), "num_scale": F.lit(None).cast("int")}
         )
         wanted = Catalog.of(spark, columns=wanted_rows.unionByName(extra))

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from checks import Registry, table
 from snapforge.functions.checksums import checksum_md5, checksum_sha256
+from snapforge.session import scratch_path
 from snapforge.sources.files import changed_files, expand_archives, file_checksums, file_inventory
 
 
@@ -27,6 +28,17 @@ def _pack(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield pd.DataFrame({"path": [f"{i}.zip" for i in batch["doc_id"]], "content": packed})
 
 
+def _page_files(spark, d: str) -> str:
+    """A folder with one text file per page; the writer ends each with a line feed."""
+    folder = scratch_path(spark, "pages")
+    table(spark, d, "pages").select("page_id", "html").write.partitionBy("page_id").text(folder)
+    return folder
+
+
+def _page_id():
+    return F.regexp_extract("path", "page_id=([0-9]+)/", 1).cast("bigint").alias("page_id")
+
+
 def register(r: Registry) -> None:
     @r.add("SELECT doc_id, md5(text) AS md5, sha256(text) AS sha256 FROM documents")
     def doc_checksums(spark, d):
@@ -49,13 +61,15 @@ def register(r: Registry) -> None:
         )
         return changed_files(now, past)
 
-    @r.add()
-    def file_inventory_tables(spark, d):
-        return file_inventory(spark, d)
+    @r.add("SELECT page_id, octet_length(encode(html)) + 1 AS length, 'text/plain' AS content_type, true AS named FROM pages")
+    def file_inventory_pages(spark, d):
+        found = file_inventory(spark, _page_files(spark, d))
+        return found.select(_page_id(), "length", "content_type", F.col("name").startswith("part-").alias("named"))
 
-    @r.add()
-    def file_checksums_tables(spark, d):
-        return file_checksums(spark, d, "sha256")
+    @r.add("SELECT page_id, octet_length(encode(html)) + 1 AS length, sha256(html || chr(10)) AS sha256 FROM pages")
+    def file_checksums_pages(spark, d):
+        found = file_checksums(spark, _page_files(spark, d), "sha256")
+        return found.select(_page_id(), "length", F.col("checksum").alias("sha256"))
 
     @r.add(
         """SELECT concat(doc_id, '.zip') AS path, concat(doc_id, '.txt') AS name, 'text/plain' AS content_type,

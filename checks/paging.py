@@ -42,11 +42,11 @@ def register(r: Registry) -> None:
         return counts.withColumn("page_size", page_size(F.col("n"), 4))
 
     @r.add(
-        """SELECT o_orderkey, row_num, (row_num - 1) // (SELECT least(100000, greatest(1000, ceil(count(*) / 10.0)))::BIGINT FROM orders) AS page_num
-           FROM (SELECT o_orderkey, row_number() OVER (ORDER BY o_orderkey) AS row_num FROM orders)"""
+        """SELECT *, (row_num - 1) // (SELECT least(100000, greatest(1000, ceil(count(*) / 10.0)))::BIGINT FROM orders) AS page_num
+           FROM (SELECT *, row_number() OVER (ORDER BY o_orderkey) AS row_num FROM orders)"""
     )
     def page_number_orders(spark, d):
-        return page_number(table(spark, d, "orders").select("o_orderkey"), ["o_orderkey"])
+        return page_number(table(spark, d, "orders"), ["o_orderkey"])
 
     @r.add(
         """SELECT page_num, count(*) AS row_count, min(l_orderkey) AS first_order, max(l_orderkey) AS last_order,
@@ -135,14 +135,11 @@ def register(r: Registry) -> None:
         df = table(spark, d, "orders")
         return decode_cells(df.select(encode_cells(df.schema).alias("cells")), "cells", df.schema)
 
-    @r.add("SELECT vec_id, label, len(embedding) AS dims, embedding[1] AS first_value, embedding[len(embedding)] AS last_value FROM embeddings")
+    @r.add("SELECT vec_id, label, generate_subscripts(embedding, 1) - 1 AS place, unnest(embedding) AS value FROM embeddings")
     def decode_cells_arrays(spark, d):
         df = table(spark, d, "embeddings")
         back = decode_cells(df.select(encode_cells(df.schema).alias("cells")), "cells", df.schema)
-        return back.select(
-            "vec_id", "label", F.size("embedding").cast("bigint").alias("dims"), F.col("embedding")[0].alias("first_value"),
-            F.element_at("embedding", -1).alias("last_value"),
-        )
+        return back.select("vec_id", "label", F.posexplode("embedding").alias("place", "value")).withColumn("place", F.col("place").cast("bigint"))
 
     @r.add(
         """SELECT event_type, event_id, row_number() OVER w AS rank, sum(user_id) OVER w AS running

@@ -163,7 +163,8 @@ def _unified(diff: DataFrame, entity: str) -> DataFrame:
 def diff_catalog(src: Catalog, tgt: Catalog, skip_sequences: bool = False) -> DataFrame:
     """All differences, in the order in which they would be applied.
 
-    The table changes are needed by every other comparison, so they are written once.
+    The table changes are needed by every other comparison, so they are written once, and so are the
+    differences before the final sort, which reads its input twice.
     """
     gone = keep(diff_tables(src, tgt), "tables")
     parts = {
@@ -181,7 +182,7 @@ def diff_catalog(src: Catalog, tgt: Catalog, skip_sequences: bool = False) -> Da
         one = _unified(diff, entity)
         out = one if out is None else out.unionByName(one)
     by_table = F.when(F.col("entity") == "column", F.col("table"))
-    return out.orderBy(_rank(F.col("entity"), ENTITIES), by_table, _rank(F.col("op"), OPERATIONS), "qualified_name", "table")
+    return keep(out, "changes").orderBy(_rank(F.col("entity"), ENTITIES), by_table, _rank(F.col("op"), OPERATIONS), "qualified_name", "table")
 
 
 def dry_run(src: Catalog, tgt: Catalog, skip_sequences: bool = False) -> DataFrame:

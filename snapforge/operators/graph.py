@@ -13,7 +13,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from snapforge.functions.names import qualified_name
-from snapforge.session import keep, local_frame
+from snapforge.session import keep, local_frame, scratch_path
+
+# Rounds after which the parts found so far are written as one.
+COMPACT = 8
 
 
 def catalog_edges(foreign_keys: DataFrame) -> DataFrame:
@@ -29,32 +32,30 @@ def _pairs(edges: DataFrame) -> DataFrame:
     return edges.select("src", "ref").distinct()
 
 
-def _peel(pairs: DataFrame) -> tuple[list[DataFrame], bool]:
-    """The edges that are left after each round, and whether they ran out.
+def _peel(pairs: DataFrame, nodes: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+    """``node``, ``level`` of all nodes, and the edges that never go (those into or on a cycle).
 
-    A round drops the edges whose ref has no edge of its own any more. A node is the src of an edge
-    in as many rounds as its longest path is long; edges into or on a cycle are never dropped.
+    A round drops the edges whose ref has no edge of its own any more. The nodes that still are the
+    src of an edge go to a folder of the round, and the level of a node is the last round that lists
+    it. All rounds are read as one table, so no plan grows with the depth.
     """
-    rounds: list[DataFrame] = []
-    left, size = pairs, pairs.count()
-    while size:
-        rounds.append(left)
-        waiting = left.select(F.col("src").alias("ref")).distinct()
-        left = keep(left.join(waiting, "ref", "left_semi").select("src", "ref"), "edges")
-        before, size = size, left.count()
-        if size == before:
-            return rounds, False
-    return rounds, True
-
-
-def _levels(pairs: DataFrame, rounds: list[DataFrame], nodes: DataFrame | None) -> DataFrame:
+    spark = pairs.sparkSession
     every = pairs.select(F.col("src").alias("node")).union(pairs.select("ref"))
     if nodes is not None:
         every = every.union(nodes.select("node"))
-    counted = every.select("node", F.lit(0).alias("_in"))
-    for left in rounds:
-        counted = counted.union(left.select("src").distinct().select("src", F.lit(1)))
-    return counted.groupBy("node").agg(F.sum("_in").cast("int").alias("level"))
+    path, level = scratch_path(spark, "levels"), 0
+    every.distinct().write.parquet(f"{path}/level=0")
+    left = pairs.filter("src <> ref")
+    size = left.count()
+    while size:
+        level += 1
+        left.select(F.col("src").alias("node")).distinct().write.parquet(f"{path}/level={level}")
+        waiting = left.select(F.col("src").alias("ref")).distinct()
+        rest = keep(left.join(waiting, "ref", "left_semi").select("src", "ref"), "edges")
+        before, size, left = size, rest.count(), rest
+        if size == before:
+            break
+    return spark.read.parquet(path).groupBy("node").agg(F.max("level").alias("level")), left
 
 
 def dependency_levels(edges: DataFrame, nodes: DataFrame | None = None) -> DataFrame:
@@ -63,22 +64,24 @@ def dependency_levels(edges: DataFrame, nodes: DataFrame | None = None) -> DataF
     Self references are ignored; any other cycle is an error, see ``load_order``. ``nodes`` adds
     nodes without edges.
     """
-    pairs = keep(_pairs(edges), "edges")
-    rounds, acyclic = _peel(pairs.filter("src <> ref"))
-    if not acyclic:
+    levels, left = _peel(keep(_pairs(edges), "edges"), nodes)
+    if not left.isEmpty():
         raise ValueError("the edges contain a cycle; use load_order")
-    return _levels(pairs, rounds, nodes)
+    return levels
 
 
 def reachability(edges: DataFrame) -> DataFrame:
     """All pairs (src, ref) with a path from src to ref, cycles included.
 
-    Each round extends only the pairs found in the round before.
+    Each round extends only the pairs found in the round before. The known pairs are one part per
+    round; every ``COMPACT`` rounds they are written together, so that plans stay short.
     """
     step = keep(_pairs(edges), "edges")
     hop = step.select(F.col("src").alias("mid"), F.col("ref").alias("next"))
     known = fresh = step
+    rounds = 0
     while True:
+        rounds += 1
         longer = (
             fresh.join(hop, fresh["ref"] == hop["mid"]).select("src", F.col("next").alias("ref")).distinct()
         )
@@ -86,6 +89,8 @@ def reachability(edges: DataFrame) -> DataFrame:
         if fresh.isEmpty():
             return known
         known = known.unionByName(fresh)
+        if rounds % COMPACT == 0:
+            known = keep(known, "paths")
 
 
 def _trim(pairs: DataFrame) -> DataFrame:
@@ -140,6 +145,8 @@ def _spread(start: DataFrame, pairs: DataFrame) -> DataFrame:
         if fresh.isEmpty():
             return seen
         seen = seen.unionByName(fresh)
+        if depth % COMPACT == 0:
+            seen = keep(seen, "spread")
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -230,9 +237,10 @@ def load_order(edges: DataFrame, nodes: DataFrame | None = None) -> DataFrame:
     Cycles are only searched, in the edges that are left over, when the first pass does not end.
     """
     pairs = keep(_pairs(edges), "edges")
-    proper = pairs.filter("src <> ref")
-    rounds, acyclic = _peel(proper)
-    if not acyclic:
-        broken = keep(break_edges(rounds[-1]), "broken")
-        rounds, _ = _peel(keep(proper.join(broken, ["src", "ref"], "left_anti"), "edges"))
-    return _levels(pairs, rounds, nodes)
+    levels, left = _peel(pairs, nodes)
+    if left.isEmpty():
+        return levels
+    broken = keep(break_edges(left), "broken")
+    every = pairs.select(F.col("src").alias("node")).union(pairs.select("ref"))
+    kept = keep(pairs.join(broken, ["src", "ref"], "left_anti"), "edges")
+    return _peel(kept, every if nodes is None else every.union(nodes.select("node")))[0]

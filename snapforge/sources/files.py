@@ -29,8 +29,6 @@ CONTENT_TYPES = {
 }
 UNKNOWN_TYPE = "application/octet-stream"
 
-# Longer files are hashed piece by piece instead of being loaded into a cell.
-CELL_LIMIT = 256 << 20
 _PIECE = 8 << 20
 
 
@@ -65,18 +63,14 @@ def _open(path: str):
     return where.open_input_file(inner)
 
 
-def file_checksums(spark: SparkSession, path: str, algorithm: str = "md5", cell_limit: int = CELL_LIMIT) -> DataFrame:
+def file_checksums(spark: SparkSession, path: str, algorithm: str = "md5") -> DataFrame:
     """path, length and hex digest of all files below ``path``.
 
-    Files that fit a cell are hashed by Spark; longer ones are streamed piece by piece inside a
-    task, one file at a time, since a digest has to see its bytes in order.
+    Files are streamed piece by piece inside a task, one at a time, since a digest has to see its
+    bytes in order; so their length does not matter, and all lengths go through the same client.
     """
     if algorithm not in ("md5", "sha256"):
         raise ValueError(f"unknown digest {algorithm!r}")
-    digest = checksum_md5 if algorithm == "md5" else checksum_sha256
-    files = _binary(spark, path)
-    small = files.filter(F.col("length") <= cell_limit).select("path", "length", digest(F.col("content")).alias("checksum"))
-    large = files.filter(F.col("length") > cell_limit).select("path", "length")
 
     def stream(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -89,7 +83,7 @@ def file_checksums(spark: SparkSession, path: str, algorithm: str = "md5", cell_
                 sums.append(h.hexdigest())
             yield batch.assign(checksum=sums)
 
-    return small.unionByName(large.mapInPandas(stream, "path string, length bigint, checksum string"))
+    return _binary(spark, path).select("path", "length").mapInPandas(stream, "path string, length bigint, checksum string")
 
 
 def changed_files(files: DataFrame, previous: DataFrame, only_changed: bool = True) -> DataFrame:
