@@ -8,12 +8,17 @@ per range partition.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from typing import TypeVar
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-from snapforge.session import keep, local_frame, range_partitions, reads_files_only
+from snapforge.session import SAMPLE_BYTES, SHUFFLE_KEY, keep, local_frame, range_partitions, range_samples, reads_files_only
+
+Result = TypeVar("Result")
 
 # Paging limits.
 PAGES_PER_TABLE = 10
@@ -69,24 +74,49 @@ def sort_order(df: DataFrame, order: list[str] | None, nulls: str = "last") -> l
     return [k.asc_nulls_last() if nulls == "last" else k.asc_nulls_first() for k in keys]
 
 
-def with_position(df: DataFrame, sort: list[Column]) -> DataFrame:
-    """Range partition and sort ``df`` and add the position column.
+def _ranged_input(df: DataFrame) -> DataFrame:
+    """``df``, written once where it is more than a scan of files.
+
+    A range shuffle reads its input twice, the first time for a sample. So a join, a database table,
+    an RDD or Python code is written once, unordered, to the scratch folder; from there the second
+    read is cheap and the size is known.
+    """
+    return df if reads_files_only(df) else keep(df, "input")
+
+
+def _key_bytes(df: DataFrame, names: list[str]) -> int:
+    """Mean bytes of the columns ``names`` and the two spreading numbers in one row.
+
+    Runs a job over the columns of variable length only, and none if there are none.
+    """
+    width, parts = 16, []
+    for name in names:
+        col, kind = F.col(f"`{name}`"), df.schema[name].dataType
+        if isinstance(kind, (T.StringType, T.BinaryType)):
+            parts.append(F.octet_length(col))
+        elif isinstance(kind, (T.ArrayType, T.MapType, T.StructType, T.VariantType)):
+            parts.append(F.octet_length(F.to_json(col)))
+        else:
+            width += kind.precision // 2 + 1 if isinstance(kind, T.DecimalType) else 8
+    if parts:
+        total = parts[0] * 0
+        for part in parts:
+            total = total + F.coalesce(part, F.lit(0))
+        width += int(df.agg(F.avg(F.coalesce(total, F.lit(0)))).head()[0] or 0)
+    return width
+
+
+def with_position(df: DataFrame, sort: list[Column], n: int | None = None) -> DataFrame:
+    """Range partition and sort ``df`` and add the position column; ``n`` partitions, or the session's number.
 
     Rows with equal keys are spread by a hash of the whole row and exact copies by a random
     number, so that a key or a row that makes up a large part of the table fills many partitions
     and not one. The random number is seeded per partition: over files a repeated task draws the
     same numbers; over an input without fixed order the session's shuffle checksums make readers
     of a repeated task run again (see ``build_session``).
-
-    A range shuffle reads its input twice, the first time for a sample. So an input that is more
-    than a scan of files (a join, a database table, an RDD, Python code) is written once, unordered,
-    to the scratch folder; from there the second read is cheap and the size is known.
     """
     columns = [_sort_key(f) for f in df.schema.fields]
     by = [*sort, F.col("_tie"), F.col("_copy")]
-    if not reads_files_only(df):
-        df = keep(df, "input")
-    n = range_partitions(df)
     return (
         df.withColumn("_tie", F.xxhash64(*columns))
         .withColumn("_copy", F.rand(17))
@@ -97,6 +127,28 @@ def with_position(df: DataFrame, sort: list[Column]) -> DataFrame:
     )
 
 
+def write_ranged(df: DataFrame, sort: list[Column], names: list[str], write: Callable[[DataFrame], Result]) -> Result:
+    """Hand the positioned rows to ``write``, which has to run them; ``names`` are the key's columns.
+
+    The sample that a range shuffle sends to the driver is kept within ``SAMPLE_BYTES``: wide keys
+    get fewer samples per partition, and when one is too many, fewer and longer partitions, which
+    the sort spills. All rows go on whatever the sample is.
+    """
+    df = _ranged_input(df)
+    n = range_partitions(df)
+    now = n or int(df.sparkSession.conf.get(SHUFFLE_KEY))
+    # The planner samples three rows for each one asked for.
+    most = max(1, SAMPLE_BYTES // (3 * _key_bytes(df, names)))
+    if most < now:
+        n = now = most
+    with range_samples(df.sparkSession, most // now):
+        return write(with_position(df, sort, n))
+
+
+def _keep_positioned(df: DataFrame, sort: list[Column], names: list[str] | None, label: str) -> DataFrame:
+    return write_ranged(df, sort, names or df.columns, lambda rows: keep(rows, label))
+
+
 def part_of(position: Column) -> Column:
     return F.shiftright(position, _POSITION_BITS)
 
@@ -134,7 +186,7 @@ def number_rows(
     df: DataFrame, order: list[str] | None = None, nulls: str = "last", name: str = "row_num", start: int = 1
 ) -> DataFrame:
     """Consecutive row numbers in sort order."""
-    return number_positioned(keep(with_position(df, sort_order(df, order, nulls)), "numbered"), name, start)
+    return number_positioned(_keep_positioned(df, sort_order(df, order, nulls), order, "numbered"), name, start)
 
 
 def row_sequence(df: DataFrame, name: str = "row_key") -> DataFrame:
@@ -150,7 +202,7 @@ def page_number(
     batch: int = DEFAULT_BATCH,
 ) -> DataFrame:
     """Add ``page_num`` from 0, and ``row_num``; ``size`` defaults to ``page_size`` of the table."""
-    positioned = keep(with_position(df, sort_order(df, order, nulls)), "paged")
+    positioned = _keep_positioned(df, sort_order(df, order, nulls), order, "paged")
     if size is None:
         size = positioned.agg(page_size(F.count(F.lit(1)), batch)).head()[0]
     numbered = number_positioned(positioned)
@@ -159,7 +211,7 @@ def page_number(
 
 def read_page(df: DataFrame, page: int, size: int, order: list[str] | None = None, nulls: str = "last") -> DataFrame:
     """Rows of one page in key order, with their ``row_num``."""
-    return page_of(keep(with_position(df, sort_order(df, order, nulls)), "paged"), page, size)
+    return page_of(_keep_positioned(df, sort_order(df, order, nulls), order, "paged"), page, size)
 
 
 def page_of(positioned: DataFrame, page: int, size: int, offsets: DataFrame | None = None) -> DataFrame:
@@ -190,7 +242,8 @@ def running_totals(
     each piece, and the totals of the pieces before are added.
     """
     sort = [F.col(g).asc_nulls_last() for g in group] + list(order)
-    positioned = keep(with_position(df, sort), "running").withColumn("_part", part_of(F.col(POSITION)))
+    # The order is made of expressions over any columns, so all of them count as the key.
+    positioned = _keep_positioned(df, sort, None, "running").withColumn("_part", part_of(F.col(POSITION)))
     pieces = ["_part", *group]
     inside = Window.partitionBy(*pieces).orderBy(POSITION)
     until = inside.rowsBetween(Window.unboundedPreceding, Window.currentRow)
@@ -230,14 +283,17 @@ def write_positioned(
 
     Rows are stored in key order, or with ``ordered`` off as they come, without any shuffle.
     """
+
+    def write(positioned: DataFrame) -> None:
+        writer = positioned.write.mode("errorifexists")
+        if compression:
+            writer = writer.option("compression", compression)
+        writer.parquet(path)
+
     if ordered:
-        positioned = with_position(df, sort_order(df, order, nulls))
+        write_ranged(df, sort_order(df, order, nulls), order or df.columns, write)
     else:
-        positioned = df.withColumn(POSITION, F.monotonically_increasing_id())
-    writer = positioned.write.mode("errorifexists")
-    if compression:
-        writer = writer.option("compression", compression)
-    writer.parquet(path)
+        write(df.withColumn(POSITION, F.monotonically_increasing_id()))
     partition_offsets(df.sparkSession.read.parquet(path)).write.mode("errorifexists").parquet(offsets_path)
 
 

@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import tempfile
+import threading
 import uuid
-from collections.abc import Iterable, Sequence
+from collections.abc import Iterable, Iterator, Sequence
+from contextlib import contextmanager
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -16,6 +18,13 @@ SHUFFLE_KEY = "spark.sql.shuffle.partitions"
 # Input bytes per shuffle partition, and the most partitions one shuffle gets.
 PARTITION_BYTES = 128 << 20
 MAX_PARTITIONS = 100_000
+# Bytes of sort keys that the sample of a range shuffle may bring to the driver.
+SAMPLE_BYTES = 1 << 30
+_SAMPLE_KEY = "spark.sql.execution.rangeExchange.sampleSizePerPartition"
+_SAMPLE_DEFAULT = 100
+_sampling: dict[str, list[int]] = {}
+_sampling_set: set[str] = set()
+_sampling_lock = threading.Lock()
 
 
 def build_session(app: str = "snapforge", master: str | None = None, **conf: str) -> SparkSession:
@@ -77,6 +86,35 @@ def range_partitions(df: DataFrame) -> int | None:
     return wanted if wanted > int(df.sparkSession.conf.get(SHUFFLE_KEY)) else None
 
 
+@contextmanager
+def range_samples(spark: SparkSession, rows: int) -> Iterator[None]:
+    """Range shuffles run inside sample at most ``rows`` rows per partition (1 to the usual 100).
+
+    The setting belongs to the session; of several threads at a time the smallest number holds.
+    """
+    session = str(spark._jsparkSession.hashCode()) if hasattr(spark, "_jsparkSession") else ""
+    rows = max(1, min(_SAMPLE_DEFAULT, rows))
+
+    def apply(active: list[int]) -> None:
+        if active and min(active) < _SAMPLE_DEFAULT:
+            spark.conf.set(_SAMPLE_KEY, str(min(active)))
+            _sampling_set.add(session)
+        elif session in _sampling_set:
+            spark.conf.unset(_SAMPLE_KEY)
+            _sampling_set.remove(session)
+
+    with _sampling_lock:
+        active = _sampling.setdefault(session, [])
+        active.append(rows)
+        apply(active)
+    try:
+        yield
+    finally:
+        with _sampling_lock:
+            active.remove(rows)
+            apply(active)
+
+
 def _scratch_base(spark: SparkSession) -> str:
     base = spark.conf.get(CHECKPOINT_KEY, None) or spark.sparkContext.getCheckpointDir()
     if base:

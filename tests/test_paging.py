@@ -113,3 +113,25 @@ def test_numbering_has_no_global_window_over_rows(spark):
     # The only single-partition exchange carries the counts per partition.
     assert plan.count("SinglePartition") == 1
     assert "CartesianProduct" not in plan and "BroadcastNestedLoopJoin" not in plan
+
+
+def test_sample_of_wide_keys_is_bounded(spark, monkeypatch):
+    """A budget for a few keys leaves fewer partitions and samples; the numbering is the same."""
+    import snapforge.operators.paging as paging
+
+    key = "spark.sql.execution.rangeExchange.sampleSizePerPartition"
+    df = spark.range(0, 500, 1, 8).select(F.format_string("%0500d", F.col("id") * 7 % 500).alias("k"), F.lit(None).cast("string").alias("v"))
+    seen = []
+
+    def write(rows):
+        seen.append((spark.conf.get(key), rows.rdd.getNumPartitions()))
+        return paging.keep(rows, "seen")
+
+    for budget in (3 * 516 * 4, 3 * 516 * 40, 1 << 30):
+        monkeypatch.setattr(paging, "SAMPLE_BYTES", budget)
+        kept = paging.write_ranged(df, sort_order(df, None), df.columns, write)
+        numbers = [r[0] for r in paging.number_positioned(kept).orderBy("k").select("row_num").collect()]
+        assert numbers == list(range(1, 501))
+    assert [s for s, _ in seen] == ["1", "5", "100"]
+    assert seen[0][1] == 4
+    assert spark.conf.get(key) == "100"
