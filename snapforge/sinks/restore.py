@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import zlib
 from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
 
@@ -64,6 +65,33 @@ class JdbcTarget:
         empty = self.source.reader(spark).option("dbtable", self.source.quote_table(table)).load().limit(0)
         self._writer(empty, table).option("truncate", "true").mode("overwrite").save()
 
+    def drop(self, spark: SparkSession, table: str) -> None:
+        """Through Spark's table catalog of the database, whose connection settings stay in the session."""
+        s = self.source
+        name = f"snapforge_{zlib.crc32(s.url.encode())}"
+        base = f"spark.sql.catalog.{name}"
+        spark.conf.set(base, "org.apache.spark.sql.execution.datasources.v2.jdbc.JDBCTableCatalog")
+        for key, value in {"url": s.url, **s.properties}.items():
+            spark.conf.set(f"{base}.{key}", value)
+        quoted = ".".join(f"`{part.replace('`', '``')}`" for part in table.split("."))
+        spark.sql(f"DROP TABLE IF EXISTS {name}.{quoted}")
+
+    def check_load(self, catalog: Catalog) -> None:
+        """Refuse, before the first row, what the database would refuse."""
+        if self.source_type != "SQLSERVER":
+            return
+        counted = catalog.columns.filter("identity").select(qualified_name(F.col("schema"), F.col("table")).alias("q"))
+        named = [r["q"] for r in counted.distinct().orderBy("q").collect()]
+        if named:
+            raise ValueError(f"explicit identity values cannot be written over JDBC: {named}")
+
+    def check_clear(self, catalog: Catalog, tables: list[str]) -> None:
+        """Clearing truncates, and no database truncates a table that another one refers to."""
+        edges = catalog_edges(catalog.foreign_keys).filter("src <> ref").select("ref").distinct()
+        used = sorted({r["ref"] for r in edges.collect()} & set(tables))
+        if used:
+            raise ValueError(f"foreign keys refer to {used}; delete their rows in the database")
+
 
 @dataclass(frozen=True)
 class TableTarget:
@@ -140,6 +168,8 @@ def restore_all(
         catalog = process(catalog)
     if catalog.source_type and target.source_type and catalog.source_type != target.source_type:
         raise ValueError(f"cannot restore {catalog.source_type} into {target.source_type}")
+    if hasattr(target, "check_load"):
+        target.check_load(catalog)
     levels = table_levels(catalog)
     missing = [t for level in levels for t in level if t not in dfs]
     if missing:
@@ -179,9 +209,14 @@ def _children_first(catalog: Catalog, names: list[str] | None) -> list[str]:
 
 
 def clear_tables(target, catalog: Catalog, names: list[str] | None = None) -> list[str]:
-    """Delete all rows of the named tables, or of all, children first."""
+    """Delete all rows of the named tables, or of all, children first.
+
+    A target that cannot clear a table refuses before any is cleared.
+    """
     guard_writable(target)
     ordered = _children_first(catalog, names)
+    if hasattr(target, "check_clear"):
+        target.check_clear(catalog, ordered)
     for table in ordered:
         target.clear(catalog.tables.sparkSession, table)
     return ordered

@@ -3,13 +3,16 @@
 import pytest
 from pyspark.sql import functions as F
 
-from snapforge.catalog import Catalog, Column
+from snapforge.catalog import Catalog, Column, ForeignKey
 from snapforge.operators.evolve import ColumnOp, evolve_table
 from snapforge.operators.graph import break_edges, load_order
 from snapforge.operators.integrity import check_predicate, check_violations, violation_report
 from snapforge.operators.paging import page_number, row_sequence
 from snapforge.session import local_frame, range_partitions, reads_files_only
+from snapforge.sinks.restore import JdbcTarget, clear_tables, restore_all
 from snapforge.sinks.snapshots import Storage, clear_version, write_catalog, write_snapshot
+from snapforge.sources.tables import JdbcSource
+from snapforge.sources.vendor_catalogs import standard_constraints
 from snapforge.sources.snapshots import read_manifest, read_stored_catalog, version_path
 
 
@@ -138,3 +141,22 @@ def test_joined_and_python_inputs_are_read_once(spark):
     assert row_sequence(joined).agg(F.max("row_key")).head()[0] == 500
     rdd = spark.createDataFrame(spark.sparkContext.parallelize([(i,) for i in range(300)], 3), "x int")
     assert not reads_files_only(rdd) and range_partitions(spark.range(10)) is None
+
+
+def test_database_targets_refuse_before_the_first_change(spark):
+    """No connection is opened: the address has no driver."""
+    columns = [Column("s", "child", "id", "int", identity=True), Column("s", "parent", "id", "int")]
+    keys = [ForeignKey("fk", "s", "child", ("id",), "s", "parent", ("id",))]
+    catalog = Catalog.of(spark, columns=columns, foreign_keys=keys)
+    target = JdbcTarget(JdbcSource("jdbc:none", "SQLSERVER"))
+    with pytest.raises(ValueError, match="s.parent"):
+        clear_tables(target, catalog)
+    with pytest.raises(ValueError, match="identity values.*s.child"):
+        restore_all({}, catalog, target)
+
+
+def test_standard_views_without_targets_are_an_error(spark):
+    usage = local_frame(spark, [("s", "s", "t", "fk", "a", 1)], "constraint_schema string, table_schema string, table_name string, constraint_name string, column_name string, ordinal_position int")
+    kinds = local_frame(spark, [("s", "s", "t", "fk", "FOREIGN KEY")], "constraint_schema string, table_schema string, table_name string, constraint_name string, constraint_type string")
+    with pytest.raises(ValueError, match="do not say"):
+        standard_constraints(kinds, usage, None)
