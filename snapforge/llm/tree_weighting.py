@@ -4,9 +4,10 @@ The byte after a context is coded as eight binary decisions, each with a Krichev
 from the zeros and ones that the training texts hold for it. Contexts are the last 0 to ``DEPTH``
 bytes; a node of the tree mixes its own estimate with that of the next longer context by weights
 that follow from the whole subtree: P_w = (P_kt + product of the children's P_w) / 2. All contexts of
-the training texts are counted in Spark; the weights are found from the longest contexts up. For
-scoring, the contexts of two and more bytes lie in tables of a fixed number of slots that are found
-by a hash and carry a tag, so what is sent to the tasks has one size whatever the corpus is.
+the training texts are counted in Spark; the weights are found from the longest contexts up. Every
+decision is kept: those of two and more bytes stay in the partition of their context's last two bytes,
+and the distinct grams of the texts are sent there and their values sent back. Only the decisions of
+at most one byte of context, at most 256 * 255 of a length, are sent to all tasks.
 """
 
 from __future__ import annotations
@@ -17,6 +18,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -24,12 +26,11 @@ from snapforge.llm.common import fold, partitions, planes, text_bytes, unplanes
 from snapforge.session import keep
 
 DEPTH = 5
-SLOT_BITS = 21  # slots of one table: 2^21
-_COUNT_BYTES = 1 << 20  # bytes of texts that are counted at once
+_STOP = 2  # bytes of the context that decide the partition
 _FLUSH_BYTES = 1 << 20  # bytes of texts whose words are packed together
-_SCORE_BYTES = 1 << 17
+_GROUP_BYTES = 1 << 24  # bytes of texts whose grams are sent together
+_GROUP_GRAMS = 1_500_000
 _ROWS = 512  # rows of a batch that are unpacked at once
-_MEMO_BITS = 20
 _WORDS = 100_000
 
 
@@ -58,42 +59,17 @@ def _merge(held: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.nd
     return keys, np.bincount(at, weights=np.concatenate([c for _, c in held])).astype(np.int64)
 
 
-def _by_part(parts: np.ndarray, *columns: np.ndarray) -> Iterator[tuple[int, bytes]]:
-    """(part, packed columns) of each part, rows in their order."""
-    order = np.argsort(parts.astype(np.uint16), kind="stable")
-    cuts = np.flatnonzero(np.diff(parts[order])) + 1
-    for rows in np.split(order, cuts):
-        if len(rows):
-            yield int(parts[rows[0]]), _blob(*(c[rows] for c in columns))
-
-
-def _sent(rows: Iterator[tuple[int, bytes]]) -> pa.RecordBatch:
-    parts, data = zip(*rows)
-    return pa.RecordBatch.from_arrays([pa.array(parts, pa.int32()), pa.array(data, pa.binary())], names=["part", "data"])
-
-
-def _count_task(depth: int, stop: int, parts: int):
-    """Counts of all contexts with their byte, packed by a hash of the last ``stop`` bytes of the context."""
-
-    def pack(keys: np.ndarray, counts: np.ndarray) -> pa.RecordBatch:
-        with np.errstate(over="ignore"):
-            mixed = (keys >> np.uint64(8 * (depth + 1 - stop))) * np.uint64(0x9E3779B97F4A7C15)
-        return _sent(_by_part(((mixed >> np.uint64(32)) % np.uint64(parts)).astype(np.int64), keys, counts))
+def _parts(grams: np.ndarray, depth: int, parts: int) -> np.ndarray:
+    """Partition of each key, by a hash of the last ``_STOP`` bytes of its context."""
+    with np.errstate(over="ignore"):
+        mixed = (grams >> np.uint64(8 * (depth + 1 - _STOP))) * np.uint64(0x9E3779B97F4A7C15)
+    return ((mixed >> np.uint64(32)) % np.uint64(parts)).astype(np.uint32 if parts >> 16 else np.uint16)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[tuple[np.ndarray, np.ndarray]] = []
-        for portion in _portions(batches, _COUNT_BYTES):
-            grams = _grams(*_flat([t for _, t in portion]), depth)
-            if len(grams):
-                held.append(np.unique(grams, return_counts=True))
-            if sum(len(k) for k, _ in held) > 1_500_000:
-                held = [_merge(held)]
-                if len(held[0][0]) > 750_000:
-                    yield pack(*held.pop())
-        if held:
-            yield pack(*_merge(held))
 
-    return run
+def _split(part: np.ndarray) -> list[np.ndarray]:
+    """Places of each part, parts ascending, places in their order."""
+    order = np.argsort(part, kind="stable")
+    return np.split(order, np.flatnonzero(np.diff(part[order])) + 1) if len(order) else []
 
 
 def _portions(batches: Iterator[pa.RecordBatch], most: int) -> Iterator[list[tuple]]:
@@ -147,74 +123,6 @@ def kt(zeros: np.ndarray, ones: np.ndarray) -> np.ndarray:
     return _log_gamma(zeros, 0.5) + _log_gamma(ones, 0.5) - math.log(math.pi) - _log_gamma(zeros + ones, 1.0)
 
 
-def slot(node: np.ndarray, depth: int, bits: int) -> tuple[np.ndarray, np.ndarray]:
-    """Slot of a decision in the table of its depth and its tag; short contexts have slots of their own and tag 0."""
-    if 8 * (depth + 1) <= bits:
-        return node.astype(np.int64), np.zeros(len(node), np.uint16)
-    with np.errstate(over="ignore"):
-        h = (node + np.uint64(depth)) * np.uint64(0x9E3779B97F4A7C15)
-        h ^= h >> np.uint64(29)
-        h *= np.uint64(0xBF58476D1CE4E5B9)
-    return (h >> np.uint64(64 - bits)).astype(np.int64), (h >> np.uint64(20)).astype(np.uint16)
-
-
-_SHARDS = 64  # parts of each table
-
-
-def _busiest(place, tag, zeros, ones, own) -> tuple[np.ndarray, ...]:
-    """Of the decisions that share a slot the one made most often has it; the others are left to shorter contexts."""
-    order = np.lexsort((tag, zeros + ones, place))
-    last = order[np.append(place[order][1:] != place[order][:-1], True)] if len(order) else order
-    return tuple(x[last] for x in (place, tag, zeros, ones, own))
-
-
-def _weigh_task(depth: int, stop: int, bits: int):
-    """Decisions of contexts of ``depth`` down to ``stop`` bytes, packed by depth and part of its table.
-
-    All rows of a ``stop``-byte context are in one task. The decisions of one byte less, with the sum of
-    their children's log P_w, go on as sums.
-    """
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = [tuple(_unblob(data)) for batch in batches for data in batch.column(1).to_pylist()]
-        if not held:
-            return
-        gram, n = _merge(held)
-        below: dict[str, np.ndarray] | None = None
-        for d in range(depth, stop - 1, -1):
-            key = ((gram >> np.uint64(8 * (depth + 1 - d))) << np.uint64(8)) | (gram & np.uint64(255))
-            found, at = np.unique(key, return_inverse=True)
-            node, zeros, ones = _bits(found, np.bincount(at, weights=n))
-            value, own = _mix(node, zeros, ones, below)
-            place, tag = slot(node, d, bits)
-            place, tag, zeros4, ones4, own2 = _busiest(place, tag, zeros.astype(np.float32), ones.astype(np.float32), own.astype(np.float16))
-            shard = (d * _SHARDS + (place * _SHARDS >> min(bits, 8 * (d + 1)))).astype(np.int64)
-            yield _sent(_by_part(shard, place.astype("<u4"), tag, zeros4, ones4, own2))
-            below = {"node": node, "value": value}
-        parent = ((node >> np.uint64(16)) << np.uint64(8)) | (node & np.uint64(255))
-        up, at = np.unique(parent, return_inverse=True)
-        sums = [np.bincount(at, weights=x) for x in (zeros, ones, value)]
-        yield _sent((part, data) for part, data in _by_part((up % np.uint64(_SHARDS)).astype(np.int64), up, *sums))
-
-    return run
-
-
-def _table_task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """One packed row per part: of a table (``part`` from the depth on), or of the sums (below ``_SHARDS``)."""
-    held: dict[int, list] = {}
-    for batch in batches:
-        for part, data in zip(*(c.to_pylist() for c in batch.columns)):
-            held.setdefault(part, []).append(_unblob(data))
-    for part, blobs in held.items():
-        columns = [np.concatenate(c) for c in zip(*blobs)]
-        if part < _SHARDS:
-            up, at = np.unique(columns[0], return_inverse=True)
-            yield _sent([(part, _blob(up, *(np.bincount(at, weights=c) for c in columns[1:])))])
-        else:
-            place, tag, zeros, ones, own = _busiest(*columns)
-            yield _sent([(part, _blob(place, tag, _logit(zeros, ones), own))])
-
-
 def _mix(node, zeros, ones, below) -> tuple[np.ndarray, np.ndarray]:
     """log P_w of the nodes and the weight of their own estimate; contexts of ``below`` are one byte longer."""
     alone = kt(zeros, ones)
@@ -227,98 +135,121 @@ def _mix(node, zeros, ones, below) -> tuple[np.ndarray, np.ndarray]:
     return value, np.exp(alone - math.log(2) - value)
 
 
-def _logit(zeros: np.ndarray, ones: np.ndarray) -> np.ndarray:
-    return np.log((ones + 0.5) / (zeros + 0.5)).astype(np.float16)
+def _chance(zeros: np.ndarray, ones: np.ndarray) -> np.ndarray:
+    return (ones + 0.5) / (zeros + ones + 1)
 
 
 class Model:
-    """Per depth, by slot: tag, log odds of a one (not a number: no decision), weight of the own estimate.
+    """Per depth: sorted decisions, their chance of a one and the weight of the own estimate."""
 
-    Only slots in use are stored and sent; a task spreads them over the slots when it scores first.
-    """
+    def __init__(self, depth: int) -> None:
+        self.depth, self.tables = depth, {}
+
+    def add(self, depth: int, node, chance, own) -> None:
+        self.tables[depth] = node, chance, own
 
-    def __init__(self, depth: int, bits: int) -> None:
-        self.depth, self.bits = depth, bits
-        self.packed: dict[int, list[tuple[np.ndarray, ...]]] = {d: [] for d in range(depth + 1)}
-        self.tables: dict[int, tuple[np.ndarray, ...]] | None = None
-
-    def add(self, depth: int, place, tag, odds, own) -> None:
-        self.packed[depth].append((place.astype("<u4"), tag.astype(np.uint16), odds.astype(np.float16), own.astype(np.float16)))
-
-    def _spread(self) -> None:
-        self.keys = np.full(1 << _MEMO_BITS, np.iinfo(np.uint64).max, np.uint64)
-        self.values = np.zeros(1 << _MEMO_BITS, np.float32)
-        self.tables = {}
-        for d, parts in self.packed.items():
-            size = 1 << min(self.bits, 8 * (d + 1))
-            self.tables[d] = np.zeros(size, np.uint16), np.full(size, np.nan, np.float16), np.zeros(size, np.float16)
-            for place, *columns in parts:
-                for table, column in zip(self.tables[d], columns):
-                    table[place] = column
-        self.packed = {}
-
-    def _fresh(self, gram: np.ndarray) -> np.ndarray:
+    def log10(self, gram: np.ndarray) -> np.ndarray:
         """log10 probability of the byte of each key."""
         total = np.zeros(len(gram))
         byte = gram & np.uint64(255)
         for b in range(8):
             prefix = (np.uint64(1) << np.uint64(b)) | (byte >> np.uint64(8 - b))
             chance, seen = np.full(len(gram), 0.5), np.zeros(len(gram), bool)
-            for d in range(self.depth, -1, -1):
+            for d in sorted(self.tables, reverse=True):
+                nodes, ones, own = self.tables[d]
+                if not len(nodes):
+                    continue
                 context = gram >> np.uint64(8 * (self.depth + 1 - d))
-                at, tag = slot((context << np.uint64(8)) | prefix, d, self.bits)
-                tags, odds, weights = (t[at] for t in self.tables[d])
-                ones, own = 1 / (1 + np.exp(-odds.astype(np.float64))), weights.astype(np.float64)
+                node = (context << np.uint64(8)) | prefix
+                at = np.minimum(np.searchsorted(nodes, node), len(nodes) - 1)
                 # A context without counts leaves the decision to the shorter one alone.
-                here = (tags == tag) & ~np.isnan(odds)
+                here, ones, own = nodes[at] == node, ones[at], own[at]
                 chance = np.where(here, np.where(seen, own * ones + (1 - own) * chance, ones), chance)
                 seen |= here
             bit = (byte >> np.uint64(7 - b)) & np.uint64(1)
             total += np.log10(np.where(bit == 1, chance, 1 - chance))
         return total
 
-    def log10(self, gram: np.ndarray) -> np.ndarray:
-        if self.tables is None:
-            self._spread()
-        with np.errstate(over="ignore"):
-            at = ((gram * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - _MEMO_BITS)).astype(np.int64)
-        known = self.keys[at] == gram
-        out = np.empty(len(gram), np.float32)
-        out[known] = self.values[at[known]]
-        if not known.all():
-            new, back = np.unique(gram[~known], return_inverse=True)
-            values = self._fresh(new).astype(np.float32)
-            out[~known] = values[back]
-            at = ((new * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - _MEMO_BITS)).astype(np.int64)
-            self.keys[at], self.values[at] = new, values
-        return out
-
 
-def train(texts: DataFrame, depth: int = DEPTH, bits: int = SLOT_BITS) -> Model:
-    """The model of all texts (column ``text``); null and empty texts teach nothing.
+def _weigh(gram: np.ndarray, n: np.ndarray, depth: int) -> tuple[Model, tuple[np.ndarray, ...]]:
+    """Decisions of contexts of ``depth`` down to ``_STOP`` bytes, and (node, zeros, ones, log P_w) of the last.
 
-    What comes to the driver is bounded: a value per decision of the contexts of at most one byte, and
-    the slots of the hashed tables, at most 2^bits for each longer length.
+    The keys are distinct and sorted and hold all rows of their ``_STOP``-byte contexts.
     """
-    stop, parts, sent = 2, partitions(texts), "part int, data binary"
-    counted = texts.select("text").mapInArrow(_count_task(depth, stop, parts), sent)
-    weighed = counted.repartitionById(parts, F.col("part")).mapInArrow(_weigh_task(depth, stop, bits), sent)
-    packed = weighed.repartitionById(parts, F.col("part")).mapInArrow(_table_task, sent)
-    model, sums = Model(depth, bits), []
-    for row in packed.toLocalIterator():
-        if row.part < _SHARDS:
-            sums.append(_unblob(row.data))
-        else:
-            model.add(row.part // _SHARDS, *_unblob(row.data))
-    if not sums:
+    model, below = Model(depth), None
+    for d in range(depth, _STOP - 1, -1):
+        key = ((gram >> np.uint64(8 * (depth + 1 - d))) << np.uint64(8)) | (gram & np.uint64(255))
+        found, at = np.unique(key, return_inverse=True)
+        node, zeros, ones = _bits(found, np.bincount(at, weights=n))
+        value, own = _mix(node, zeros, ones, below)
+        model.add(d, node, _chance(zeros, ones), own)
+        below = {"node": node, "value": value}
+    return model, (node, zeros, ones, value)
+
+
+def _received(batches: Iterator[pa.RecordBatch]) -> tuple[list[tuple[int, int, int]], np.ndarray, np.ndarray, np.ndarray]:
+    """(part, group, number of keys) of each row, the distinct keys, their counts, and the place of each row's keys."""
+    rows, keys, counts = [], [], []
+    for batch in batches:
+        for part, _, group, data in zip(*(c.to_pylist() for c in batch.columns)):
+            steps, n = _unblob(zstandard.decompress(data))
+            rows.append((part, group, len(steps)))
+            keys.append(np.cumsum(steps.astype(np.uint64), dtype=np.uint64))
+            counts.append(n)
+    if not rows:
+        return rows, *(np.zeros(0, np.uint64) for _ in range(3))
+    found, at = np.unique(np.concatenate(keys), return_inverse=True)
+    return rows, found, np.bincount(at, weights=np.concatenate(counts)), at
+
+
+def _sum_task(depth: int):
+    """The decisions of one byte of context, with the sum of their children's log P_w, of the keys of a partition."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        _, gram, n, _ = _received(batches)
+        gram, n = gram[n > 0], n[n > 0]
+        if len(gram):
+            _, (node, *sums) = _weigh(gram, n, depth)
+            up, at = np.unique(((node >> np.uint64(16)) << np.uint64(8)) | (node & np.uint64(255)), return_inverse=True)
+            columns = [pa.array(up.astype(np.int64)), *(pa.array(np.bincount(at, weights=x)) for x in sums)]
+            yield pa.RecordBatch.from_arrays(columns, names=["node", "zeros", "ones", "value"])
+
+    return run
+
+
+def _value_task(shipped, groups: int):
+    """Values of the keys of a partition, told to every group of texts that has them (kind 4)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows, gram, n, at = _received(batches)
+        if not rows:
+            return
+        short = shipped.value
+        model = _weigh(gram[n > 0], n[n > 0], short.depth)[0] if (n > 0).any() else Model(short.depth)
+        model.tables |= short.tables
+        values = np.concatenate([model.log10(gram[i : i + (1 << 16)]) for i in range(0, len(gram), 1 << 16)]).astype("<f4")
+        end = 0
+        for part, group, size in rows:
+            yield _packed([(_place(group, groups), 4, group, part.to_bytes(4, "little") + _blob(values[at[end : end + size]]))])
+            end += size
+
+    return run
+
+
+def _shorter(sent: DataFrame, depth: int) -> Model:
+    """Decisions of contexts of one and no byte; what comes to the driver is at most 256 * 255 rows."""
+    model = Model(depth)
+    sums = sent.mapInArrow(_sum_task(depth), "node long, zeros double, ones double, value double")
+    rows = sums.groupBy("node").agg(*(F.sum(c).alias(c) for c in ("zeros", "ones", "value"))).toArrow()
+    if not rows.num_rows:
         return model
-    node, zeros, ones, children = (np.concatenate(c) for c in zip(*sums))  # at most 256 * 255
+    node, zeros, ones, children = (c.to_numpy() for c in rows.columns)
     order = np.argsort(node)
-    node, zeros, ones, children = node[order], zeros[order], ones[order], children[order]
+    node, zeros, ones, children = node[order].astype(np.uint64), zeros[order], ones[order], children[order]
     for d in (1, 0):
         alone = kt(zeros, ones)
         value = np.logaddexp(alone, children) - math.log(2)
-        model.add(d, node, np.zeros(len(node)), _logit(zeros, ones), np.exp(alone - math.log(2) - value))
+        model.add(d, node, _chance(zeros, ones), np.exp(alone - math.log(2) - value))
         up = ((node >> np.uint64(16)) << np.uint64(8)) | (node & np.uint64(255))
         node, back = np.unique(up, return_inverse=True)
         zeros, ones, children = (np.bincount(back, weights=x) for x in (zeros, ones, value))
@@ -365,52 +296,90 @@ def _unblob(data: bytes) -> list[np.ndarray]:
     return out
 
 
-def _word_task(shipped, buckets: int, groups: int):
-    """Per batch of texts: their words' counts by bucket (kind 0), and the texts' own data (kind 1)."""
+def _group(flush: int) -> int:
+    return flush >> 16
+
+
+def _place(group: int, groups: int) -> int:
+    """Partition in which the texts of a group are finished."""
+    return ((group >> 24) + 7919 * (group & 0xFFFFFF)) % groups
+
+
+def _words(codes: _Codes, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Tokens of each text, the distinct words, and the place in these of each token."""
+    words = [data.lower().split() + [_END] for data in texts]
+    lengths = np.array([len(w) for w in words])
+    flat = np.fromiter((codes[w] for ws in words for w in ws), np.uint64, int(lengths.sum()))
+    return lengths, *np.unique(flat, return_inverse=True)
+
+
+def _send_task(depth: int, buckets: int, parts: int, groups: int):
+    """Per batch of texts: their words' counts by bucket (kind 0), and the texts (kind 1).
+
+    Per group of batches: their distinct grams with the counts of the training texts, by part (kind 3).
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        task, model, codes = TaskContext.get().partitionId(), shipped.value, _Codes()
-        for number, part in enumerate(_portions(batches, _FLUSH_BYTES)):
-            flush = xxhash.xxh64_intdigest(repr((task, number, [o for o, _ in part][:1])).encode()) >> 1
-            ids, held = zip(*(o for o, _ in part))
-            words = [data.lower().split() + [_END] for _, data in part]
-            lengths = np.array([len(w) for w in words])
-            flat = np.fromiter((codes[w] for ws in words for w in ws), np.uint64, int(lengths.sum()))
-            known, word = np.unique(flat, return_inverse=True)
-            doc = np.repeat(np.arange(len(part)), lengths)
-            teaches = ~np.array(held)[doc]
+        codes, squeeze, quick = _Codes(), zstandard.ZstdCompressor(level=3), zstandard.ZstdCompressor(level=1)
+        group, number, size, held = TaskContext.get().partitionId() << 24, 0, 0, []
+
+        def grams() -> Iterator[pa.RecordBatch]:
+            keys, counts = _merge(held)
+            part = _parts(keys, depth, parts)
+            for rows in _split(part):
+                steps = np.diff(keys[rows], prepend=np.uint64(0))
+                yield _packed([(int(part[rows[0]]), 3, group, quick.compress(_blob(steps.astype("<u8"), _narrow(counts[rows]))))])
+
+        for portion in _portions(batches, _FLUSH_BYTES):
+            flush, texts = group << 16 | number, [data for _, data in portion]
+            ids, tests = zip(*(o for o, _ in portion))
+            lengths, known, word = _words(codes, texts)
+            teaches = ~np.repeat(np.array(tests), lengths)
             counts = np.bincount(word[teaches], minlength=len(known))
-            cell, times = np.unique(word.astype(np.int64) * len(part) + doc, return_counts=True)
-            entry_word, entry_doc = (cell // len(part)), (cell % len(part))
-            per_word = np.bincount(entry_word, minlength=len(known))
-            scores = _text_scores(model, [data for _, data in part])
-            numbers = np.array([0 if i is None else i for i in ids], "<i8")
             own = _blob(
-                numbers, np.array([i is None for i in ids], "|u1"), np.array(held, "|u1"), _narrow(lengths),
-                scores.astype("<f8"), _narrow(per_word), _narrow(entry_doc), _narrow(times),
+                np.array([0 if i is None else i for i in ids], "<i8"), np.array([i is None for i in ids], "|u1"), np.array(tests, "|u1"),
+                np.array([len(t) for t in texts], "<i8"), np.frombuffer(b"".join(texts), np.uint8),
             )
-            yield _packed([(flush % groups, 1, flush, own)])
+            yield _packed([(_place(group, groups), 1, flush, squeeze.compress(own))])
             bucket = ((known >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)).astype(np.int64)
             cuts = np.searchsorted(bucket, np.arange(buckets + 1))
-            yield _packed([(b, 0, flush, _blob(known[i:j].astype("<u8"), _narrow(counts[i:j]))) for b, (i, j) in enumerate(zip(cuts, cuts[1:]))])
+            yield _packed([(b, 0, flush, _blob(known[i:j].astype("<u8"), _narrow(counts[i:j]))) for b, (i, j) in enumerate(zip(cuts, cuts[1:])) if j > i])
+            for test in (False, True):
+                some = [t for t, x in zip(texts, tests) if x == test and t]
+                if some:
+                    keys, n = np.unique(_grams(*_flat(some), depth), return_counts=True)
+                    held.append((keys, n * (not test)))
+            number, size = number + 1, size + sum(map(len, texts))
+            if sum(len(k) for k, _ in held) > 2 * _GROUP_GRAMS:
+                held = [_merge(held)]
+            if size > _GROUP_BYTES or held and len(held[0][0]) > _GROUP_GRAMS:
+                if held:
+                    yield from grams()
+                group, number, size, held = group + 1, 0, 0, []
+        if held:
+            yield from grams()
 
     return run
 
 
-def _text_scores(model: Model, texts: list[bytes]) -> np.ndarray:
-    out, held, at = np.zeros(len(texts)), [], 0
-    size = 0
-    for i, data in enumerate([*texts, None]):
-        if held and (data is None or size > _SCORE_BYTES):
-            flat, starts = _flat(held)
-            sums = np.concatenate([[0.0], np.cumsum(model.log10(_grams(flat, starts, model.depth)), dtype=np.float64)])
-            out[at : at + len(held)] = sums[np.append(starts[1:], len(flat))] - sums[starts]
-            at, held, size = i, [], 0
-        if data is not None:
-            held.append(data)
-            size += len(data)
+def _text_scores(texts: list[bytes], keys: np.ndarray, values: np.ndarray, depth: int) -> np.ndarray:
+    """Sum of the values of each text's grams; ``keys`` are sorted and hold them all."""
+    out, some = np.zeros(len(texts)), np.array([i for i, t in enumerate(texts) if t], np.int64)
+    if not len(some):
+        return out
+    flat, starts = _flat([texts[i] for i in some])
+    grams, doc = _grams(flat, starts, depth), np.repeat(np.arange(len(some)), np.diff(np.append(starts, len(flat))))
+    if depth <= 5 and len(some) <= 1 << 16:  # one quick sort of numbers
+        both = np.sort(grams << np.uint64(16) | doc.astype(np.uint64))
+        grams, doc = both >> np.uint64(16), (both & np.uint64(0xFFFF)).astype(np.int64)
+    else:
+        order = np.argsort(grams, kind="stable")
+        grams, doc = grams[order], doc[order]
+    first = np.append(True, grams[1:] != grams[:-1])
+    found = values[np.searchsorted(keys, grams[first])].astype(np.float64)
+    out[some] = np.bincount(doc, weights=found[np.cumsum(first) - 1], minlength=len(some))
     return out
 
 
@@ -421,74 +390,90 @@ def _total_task(groups: int):
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rows, place = [], 0
-        for batch in batches:
-            for p, kind, flush, data in zip(*(c.to_pylist() for c in batch.columns)):
-                if kind == 1:
-                    yield _packed([(p, 1, flush, data)])
-                else:
-                    place = p
-                    rows.append((flush, *_unblob(data)))
+        rows = [(place, flush, *_unblob(data)) for batch in batches for place, _, flush, data in zip(*(c.to_pylist() for c in batch.columns))]
         if not rows:
             return
-        words, at = np.unique(np.concatenate([r[1] for r in rows]), return_inverse=True)
-        total = np.bincount(at, weights=np.concatenate([r[2] for r in rows]), minlength=len(words)).astype("<u8")
+        words, at = np.unique(np.concatenate([r[2] for r in rows]), return_inverse=True)
+        total = np.bincount(at, weights=np.concatenate([r[3] for r in rows]), minlength=len(words)).astype("<u8")
         yield _packed([(int((total > 0).sum()), 3, int(total.sum()), b"")])
-        ends = np.cumsum([len(r[1]) for r in rows])
-        for (flush, own, _), end in zip(rows, ends):
-            yield _packed([(flush % groups, 2, flush, place.to_bytes(4, "little") + _blob(_narrow(total[at[end - len(own) : end]])))])
+        end = 0
+        for place, flush, own, _ in rows:
+            yield _packed([(_place(_group(flush), groups), 2, flush, place.to_bytes(4, "little") + _blob(_narrow(total[at[end : end + len(own)]])))])
+            end += len(own)
 
     return run
 
 
-def _finish_task(all_words: int, distinct: int):
+def _finish_task(all_words: int, distinct: int, depth: int, parts: int):
     names = ["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"]
     unit = math.log10(all_words + 0.5 * (distinct + 1))
 
+    def unpacked(data: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[bytes]]:
+        ids, empty, held, sizes, flat = _unblob(zstandard.decompress(data))
+        ends, flat = np.cumsum(sizes).tolist(), flat.tobytes()
+        return ids, empty.astype(bool), held.astype(bool), [flat[i:j] for i, j in zip([0, *ends], ends)]
+
+    def joined(rows: list[tuple[int, bytes]]) -> np.ndarray:
+        return np.concatenate([_unblob(d)[0] for _, d in sorted(rows)])
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        texts: dict[int, bytes] = {}
-        totals: dict[int, list[tuple[int, np.ndarray]]] = {}
+        codes = _Codes()
+        texts: dict[int, list[tuple[int, bytes]]] = {}
+        told: dict[int, dict[int, list[tuple[int, bytes]]]] = {2: {}, 4: {}}
         for batch in batches:
             for _, kind, flush, data in zip(*(c.to_pylist() for c in batch.columns)):
                 if kind == 1:
-                    texts[flush] = data
+                    texts.setdefault(_group(flush), []).append((flush, data))
                 else:
-                    totals.setdefault(flush, []).append((int.from_bytes(data[:4], "little"), data[4:]))
-        for flush, data in texts.items():
-            ids, empty, held, lengths, scores, per_word, doc, times = _unblob(data)
-            total = np.concatenate([_unblob(d)[0] for _, d in sorted(totals[flush])]).astype(np.float64)
-            c = np.repeat(total, per_word)
-            base = np.bincount(doc, weights=times * np.log10(c + 0.5), minlength=len(ids)) - lengths * unit
-            known = np.bincount(doc, weights=times * (c > 0), minlength=len(ids)).astype(np.int64)
-            columns = [
-                pa.array(ids, mask=empty.astype(bool)), pa.array(held.astype(bool)), pa.array(lengths.astype(np.int64)), pa.array(known),
-                pa.array(np.full(len(ids), all_words, np.int64)), pa.array(base), pa.array(scores),
-            ]
-            yield pa.RecordBatch.from_arrays(columns, names=names)
+                    told[kind].setdefault(flush, []).append((int.from_bytes(data[:4], "little"), data[4:]))
+        for group, portions in texts.items():
+            held = []
+            for _, data in portions:
+                some = [t for t in unpacked(data)[3] if t]
+                if some:
+                    held.append(np.unique(_grams(*_flat(some), depth)))
+            # The same keys in the same order as they were sent.
+            keys = np.unique(np.concatenate(held)) if held else np.zeros(0, np.uint64)
+            values = np.empty(len(keys), np.float32)
+            if held:
+                values[np.argsort(_parts(keys, depth, parts), kind="stable")] = joined(told[4].pop(group))
+            for flush, data in portions:
+                ids, empty, tests, own = unpacked(data)
+                lengths, _, word = _words(codes, own)
+                c = joined(told[2].pop(flush)).astype(np.float64)[word]
+                doc = np.repeat(np.arange(len(ids)), lengths)
+                base = np.bincount(doc, weights=np.log10(c + 0.5), minlength=len(ids)) - lengths * unit
+                known = np.bincount(doc, weights=c > 0, minlength=len(ids)).astype(np.int64)
+                columns = [
+                    pa.array(ids, mask=empty), pa.array(tests), pa.array(lengths.astype(np.int64)), pa.array(known),
+                    pa.array(np.full(len(ids), all_words, np.int64)), pa.array(base), pa.array(_text_scores(own, keys, values, depth)),
+                ]
+                yield pa.RecordBatch.from_arrays(columns, names=names)
 
     return run
 
 
-def score_texts(docs: DataFrame, depth: int = DEPTH, bits: int = SLOT_BITS, parts: int = 5, part: int = 1) -> DataFrame:
+def score_texts(docs: DataFrame, depth: int = DEPTH, parts: int = 5, part: int = 1) -> DataFrame:
     """Scores of each whole text, learned from the documents whose crc32(doc_id) modulo ``parts`` is not ``part``.
 
     Columns doc_id, held_out, n_tokens (words and one end), n_known (tokens with a count), train_tokens,
     base_score (smoothed single tokens) and score (context-tree weighting), both log10. A null text is
     empty and scores 0 bytes; a null id teaches. Without training tokens the base falls to its smoothing,
-    and every decision of the tree is even. Rows that repeat an id are rows of their own.
+    and every decision of the tree is even. Rows that repeat an id are rows of their own. ``depth`` is
+    from 2 to 7.
     """
+    if not _STOP <= depth <= 7:
+        raise ValueError(f"depth {depth}: a key holds 2 to 7 bytes of context")
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), fold(F.col("doc_id"), parts, part).alias("held"), "text")
-    model = train(rows.filter("not held"), depth, bits)
-    # The tables have a fixed number of slots.
-    shipped = docs.sparkSession.sparkContext.broadcast(model)
     groups = partitions(docs)
-    totals = keep(
-        rows.mapInArrow(_word_task(shipped, groups, groups), _PACKED).repartitionById(groups, F.col("place")).mapInArrow(_total_task(groups), _PACKED),
-        "totals",
-    )
-    shipped.unpersist()
+    sent = keep(rows.mapInArrow(_send_task(depth, groups, groups, groups), _PACKED), "sent")
+    grams = sent.filter("kind = 3").repartitionById(groups, F.col("place"))
+    # Contexts of at most one byte.
+    shipped = docs.sparkSession.sparkContext.broadcast(_shorter(grams, depth))
+    totals = keep(sent.filter("kind = 0").repartitionById(groups, F.col("place")).mapInArrow(_total_task(groups), _PACKED), "totals")
     sums = [F.coalesce(F.sum(c), F.lit(0)) for c in ("flush", "place")]
     words, distinct = totals.filter("kind = 3").agg(*sums).head()  # without the packed column
     schema = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
-    finished = totals.filter("kind < 3").repartitionById(groups, F.col("place"))
-    return finished.mapInArrow(_finish_task(words, distinct), schema)
+    told = sent.filter("kind = 1").union(totals.filter("kind = 2")).union(grams.mapInArrow(_value_task(shipped, groups), _PACKED))
+    finished = told.repartitionById(groups, F.col("place"))
+    return finished.mapInArrow(_finish_task(words, distinct, depth, groups), schema)

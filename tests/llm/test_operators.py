@@ -100,6 +100,39 @@ def test_tree_weighting_odd(spark, odd, empty):
     assert tree_weighting.score_texts(empty).count() == 0
 
 
+def test_tree_weighting_keeps_every_decision(spark):
+    """Scores of texts with more decisions a depth than any fixed table holds, against the tree in one place."""
+    rng, depth = np.random.default_rng(5), tree_weighting.DEPTH
+    # Repeated texts, so that long contexts decide.
+    texts = ["".join(map(chr, rng.integers(48, 112, 32_000))) for _ in range(10)]
+    rows = [(i, texts[i % 10]) for i in range(40)]
+    frame = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r.doc_id: (r.held_out, r.score) for r in tree_weighting.score_texts(frame).collect()}
+    learned = [t.encode() for i, t in rows if not got[i][0]]
+    gram, n = np.unique(tree_weighting._grams(*tree_weighting._flat(learned), depth), return_counts=True)
+    below, tables = None, {}
+    for d in range(depth, -1, -1):
+        key = ((gram >> np.uint64(8 * (depth + 1 - d))) << np.uint64(8)) | (gram & np.uint64(255))
+        found, at = np.unique(key, return_inverse=True)
+        node, zeros, ones = tree_weighting._bits(found, np.bincount(at, weights=n))
+        value, own = tree_weighting._mix(node, zeros, ones, below)
+        below = {"node": node, "value": value}
+        tables[d] = dict(zip(node.tolist(), zip((ones + 0.5) / (zeros + ones + 1), own)))
+    assert len(tables[depth]) > 1 << 21
+    for i in (next(i for i in got if got[i][0]), next(i for i in got if not got[i][0])):
+        text, want = b"\0" * depth + rows[i][1].encode(), 0.0
+        for at in range(depth, len(text)):
+            for b in range(8):
+                chance, prefix = None, 1 << b | text[at] >> (8 - b)
+                for d in range(depth, -1, -1):
+                    context = int.from_bytes(text[at - d : at][::-1], "big")
+                    if (hit := tables[d].get(context << 8 | prefix)) is not None:
+                        chance = hit[0] if chance is None else hit[1] * hit[0] + (1 - hit[1]) * chance
+                chance = 0.5 if chance is None else chance
+                want += math.log10(chance if text[at] >> (7 - b) & 1 else 1 - chance)
+        assert got[i][1] == pytest.approx(want, rel=1e-5)
+
+
 def test_tree_weights_are_those_of_the_definition():
     """P_w of every node of a small tree, by recursion over the whole text."""
     text, depth = b"abracadabra", 2
