@@ -11,7 +11,7 @@ import re
 
 import pyarrow as pa
 import zstandard
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from snapforge.llm.common import fold, text_bytes, with_computed
@@ -19,6 +19,7 @@ from snapforge.session import keep
 
 DICT_BYTES = 96 << 10  # of each language
 SAMPLE_DOCS = 400  # training texts of a language that the dictionary may take from
+SPANS = 2  # pieces of a long training text
 LEVEL = 3
 MARGIN = 0.01  # of the second smallest code; below, the language counts as not sure
 UNKNOWN = "und"
@@ -28,31 +29,57 @@ _LETTER = re.compile(r"[^\W\d_]")
 def dictionaries(training: DataFrame, size: int = DICT_BYTES, sample: int = SAMPLE_DOCS) -> dict[str, bytes]:
     """Dictionary of each language of ``training`` (text, lang); null langs and texts teach nothing.
 
-    Takes the first characters of ``sample`` texts per language, drawn by a hash of the text; both
-    bounds are part of the fit, and what comes to the driver is at most ``size`` a language. Exact
-    copies of a text count once.
+    Takes spans from all over ``sample`` texts per language, drawn by a hash of the text; both bounds
+    are part of the fit, and what comes to the driver is at most four bytes for each of ``size`` a
+    language. Exact copies of a text count once.
     """
     share = max(64, size // sample)
     hashed = (
         training.filter("lang is not null and text is not null and length(trim(text)) > 0")
-        .select("lang", F.xxhash64("text", F.lit(3)).alias("h"), F.substring(F.lower("text"), 1, share * 4).alias("text"))
+        .select("lang", F.xxhash64("text", F.lit(3)).alias("h"), F.lower("text").alias("text"))
     )
     drawn = Window.partitionBy("lang").orderBy("h")
     chosen = hashed.select("lang", "h").distinct().withColumn("_n", F.row_number().over(drawn)).filter(F.col("_n") <= sample)
+    chosen = chosen.withColumn("_of", F.count("*").over(Window.partitionBy("lang")))
     # At most ``sample`` rows a language.
     rows = (
         hashed.join(F.broadcast(keep(chosen, "drawn")), ["lang", "h"])
+        .withColumn("text", _spans(F.col("text"), F.col("h"), F.greatest(F.lit(share), F.floor(F.lit(size) / F.col("_of")))))
         .groupBy("lang", "_n").agg(F.min("text").alias("text"))
         .groupBy("lang").agg(F.sort_array(F.collect_list(F.struct("_n", "text"))).alias("texts"))
     )
     found = {}
     for lang, texts in rows.collect():
-        parts = [t.text.encode()[: share * 4] for t in texts]
-        each = max(share, size // max(1, len(parts)))
-        found[lang] = b"\n".join(p[:each] for p in parts)[-size:]
+        parts = [t.text.encode() for t in texts]
+        most, left, taken = size - len(parts), len(parts), []
+        # What short texts leave goes to the longer ones.
+        for i in sorted(range(len(parts)), key=lambda i: (len(parts[i]), i)):
+            each = max(0, most // left)
+            taken.append((i, _cut(parts[i], each)))
+            most, left = most - len(taken[-1][1]), left - 1
+        found[lang] = b"\n".join(p for _, p in sorted(taken))[-size:]
     return dict(sorted(found.items()))
 
 
+def _spans(text: Column, h: Column, chars: Column) -> Column:
+    """All of a text of ``chars`` characters, or ``SPANS`` pieces of it, each from a place of its own stretch."""
+    piece, stretch = F.floor(chars / SPANS), F.floor(F.length(text) / SPANS)
+    pieces = [
+        F.substring(text, (stretch * k + 1 + F.pmod(F.xxhash64(h, F.lit(k)), F.greatest(F.lit(1), stretch - piece + 1))).cast("int"), piece.cast("int"))
+        for k in range(SPANS)
+    ]
+    return F.when(F.length(text) <= chars, text).otherwise(F.concat_ws("\n", *pieces))
+
+
+def _cut(data: bytes, most: int) -> bytes:
+    """At most ``most`` bytes, the same share of every span."""
+    if len(data) <= most:
+        return data
+    spans = data.split(b"\n") if data.count(b"\n") == SPANS - 1 else [data[i * len(data) // SPANS : (i + 1) * len(data) // SPANS] for i in range(SPANS)]
+    each = max(0, (most - SPANS + 1) // SPANS)
+    return b"\n".join(s[:each] for s in spans)
+
+
 def _sizes(compressors: list, data: bytes) -> list[int]:
     return [len(c.compress(data)) for c in compressors]
 

@@ -174,6 +174,16 @@ def test_language(spark, folder):
     assert sum(r.lang_pred == truth[r.doc_id] for r in got) >= 0.93 * len(got)
 
 
+def test_language_behind_a_common_opening(spark):
+    """All texts open with the same words, more of them than a dictionary takes of a text."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text", "lang")
+    header = F.lit("This site uses cookies to give you the best experience. " * 18)
+    found = language.train_and_identify(docs.withColumn("text", F.concat(header, "text")))
+    truth = {r.doc_id: r.lang for r in docs.collect()}
+    got = [r for r in found.collect() if r.held_out]
+    assert sum(r.lang_pred == truth[r.doc_id] for r in got) >= 0.85 * len(got)
+
+
 def test_language_odd(odd, empty):
     learned = {"de": b"der die das und nicht " * 50, "en": b"the of and to in is " * 50}
     rows = {r.doc_id: r for r in language.identify(odd.select("doc_id", "text"), learned).collect()}
