@@ -114,14 +114,11 @@ def _verify(least: float):
         rows = rows.reset_index(drop=True)
         shingler = Shingler()
         sets = [np.unique(shingler.hashes(bytes(t))) for t in rows["data"]]
-        sig = np.stack([np.frombuffer(s, np.uint32) for s in rows["signature"]])
         node = rows["node"].to_numpy()
         m, q = np.flatnonzero(rows["is_member"]), np.flatnonzero(rows["is_query"])
         labels, counts = np.arange(len(rows)), np.array([len(s) for s in sets])
         for i in q:
-            # Fewer equal places than four deviations below the bound are no pair at the bound.
-            near = (sig[m] == sig[i]).sum(axis=1) >= PERMS * least - 4 * (PERMS * least * (1 - least)) ** 0.5
-            near &= np.minimum(counts[m], counts[i]) >= least * np.maximum(counts[m], counts[i])
+            near = np.minimum(counts[m], counts[i]) >= least * np.maximum(counts[m], counts[i])
             near &= labels[m] != labels[i]
             for j in m[near]:
                 both = len(np.intersect1d(sets[i], sets[j], assume_unique=True))
@@ -150,7 +147,7 @@ def near_duplicates(docs: DataFrame, jaccard: float = JACCARD, bands: int = BAND
     shared = banded.select("band", "code", "node", F.lit(True).alias("member"))
     several = shared.groupBy("band", "code").count().filter("count > 1").drop("count")
     pairs = deal(shared.join(several, ["band", "code"], "left_semi"), ["band", "code"], BLOCK, "node", halves=True)
-    full = pairs.join(signed.select("node", "data", "signature"), "node")
+    full = pairs.join(signed.select("node", "data"), "node")
     links = full.groupBy("band", "code", "_a", "_b").applyInPandas(_verify(jaccard), "u long, v long")
     named = signed.select("node", "data", "least").join(components(links), "node", "left").withColumn("root", F.coalesce("root", "node"))
     ids = named.groupBy("root").agg(F.min("least").alias("component_id"))

@@ -5,6 +5,7 @@ import os
 import sys
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -234,6 +235,18 @@ def test_minhash_pairs(spark, docs):
     assert got == {i: sets.find(i) for i, _ in base}
 
 
+def test_minhash_pairs_of_unlike_minima():
+    """Pairs at exactly the bound are linked, also those few whose minima agree least."""
+    shingler = minhash.Shingler()
+    texts = [b" ".join(b"%d" % x for x in (*range(50 * i, 50 * i + 44), *range(own, own + 5))) for i in range(40_000) for own in (10_000_000 + 10 * i, 10_000_005 + 10 * i)]
+    signed = minhash.text_signatures(texts, shingler)
+    at = int(np.argmin(minhash.likeness(signed[::2], signed[1::2])))
+    pair, signature = texts[2 * at : 2 * at + 2], [s.tobytes() for s in signed[2 * at : 2 * at + 2]]
+    assert (signed[2 * at] == signed[2 * at + 1]).sum() < 84
+    rows = pd.DataFrame({"data": pair, "signature": signature, "node": [1, 2], "is_member": True, "is_query": True})
+    assert len(minhash._verify(0.8)((), rows)) == 1
+
+
 def test_toxicity(spark):
     folder = "/root/testdata/sf0.1"
     labels = {r.doc_id: r.toxic for r in spark.read.parquet(f"{folder}/labels.parquet").collect()}
