@@ -15,7 +15,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from snapforge.llm.common import deal, forest, partitions, text_bytes, with_computed
@@ -194,11 +194,16 @@ def _edited_task():
                 held.append((doc, text))
                 size += len(text)
         if held:
-            yield finish(held, held[0][1])
+            raise RuntimeError(f"no document follows {held[-1][0]} in its range")
 
     return run
 
 
+def _piece(cuts: list[int]) -> Column:
+    """Number of ``cuts`` up to doc_id; 0 for a null id."""
+    return F.when(F.col("doc_id").isNull(), 0).otherwise(F.size(F.filter(F.array(*map(F.lit, cuts)).cast("array<long>"), lambda c: c <= F.col("doc_id"))))
+
+
 def edited_fingerprints(docs: DataFrame) -> DataFrame:
     """Fingerprints of each whole text and of its edited text, the last quarter replaced by the start of the next document.
 
@@ -214,9 +219,10 @@ def edited_fingerprints(docs: DataFrame) -> DataFrame:
     least, nulls, marks = rows.agg(
         F.min("doc_id"), F.count(F.when(F.col("doc_id").isNull(), 1)), F.percentile_approx("doc_id", [i / n for i in range(1, n)] or [0.5], 10_000)
     ).first()
-    cuts = sorted(set(marks or []) - {least})
-    pieces = len(cuts) + 1
-    piece = F.when(F.col("doc_id").isNull(), 0).otherwise(F.size(F.filter(F.array(*map(F.lit, cuts)).cast("array<long>"), lambda c: c <= F.col("doc_id"))))
+    # The marks are computed in double, so those of large ids need not be ids of the table.
+    cuts = [r[0] for r in rows.filter("doc_id is not null").groupBy(_piece(sorted(set(marks or [])))).agg(F.min("doc_id")).select("min(doc_id)").collect()]
+    cuts = sorted(set(cuts) - {least})
+    pieces, piece = len(cuts) + 1, _piece(cuts)
     first = F.col("doc_id").isNull() if nulls else F.col("doc_id") == F.lit(least)
     here = F.struct(piece.cast("int").alias("piece"), F.lit(False).alias("lent"))
     before = F.struct((piece - 1).cast("int").alias("piece"), F.lit(True).alias("lent"))

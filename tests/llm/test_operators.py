@@ -224,6 +224,12 @@ def test_edited_fingerprints_odd(odd, empty):
     assert minhash.edited_fingerprints(empty).count() == 0
 
 
+def test_edited_fingerprints_of_large_ids(spark):
+    rows = [((1 << 60) + 1_000_003 * i, f"text {i} " * 9) for i in range(200)]
+    got = {r.doc_id: r.edited_sha256 for r in minhash.edited_fingerprints(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {i: brute.sha(changed) for i, (_, changed, _) in brute.edited(rows).items()}
+
+
 def test_minhash_pairs(spark, docs):
     base = [(i, t) for i, t in docs[:60]] + [(1000 + i, (t or "") + " end") for i, t in docs[:60]] + [(2000, docs[0][1]), (2001, None), (2002, "")]
     got = {r.doc_id: r.component_id for r in minhash.near_duplicates(spark.createDataFrame(base, "doc_id long, text string")).collect()}
