@@ -8,7 +8,8 @@ from importlib.util import find_spec
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from snapforge.llm import bpe, language, licenses, minhash, mixing, multi_index, simhash, toxicity, tree_weighting, windows
+from snapforge.llm import bpe, decontamination, language, licenses, minhash, mixing, multi_index, simhash, toxicity, tree_weighting, windows
+from snapforge.llm.common import LOWER, UPPER
 
 
 def _table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -67,11 +68,34 @@ def op10_bpe(spark: SparkSession, folder: str) -> DataFrame:
     return encoded.select("doc_id", "n_tokens", "ids_sha256", "decoded_sha256")
 
 
+def op13_decontamination(spark: SparkSession, folder: str) -> DataFrame:
+    return decontamination.contamination_report(_table(spark, folder, "documents"), _table(spark, folder, "benchmark"))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         op1_near_vectors, op2_license_scan, op3_tree_weighting, op4_language, op5_repeated_windows,
-        op6_minhash, op7_toxicity, op8_mixing, op9_simhash, op10_bpe,
+        op6_minhash, op7_toxicity, op8_mixing, op9_simhash, op10_bpe, op13_decontamination,
     )
 }
-ORACLES: dict[str, str] = {}
+# Lower-cases A-Z only.
+_LOWER = f"translate(coalesce(text, ''), '{UPPER}', '{LOWER}')"
+_LETTERS = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
+ORACLES: dict[str, str] = {
+    "op13_decontamination": f"""
+        WITH docs AS (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all({_LOWER}, '{_LETTERS}') AS w FROM documents),
+        items AS (SELECT DISTINCT item_id::VARCHAR AS item, regexp_extract_all({_LOWER}, '{_LETTERS}') AS w FROM benchmark),
+        windows AS (
+            SELECT DISTINCT item, least({decontamination.WINDOW}, len(w)) AS k, w[s : s + least({decontamination.WINDOW}, len(w)) - 1] AS part
+            FROM items, unnest(range(1, len(w) - least({decontamination.WINDOW}, len(w)) + 2)) t(s) WHERE len(w) > 0),
+        pieces AS (
+            SELECT r, s, k, w[s : s + k - 1] AS part FROM docs, (SELECT DISTINCT k FROM windows) sizes, unnest(range(1, len(w) - k + 2)) t(s)),
+        found AS (SELECT r, s, pieces.k, item FROM pieces JOIN windows USING (part)),
+        hit AS (SELECT r, count(DISTINCT place) AS n FROM (SELECT r, unnest(range(s, s + k)) AS place FROM found) GROUP BY r),
+        named AS (
+            SELECT r, count(item) AS n, coalesce(string_agg(item, ',' ORDER BY item), '') AS ids FROM (SELECT DISTINCT r, item FROM found) GROUP BY r)
+        SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(hit.n, 0)::BIGINT AS n_hit, coalesce(named.n, 0)::BIGINT AS n_items,
+            sha256(coalesce(ids, '')) AS items_sha256, coalesce(hit.n, 0) > 0 AS contaminated
+        FROM docs LEFT JOIN hit USING (r) LEFT JOIN named USING (r)""",
+}
