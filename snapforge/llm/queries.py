@@ -8,7 +8,7 @@ from importlib.util import find_spec
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from snapforge.llm import bpe, decontamination, language, licenses, minhash, mixing, multi_index, simhash, toxicity, tree_weighting, windows
+from snapforge.llm import bpe, conversation_trie, decontamination, language, licenses, minhash, mixing, multi_index, simhash, toxicity, tree_weighting, windows
 from snapforge.llm.common import LOWER, UPPER
 
 
@@ -68,6 +68,10 @@ def op10_bpe(spark: SparkSession, folder: str) -> DataFrame:
     return encoded.select("doc_id", "n_tokens", "ids_sha256", "decoded_sha256")
 
 
+def op11_conversation_trie(spark: SparkSession, folder: str) -> DataFrame:
+    return conversation_trie.rebuilt_trie(_table(spark, folder, "conversations")).drop("place")
+
+
 def op13_decontamination(spark: SparkSession, folder: str) -> DataFrame:
     return decontamination.contamination_report(_table(spark, folder, "documents"), _table(spark, folder, "benchmark"))
 
@@ -76,13 +80,44 @@ QUERIES = {
     f.__name__: f
     for f in (
         op1_near_vectors, op2_license_scan, op3_tree_weighting, op4_language, op5_repeated_windows,
-        op6_minhash, op7_toxicity, op8_mixing, op9_simhash, op10_bpe, op13_decontamination,
+        op6_minhash, op7_toxicity, op8_mixing, op9_simhash, op10_bpe, op11_conversation_trie,
+        op13_decontamination,
     )
 }
 # Lower-cases A-Z only.
 _LOWER = f"translate(coalesce(text, ''), '{UPPER}', '{LOWER}')"
 _LETTERS = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
+# crc32 of the digits and sign of a number: eight shifts a byte, the byte going in before the first.
+_CRC = """xor(4294967295, list_reduce(list_prepend(4294967295::BIGINT, flatten([[ascii(c)::BIGINT, 0, 0, 0, 0, 0, 0, 0]
+        for c in string_split(conv_id::VARCHAR, '')])), lambda a, b: CASE WHEN xor(a, b) & 1 = 1 THEN xor(xor(a, b) >> 1, 3988292384) ELSE xor(a, b) >> 1 END))"""
 ORACLES: dict[str, str] = {
+    "op11_conversation_trie": f"""
+        WITH turns AS (
+            SELECT conv_id, coalesce(role, '') AS role, coalesce(text, '') AS text,
+                row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST) AS pos
+            FROM conversations WHERE conv_id IS NOT NULL),
+        own AS (SELECT conv_id, list({{'role': role, 'text': text}} ORDER BY pos) AS said FROM turns GROUP BY conv_id),
+        headed AS (SELECT *, {_CRC} % 4 AS h FROM own),
+        rebuilt AS (
+            SELECT a.conv_id, coalesce(b.said, [])[1 : a.h] || a.said[a.h + 1 :] AS said
+            FROM headed a LEFT JOIN own b ON b.conv_id = a.conv_id - a.conv_id % 20),
+        members AS (SELECT conv_id, d AS depth, said[1 : d] AS prefix, d = len(said) AS ends FROM rebuilt, unnest(range(len(said) + 1)) t(d)),
+        nodes AS (
+            SELECT depth, prefix, min(conv_id) AS conv_id, count(*) AS n_convs,
+                sha256(coalesce(string_agg(conv_id::VARCHAR, ',' ORDER BY conv_id) FILTER (WHERE ends), '')) AS ends_sha256
+            FROM members GROUP BY depth, prefix),
+        linked AS (
+            SELECT n.*, p.conv_id AS parent_conv_id,
+                CASE WHEN n.depth = 0 THEN 0 ELSE (n.n_convs - 1) * len(regexp_extract_all(n.prefix[-1].text, '[^\x20\x09-\x0D]+')) END AS saved
+            FROM nodes n LEFT JOIN nodes p ON p.depth = n.depth - 1 AND p.prefix = n.prefix[1 : n.depth - 1]),
+        kids AS (SELECT depth - 1 AS depth, parent_conv_id AS conv_id, count(*) AS n FROM linked WHERE depth > 0 GROUP BY ALL),
+        named AS (SELECT l.*, coalesce(k.n, 0) AS n_children FROM linked l LEFT JOIN kids k USING (depth, conv_id)),
+        below AS (
+            SELECT t.d AS depth, prefix[1 : t.d] AS prefix, sum(saved) AS saved, count(*) FILTER (WHERE n_children = 0) AS leaves
+            FROM named, unnest(range(depth + 1)) t(d) GROUP BY ALL)
+        SELECT conv_id, depth::BIGINT AS depth, parent_conv_id, n_convs, n_children::BIGINT AS n_children, leaves::BIGINT AS n_leaves,
+            b.saved::BIGINT AS saved_tokens, ends_sha256
+        FROM named n JOIN below b USING (depth, prefix)""",
     "op13_decontamination": f"""
         WITH docs AS (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all({_LOWER}, '{_LETTERS}') AS w FROM documents),
         items AS (SELECT DISTINCT item_id::VARCHAR AS item, regexp_extract_all({_LOWER}, '{_LETTERS}') AS w FROM benchmark),
