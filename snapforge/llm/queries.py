@@ -8,7 +8,7 @@ from importlib.util import find_spec
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from snapforge.llm import bpe, conversation_trie, decontamination, language, licenses, minhash, mixing, multi_index, simhash, toxicity, tree_weighting, windows
+from snapforge.llm import bpe, conversation_trie, decontamination, language, licenses, minhash, mixing, multi_index, simhash, toxicity, tree_weighting, whitening, windows
 from snapforge.llm.common import LOWER, UPPER
 
 
@@ -72,6 +72,10 @@ def op11_conversation_trie(spark: SparkSession, folder: str) -> DataFrame:
     return conversation_trie.rebuilt_trie(_table(spark, folder, "conversations")).drop("place")
 
 
+def op12_whitening(spark: SparkSession, folder: str) -> DataFrame:
+    return whitening.whiten(_table(spark, folder, "embeddings"))
+
+
 def op13_decontamination(spark: SparkSession, folder: str) -> DataFrame:
     return decontamination.contamination_report(_table(spark, folder, "documents"), _table(spark, folder, "benchmark"))
 
@@ -81,7 +85,7 @@ QUERIES = {
     for f in (
         op1_near_vectors, op2_license_scan, op3_tree_weighting, op4_language, op5_repeated_windows,
         op6_minhash, op7_toxicity, op8_mixing, op9_simhash, op10_bpe, op11_conversation_trie,
-        op13_decontamination,
+        op12_whitening, op13_decontamination,
     )
 }
 # Lower-cases A-Z only.
