@@ -70,7 +70,8 @@ def with_computed(df: DataFrame, factory: Callable[[], Callable], ddl: str, sour
             columns = batch.columns if at >= 0 else batch.columns[:-1]
             yield pa.RecordBatch.from_arrays(columns + made, names=names)
 
-    return picked.mapInArrow(run, schema)
+    # Names by number on the way in: mapInArrow looks its columns up by names, in which dots have a meaning.
+    return picked.toDF(*[f"c{i}" for i in range(len(picked.columns))]).mapInArrow(run, schema)
 
 
 def planes(values: np.ndarray) -> bytes:

@@ -25,7 +25,8 @@ from snapforge.session import keep
 
 FAMILY = 20  # conversations of one family begin with turns of its first one
 HEADS = 4  # with less than so many
-BLOCK = 1 << 14  # arcs, turns or siblings that one group holds
+BLOCK = 1 << 14  # arcs or turns that one group holds
+SIBLINGS = 1 << 9  # ids in whose range siblings are ordered by one group
 _PIECE = 1 << 12  # ids in one piece of a digest's text
 _KEY = ["depth", "key1", "key2"]
 _HALF = 0xFFFFFFFF
@@ -155,7 +156,7 @@ def rank_list(arcs: DataFrame) -> DataFrame:
 
 def _next_siblings(tree: DataFrame) -> DataFrame:
     """``id`` and ``next_sibling`` of nodes that have one; the children of one parent are cut by ranges of ids."""
-    nodes = tree.filter("parent is not null").select("parent", "id", F.floor(F.col("id") / BLOCK).alias("block"))
+    nodes = tree.filter("parent is not null").select("parent", "id", F.floor(F.col("id") / SIBLINGS).alias("block"))
     inside = nodes.withColumn("near", F.lead("id").over(Window.partitionBy("parent", "block").orderBy("id")))
     firsts = nodes.groupBy("parent", "block").agg(F.min("id").alias("first"))
     far = firsts.select("parent", "block", F.lead("first").over(Window.partitionBy("parent").orderBy("block")).alias("far")).filter("far is not null")
