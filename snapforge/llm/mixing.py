@@ -103,9 +103,14 @@ def mix(
     their own. Without any word all targets are 0. Columns named as the new ones are replaced.
     """
     rest = others(docs, ["size", "source_size", "target", "taken"])
-    sized = docs.select(*map(quoted, rest), word_count(F.col("text")).alias("size"))
-    small = keep(sized.select("doc_id", "source", "size"), "sizes") if set(rest) <= {"doc_id", "source", "text"} else None
-    rows = small if small is not None else keep(sized, "sizes")
+    return mix_sizes(docs.select(*map(quoted, rest), word_count(F.col("text")).alias("size")), block, shard_docs, seed, cap)
+
+
+def mix_sizes(
+    sized: DataFrame, block: int = BLOCK_WORDS, shard_docs: int = SHARD_DOCS, seed: int = SEED, cap: int = CAP
+) -> DataFrame:
+    """``mix`` of rows that have their ``size`` (not null) already, with or without texts."""
+    rows = keep(sized, "sizes")
     targets = keep(source_targets(rows.select("source", "size"), cap), "targets")
     total = F.sum("target").over(Window.partitionBy(F.lit(0)))
     quotas = apportion(

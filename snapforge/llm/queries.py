@@ -54,8 +54,8 @@ def op7_toxicity(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def op8_mixing(spark: SparkSession, folder: str) -> DataFrame:
-    mixed = mixing.mix(_table(spark, folder, "documents").select("doc_id", "source", "text"))
-    return mixed.select("doc_id", "size", "source_size", "target", "taken")
+    sized = _table(spark, folder, "documents").select("doc_id", "source", mixing.word_count(F.col("text")).alias("size"))
+    return mixing.mix_sizes(sized).select("doc_id", "size", "source_size", "target", "taken")
 
 
 def op9_simhash(spark: SparkSession, folder: str) -> DataFrame:

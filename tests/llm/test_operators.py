@@ -378,3 +378,31 @@ def test_pipeline(spark, folder):
     assert mixed.columns == docs.columns
     encoded = corpus_pipeline.run(spark, folder)
     assert encoded.count() == mixed.count() and encoded.columns == ["doc_id", "source", "n_tokens", "ids_sha256", "decoded_sha256"]
+
+
+def test_pipeline_keeps_the_columns_of_the_caller(spark, folder):
+    """Columns with the names that operators make, dotted ones, odd texts and no n_chars: all come out as they went in."""
+    extra = {c: F.concat(F.lit(c), F.col("doc_id").cast("string")) for c in (
+        "score", "predicted", "fp", "_fp", "_row", "n_words", "n_removed", "kept_text", "size", "source_size", "target", "taken", "a.b", "n_tokens", "caller", "text_",
+    )}
+    base = spark.read.parquet(f"{folder}/documents.parquet").limit(40).select("doc_id", "text", "source")
+    odd = spark.createDataFrame([(r[0], r[1], r[2]) for r in ODD], "doc_id long, text string, source string")
+    for docs in (base.union(odd).withColumns(extra), base.union(odd).withColumns(extra).withColumn("n_chars", F.length("text")), base):
+        now = docs
+        for name, stage in corpus_pipeline.STAGES[:-1]:
+            empty = stage(spark, now.limit(0), folder)
+            assert empty.columns == docs.columns and empty.count() == 0, name
+            now = stage(spark, now, folder)
+            assert now.columns == docs.columns and now.schema["doc_id"] == docs.schema["doc_id"], name
+            rows = now.collect()
+            assert rows, name
+            for r in rows if len(docs.columns) > 3 else ():
+                assert all(r[c] == (None if r.doc_id is None else f"{c}{r.doc_id}") for c in extra), name
+                assert "n_chars" not in docs.columns or name == "toxicity" or r.n_chars == (None if r.text is None else len(r.text)), name
+        assert corpus_pipeline.encode_texts(spark, now, folder).count() == len(rows)
+
+
+def test_mixed_documents_of_three_columns(spark):
+    docs = spark.createDataFrame([(r[0], r[1], r[2]) for r in ODD], "doc_id long, text string, source string")
+    assert mixing.mix(docs).columns == ["doc_id", "text", "source", "size", "source_size", "target", "taken"]
+    assert mixing.mixed_documents(docs).columns == docs.columns and mixing.mixed_documents(docs).count() > 0
