@@ -95,6 +95,30 @@ _LETTERS = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 _CRC = """xor(4294967295, list_reduce(list_prepend(4294967295::BIGINT, flatten([[ascii(c)::BIGINT, 0, 0, 0, 0, 0, 0, 0]
         for c in string_split(conv_id::VARCHAR, '')])), lambda a, b: CASE WHEN xor(a, b) & 1 = 1 THEN xor(xor(a, b) >> 1, 3988292384) ELSE xor(a, b) >> 1 END))"""
 ORACLES: dict[str, str] = {
+    "op1_near_vectors": """
+        WITH RECURSIVE whole AS (
+            SELECT vec_id, label, embedding::DOUBLE[] AS v FROM embeddings
+            WHERE label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+        usable AS (SELECT *, sqrt(list_dot_product(v, v)) AS norm FROM whole WHERE len(v) > 0 AND list_dot_product(v, v) > 0),
+        pairs AS (
+            SELECT a.vec_id AS a, b.vec_id AS b FROM usable a JOIN usable b
+            ON a.label = b.label AND len(a.v) = len(b.v) AND a.vec_id < b.vec_id WHERE list_dot_product(a.v, b.v) / (a.norm * b.norm) >= 0.93),
+        links AS (SELECT a, b FROM pairs UNION SELECT b, a FROM pairs),
+        reach AS (SELECT vec_id AS a, vec_id AS b FROM embeddings UNION SELECT r.a, l.b FROM reach r JOIN links l ON l.a = r.b),
+        roots AS (SELECT a AS vec_id, min(b) AS component_id FROM reach GROUP BY a),
+        counts AS (SELECT a AS vec_id, count(*) AS n FROM links GROUP BY a)
+        SELECT vec_id, coalesce(n, 0)::BIGINT AS n_links, component_id, vec_id = component_id AS kept
+        FROM embeddings LEFT JOIN roots USING (vec_id) LEFT JOIN counts USING (vec_id)""",
+    "op5_repeated_windows": f"""
+        WITH docs AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+        windows AS (SELECT doc_id, s, w[s : s + {windows.WINDOW - 1}] AS part FROM docs, unnest(range(1, len(w) - {windows.WINDOW - 2})) t(s)),
+        again AS (SELECT doc_id, s FROM windows QUALIFY row_number() OVER (PARTITION BY part ORDER BY doc_id, s) > 1),
+        gone AS (SELECT doc_id, list(DISTINCT place) AS places FROM (SELECT doc_id, unnest(range(s, s + {windows.WINDOW})) AS place FROM again) GROUP BY doc_id),
+        words AS (SELECT doc_id, len(w) AS n, coalesce(len(places), 0) AS removed, w, places FROM docs LEFT JOIN gone USING (doc_id)),
+        marked AS (SELECT doc_id, unnest(w) AS word, generate_subscripts(w, 1) AS place, places FROM words),
+        kept AS (
+            SELECT doc_id, string_agg(word, ' ' ORDER BY place) AS left_ FROM marked WHERE places IS NULL OR NOT list_contains(places, place) GROUP BY doc_id)
+        SELECT doc_id, n::BIGINT AS n_words, removed::BIGINT AS n_removed, sha256(coalesce(left_, '')) AS kept_sha256 FROM words LEFT JOIN kept USING (doc_id)""",
     "op11_conversation_trie": f"""
         WITH turns AS (
             SELECT conv_id, coalesce(role, '') AS role, coalesce(text, '') AS text,
