@@ -17,7 +17,7 @@ from snapforge.sinks.interchange import write_backup
 from snapforge.sinks.restore import TableTarget, clear_tables, drop_tables, restore_all
 from snapforge.sinks.snapshots import Storage, clear_version, delete_version, write_compressed, write_fanout, write_snapshot
 from snapforge.sources.interchange import read_backup
-from snapforge.sources.page_json import read_page_json, read_page_totals, write_page_json
+from snapforge.sources.page_json import read_page_json, read_page_totals, read_pages, write_page_json, write_table_document
 from snapforge.sources.snapshots import read_manifest, read_numbered, read_snapshot, read_snapshot_page, read_version
 
 PKS = {
@@ -142,6 +142,23 @@ def register(r: Registry) -> None:
         write_page_json(df, path, "lineitem")
         return read_page_json(spark, path, df.schema)
 
+    @r.add("SELECT * FROM orders")
+    def page_json_document_orders(spark, d):
+        path = scratch_path(spark, "document")
+        df = table(spark, d, "orders")
+        write_table_document(df, path, "orders", ["o_orderkey"])
+        return read_page_json(spark, path, df.schema, multi_line=True)
+
+    @r.add(
+        """SELECT 'pages' AS "table", (row_number() OVER (ORDER BY page_id) - 1) // 40 AS page_num, page_id::VARCHAR AS row_key,
+                  md5(concat_ws(chr(10), html, page_id, url)) AS md5 FROM pages"""
+    )
+    def page_json_document_pages(spark, d):
+        path = scratch_path(spark, "document")
+        write_table_document(table(spark, d, "pages"), path, "pages", ["page_id"], size=40)
+        found = read_pages(spark, path, multi_line=True)
+        return found.select("table", "page_num", "row_key", F.md5(F.array_join("cells", "\n")).alias("md5"))
+
     @r.add("SELECT * FROM orders")
     def backup_folder_orders(spark, d):
         folder = scratch_path(spark, "folder")

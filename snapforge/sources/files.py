@@ -42,6 +42,11 @@ def _binary(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
 
 
+def list_files(spark: SparkSession, path: str) -> DataFrame:
+    """``path`` and ``length`` of all files below ``path``, hidden ones left out; no file is opened."""
+    return _binary(spark, path).select("path", "length")
+
+
 def file_inventory(spark: SparkSession, path: str) -> DataFrame:
     """path, name, length, content_type and modified_at of all files below ``path``.
 
@@ -54,7 +59,7 @@ def file_inventory(spark: SparkSession, path: str) -> DataFrame:
     )
 
 
-def _open(path: str):
+def open_file(path: str):
     """A seekable reader of a file on any file system that executors can reach."""
     uri = urlsplit(path)
     if uri.scheme in ("", "file"):
@@ -77,7 +82,7 @@ def file_checksums(spark: SparkSession, path: str, algorithm: str = "md5") -> Da
             sums = []
             for path in batch["path"]:
                 h = hashlib.new(algorithm)
-                with _open(path) as f:
+                with open_file(path) as f:
                     while piece := f.read(_PIECE):
                         h.update(piece)
                 sums.append(h.hexdigest())
@@ -145,7 +150,7 @@ def expand_archives(files: DataFrame) -> DataFrame:
         given = files.select("path")
 
         def entries(batches):
-            return _entries(batches, lambda row: _open(row["path"]))
+            return _entries(batches, lambda row: open_file(row["path"]))
 
     return given.mapInPandas(entries, _ENTRY).select(
         "path", "name", content_type(F.col("name")).alias("content_type"), "size", "content"

@@ -1,8 +1,11 @@
 """Cells, row keys, page JSON."""
 
+import json
+import os
 from datetime import date, datetime, timedelta
 from decimal import Decimal
 
+import numpy as np
 import pytest
 from pyspark.errors import PySparkException
 from pyspark.sql import functions as F
@@ -10,7 +13,8 @@ from pyspark.sql import functions as F
 from snapforge.functions.codecs import decode_cells, encode_cells, row_key
 from snapforge.functions.types import spark_type
 from snapforge.session import local_frame
-from snapforge.sources.page_json import page_documents, read_page_json, read_pages, write_page_json
+from snapforge.sources.page_documents import read_document_pages, read_document_totals, scan
+from snapforge.sources.page_json import page_documents, read_page_json, read_page_totals, read_pages, write_page_json, write_table_document
 
 ALL_TYPES = (
     "z string, a int, b bigint, c double, d decimal(12,3), e boolean, f date, g timestamp_ntz, h binary, "
@@ -88,6 +92,65 @@ def test_whole_table_document(spark, tmp_path):
     assert got == [(1, "a", Decimal("1.50")), (2, None, Decimal("3.00")), (3, "c", None)]
 
 
+NASTY = [
+    {"size": 3, "data": {'a"{[': ["\\\\", '"', None, "}]"], "\\": ["é中🎉" * 40], "k\n": ["x" * 900, "\\\"" * 30]}, "pageNum": 0, "note": {"k": ["not a row"], "l": "text"}},
+    {"pageNum": 1, "extra": [[1, {"deep": {"er": ["no"]}}]], "data": {}, "size": 0},
+    {"pageNum": 2, "data": None, "size": 0},
+    {"pageNum": 7, "data": {"1": [1, 2.5, True, None, "x"], "2": []}, "size": 2},
+]
+
+
+@pytest.mark.parametrize("chunk", [5, 64, 333, 1 << 20])
+@pytest.mark.parametrize("indent", [None, 2])
+def test_whole_documents_in_chunks(spark, tmp_path, chunk, indent):
+    """Chunks that start anywhere: in strings, behind backslashes, inside characters; properties in any order."""
+    doc = {"dataPages": NASTY, "tableName": 's.t"', "pageSize": 3, "totalPages": 4, "totalRecords": 5, "more": {"dataPages": [{"data": {"z": ["no"]}}]}}
+    other = {"tableName": "u", "pageSize": 1, "totalPages": 1, "totalRecords": 0, "dataPages": []}
+    if chunk == 5:
+        NASTY_ = [{**NASTY[0], "data": {'a"{[': NASTY[0]["data"]['a"{[']}}]
+        doc = {**doc, "dataPages": NASTY_}
+    (tmp_path / "a.json").write_text(json.dumps(doc, indent=indent, ensure_ascii=False) + "\n " + json.dumps(other), encoding="utf-8")
+    (tmp_path / "b.json").write_text("")
+    text = lambda v: v if v is None or isinstance(v, str) else json.dumps(v)
+    want = sorted(('s.t"', p["pageNum"], k, tuple(map(text, v))) for p in doc["dataPages"] for k, v in (p["data"] or {}).items())
+    got = read_document_pages(spark, str(tmp_path), chunk).collect()
+    assert sorted((r.table, r.page_num, r.row_key, tuple(r.cells)) for r in got) == want
+    if chunk > 64:
+        assert sorted(map(tuple, read_document_totals(spark, str(tmp_path), chunk).collect())) == [('s.t"', 3, 4, 5), ("u", 1, 1, 0)]
+
+
+def test_broken_documents_are_errors(spark, tmp_path):
+    (tmp_path / "a.json").write_text('{"tableName": "t", "dataPages": [{"pageNum": 0, "data": {"1": ["a"], "2": ["b"')
+    with pytest.raises(PySparkException):
+        read_document_pages(spark, str(tmp_path)).collect()
+
+
+@pytest.mark.parametrize("rows, pages", [(0, [0]), (5, [0, 2, 4]), (4, [0, 2, 4])])
+def test_table_document(spark, root, rows, pages):
+    """Written as one document with each page once; a page behind a full last one is there and empty."""
+    df = spark.range(rows).selectExpr("id", "nullif(concat('v', id), 'v1') AS v")
+    write_table_document(df, root, "t", ["id"] if rows != 5 else None, size=2)
+    (name,) = [f for f in os.listdir(root) if f.endswith(".txt")]
+    with open(os.path.join(root, name)) as f:
+        doc = json.load(f)
+    assert [p["pageNum"] for p in doc["dataPages"]] == list(range(len(pages))) and doc["totalPages"] == len(pages) and doc["totalRecords"] == rows
+    assert [p["size"] for p in doc["dataPages"]] == [min(2, max(0, rows - at)) for at in pages]
+    assert sorted(read_page_json(spark, root, df.schema, multi_line=True).collect()) == sorted(df.collect())
+    assert read_page_totals(spark, root, multi_line=True).collect()[0].totalRecords == rows
+
+
+def test_places_outside_of_strings():
+    text = rb'{"a\\":["]\"[",{"b":1}]}'
+    found = scan(np.frombuffer(text, np.uint8), False, False, 0)
+    assert bytes(text[i] for i in found.brackets) == b"{[{}]}" and found.depth.tolist() == [1, 2, 3, 2, 1, 0]
+    for at in range(1, len(text)):  # every chunk border gives the same, when it knows what stands before it
+        before = scan(np.frombuffer(text[:at], np.uint8), False, False, 0)
+        escaped = (len(text[:at]) - len(text[:at].rstrip(b"\\"))) % 2 == 1
+        depth = int(before.depth[-1]) if len(before.depth) else 0
+        rest = scan(np.frombuffer(text[at:], np.uint8), escaped, len(before.quotes) % 2 == 1, depth)
+        assert [*before.brackets, *(rest.brackets + at)] == found.brackets.tolist() and [*before.depth, *rest.depth] == found.depth.tolist()
+
+
 @pytest.mark.parametrize(
     "vendor, want",
     [
