@@ -26,6 +26,7 @@ CHUNK = 16 << 20
 _ROWS = 4
 _AHEAD = 1 << 20
 _CELLS = "map<string, array<string>>"
+_PIECE = 1 << 18  # bytes of rows that make one text
 _LINES = 4 << 20  # bytes of rows that leave a task at once
 
 
@@ -170,7 +171,7 @@ def _pages(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
 
 
 def _rows_of(r) -> Iterator[tuple[int | None, str]]:
-    """(place of the container if it opens in the chunk, text of the key and its cells) of the rows that begin in a chunk."""
+    """(place of the map if it opens in the chunk, text of some keys and their cells) of the rows that begin in a chunk."""
     with open_file(r.path) as f:
         escaped, ahead = _escaped(f, r.start), 0
         while True:
@@ -189,11 +190,15 @@ def _rows_of(r) -> Iterator[tuple[int | None, str]]:
             if len(data) < r.size + ahead:
                 raise ValueError(f"{r.path} ends inside a row")
             ahead = max(_AHEAD, 2 * ahead)
+    if not own:
+        return
     openings = found.brackets[(found.steps > 0) & (found.depth == _ROWS)]
-    last = np.searchsorted(openings, keys[:own]) - 1
-    for key, end, o in zip(keys[:own].tolist(), borders[ends].tolist() if own else [], last.tolist()):
-        text = data[key:end].rstrip().rstrip(b",")
-        yield (r.start + int(openings[o]) if o >= 0 else None), text.decode()
+    keys, owner = keys[:own], np.searchsorted(openings, keys[:own]) - 1
+    # Neighbours of one map go on together: what stands between them is a comma, as in a map.
+    cuts = np.flatnonzero((np.diff(owner) != 0) | (np.diff(keys // _PIECE) != 0)) + 1
+    for a, b in zip([0, *cuts.tolist()], [*cuts.tolist(), own]):
+        text = data[int(keys[a]) : int(borders[ends[b - 1]])].rstrip().rstrip(b",")
+        yield (r.start + int(openings[owner[a]]) if owner[a] >= 0 else None), text.decode()
 
 
 def _row_batches(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -205,10 +210,10 @@ def _row_batches(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
                 texts.append("{" + text + "}")
                 size += len(text)
                 if size > _LINES:
-                    yield pd.DataFrame({"path": r.path, "chunk": r.chunk, "opened": pd.array(opened, "Int64"), "row": texts})
+                    yield pd.DataFrame({"path": r.path, "chunk": r.chunk, "opened": pd.array(opened, "Int64"), "rows": texts})
                     opened, texts, size = [], [], 0
             if texts:
-                yield pd.DataFrame({"path": r.path, "chunk": r.chunk, "opened": pd.array(opened, "Int64"), "row": texts})
+                yield pd.DataFrame({"path": r.path, "chunk": r.chunk, "opened": pd.array(opened, "Int64"), "rows": texts})
 
 
 def _page_list(chunks: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -231,11 +236,11 @@ def read_document_pages(spark: SparkSession, path: str, chunk: int = CHUNK) -> D
     """
     chunks = _chunks(spark, path, chunk)
     pages, carried = _page_list(chunks)
-    rows = chunks.mapInPandas(_row_batches, "path string, chunk long, opened long, row string")
+    rows = chunks.mapInPandas(_row_batches, "path string, chunk long, opened long, rows string")
     placed = rows.join(carried, ["path", "chunk"], "left").withColumn("opened", F.coalesce("opened", "carried"))
     named = pages.filter("opened is not null").select("path", "opened", F.col("tableName").alias("table"), "page_num")
     found = placed.join(named, ["path", "opened"])
-    return found.select("table", "page_num", F.explode(F.from_json("row", _CELLS, {"mode": "FAILFAST"})).alias("row_key", "cells"))
+    return found.select("table", "page_num", F.explode(F.from_json("rows", _CELLS, {"mode": "FAILFAST"})).alias("row_key", "cells"))
 
 
 def read_document_totals(spark: SparkSession, path: str, chunk: int = CHUNK) -> DataFrame:
