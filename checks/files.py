@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from checks import Registry, table
 from snapforge.functions.checksums import checksum_md5, checksum_sha256
 from snapforge.session import scratch_path
-from snapforge.sources.files import changed_files, expand_archives, file_checksums, file_inventory
+from snapforge.sources.files import changed_files, expand_archive_parts, expand_archives, file_checksums, file_inventory, read_archives, write_file
 
 
 def _pack(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -28,6 +28,25 @@ def _pack(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield pd.DataFrame({"path": [f"{i}.zip" for i in batch["doc_id"]], "content": packed})
 
 
+def _archive_files(spark, d: str) -> str:
+    """A folder with zip files of many documents each; entries are stored, deflated and packed with bzip2."""
+    folder = scratch_path(spark, "archives")
+    kinds = (zipfile.ZIP_STORED, zipfile.ZIP_DEFLATED, zipfile.ZIP_BZIP2)
+
+    def write(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            buffer = io.BytesIO()
+            with zipfile.ZipFile(buffer, "w") as z:
+                for row in batch.itertuples():
+                    z.writestr(f"{row.doc_id}.txt", row.text, kinds[row.doc_id % 3])
+            name = f"{folder}/{batch['doc_id'].min()}.zip"
+            write_file(name, buffer.getvalue())
+            yield pd.DataFrame({"path": [name]})
+
+    table(spark, d, "documents").select("doc_id", "text").mapInPandas(write, "path string").count()
+    return folder
+
+
 def _page_files(spark, d: str) -> str:
     """A folder with one text file per page; the writer ends each with a line feed."""
     folder = scratch_path(spark, "pages")
@@ -71,6 +90,22 @@ def register(r: Registry) -> None:
         found = file_checksums(spark, _page_files(spark, d), "sha256")
         return found.select(_page_id(), "length", F.col("checksum").alias("sha256"))
 
+    @r.add("SELECT concat(doc_id, '.txt') AS name, 'text/plain' AS content_type, octet_length(encode(text))::BIGINT AS size, md5(text) AS md5 FROM documents")
+    def read_archives_documents(spark, d):
+        found = read_archives(spark, _archive_files(spark, d))
+        return found.select("name", "content_type", "size", F.md5("content").alias("md5"))
+
+    @r.add(
+        """SELECT concat(doc_id, '.txt') AS name, octet_length(encode(text))::BIGINT AS size,
+                  greatest(1, (octet_length(encode(text)) + 999) // 1000)::BIGINT AS parts, md5(text) AS md5 FROM documents"""
+    )
+    def expand_archive_parts_documents(spark, d):
+        files = spark.read.format("binaryFile").load(_archive_files(spark, d)).select("path")
+        parts = expand_archive_parts(files, 1_000).groupBy("name", "size").agg(
+            F.count("*").alias("parts"), F.sort_array(F.collect_list(F.struct("part", F.hex("content").alias("x")))).alias("all")
+        )
+        return parts.select("name", "size", "parts", F.md5(F.unhex(F.array_join("all.x", ""))).alias("md5"))
+
     @r.add(
         """SELECT concat(doc_id, '.zip') AS path, concat(doc_id, '.txt') AS name, 'text/plain' AS content_type,
                   octet_length(encode(text))::BIGINT AS size, md5(text) AS md5 FROM documents

@@ -69,6 +69,24 @@ def register(r: Registry) -> None:
     def read_page_orders(spark, d):
         return read_page(table(spark, d, "orders"), 1, 700, ["o_orderkey"])
 
+    @r.add(
+        """SELECT *, row_number() OVER (ORDER BY l_partkey, l_quantity, l_orderkey, l_suppkey, l_linenumber, l_extendedprice, l_discount,
+                  l_tax, l_returnflag, l_linestatus, l_shipdate) AS row_num FROM lineitem ORDER BY row_num LIMIT 500 OFFSET 30000"""
+    )
+    def read_page_lineitem(spark, d):
+        """A page in the middle of a table without key, in the order of all columns, found without sorting the table."""
+        df = table(spark, d, "lineitem")
+        order = ["l_partkey", "l_quantity", "l_orderkey", "l_suppkey", "l_linenumber", "l_extendedprice", "l_discount"]
+        return read_page(df, 60, 500, order + ["l_tax", "l_returnflag", "l_linestatus", "l_shipdate"], most=2_000)
+
+    @r.add(
+        """SELECT *, row_number() OVER (ORDER BY props NULLS FIRST, event_id) AS row_num
+           FROM (SELECT event_id, user_id, CASE WHEN user_id % 3 > 0 THEN props END AS props FROM events) ORDER BY row_num LIMIT 100 OFFSET 6600"""
+    )
+    def read_page_nulls_first(spark, d):
+        events = table(spark, d, "events").selectExpr("event_id", "user_id", "CASE WHEN user_id % 3 > 0 THEN props END AS props")
+        return read_page(events, 66, 100, ["props", "event_id"], nulls="first", most=300)
+
     _nulls = """SELECT c_custkey, c_mktsegment, row_number() OVER (ORDER BY c_mktsegment NULLS {where}, c_custkey) AS row_num
                 FROM (SELECT c_custkey, nullif(c_mktsegment, 'BUILDING') AS c_mktsegment FROM customer)"""
 

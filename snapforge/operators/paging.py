@@ -24,6 +24,9 @@ Result = TypeVar("Result")
 PAGES_PER_TABLE = 10
 MAX_ROWS_PER_PAGE = 100_000
 DEFAULT_BATCH = 1_000
+# Rows that are sorted to read a page, besides its own, and cuts of a range in one round of the selection.
+SELECT_ROWS = 200_000
+SPLITTERS = 32
 
 POSITION = "_seq"
 # monotonically_increasing_id puts the partition above bit 33 and the row position below.
@@ -209,9 +212,82 @@ def page_number(
     return numbered.withColumn("page_num", F.expr(f"(row_num - 1) div {int(size)}L"))
 
 
-def read_page(df: DataFrame, page: int, size: int, order: list[str] | None = None, nulls: str = "last") -> DataFrame:
-    """Rows of one page in key order, with their ``row_num``."""
-    return page_of(_keep_positioned(df, sort_order(df, order, nulls), order, "paged"), page, size)
+def _ordered_key(df: DataFrame, order: list[str] | None, nulls: str) -> Column:
+    """The place of a row in key order as one value: the keys with their null placement, then a hash of the row."""
+    fields: list[Column] = []
+    for i, name in enumerate(order or df.columns):
+        key = _sort_key(df.schema[name])
+        fields += [(key.isNull() if nulls == "last" else key.isNotNull()).alias(f"n{i}"), key.alias(f"k{i}")]
+    return F.struct(*fields, F.xxhash64(*[_sort_key(f) for f in df.schema.fields]).alias("tie"))
+
+
+def _first_key_between(df: DataFrame, name: str, low, high) -> Column:
+    """A condition on the first key alone, which a scan can use to skip files and row groups."""
+    if not isinstance(df.schema[name].dataType, (T.IntegralType, T.StringType, T.DecimalType, T.DateType)):
+        return F.lit(True)
+    col, inside = F.col(f"`{name}`"), F.lit(True)
+    if low is not None:
+        inside = inside & (col >= F.lit(low))
+    return inside & (col <= F.lit(high)) if high is not None else inside
+
+
+def rank_range(
+    df: DataFrame, first: int, last: int, order: list[str] | None = None, nulls: str = "last", most: int = SELECT_ROWS
+) -> tuple[DataFrame, int]:
+    """Rows of ``df`` that hold all with a rank from ``first`` to ``last`` (from 0) in key order, and the rank of the first of them.
+
+    No row is shuffled: each round takes a sample of the keys in the range so far, ``SPLITTERS`` of them cut it, the rows
+    between two neighbours are counted, and the parts that the ranks lie in are the next range. It ends when a range has
+    at most ``most`` rows besides those asked for, or is made of equal keys that nothing can cut (equal rows).
+    """
+    if nulls not in ("last", "first"):
+        raise ValueError("nulls must be 'last' or 'first'")
+    key = _ordered_key(df, order, nulls)
+    head = (order or df.columns)[0]
+    held, before, rows, low, high = df, 0, df.count(), None, None
+    goal = max(most, last - first + 1)
+    while rows > goal + most and first < before + rows:
+        share = min(1.0, 40 * SPLITTERS / rows)
+        keys = held.select(key.alias("key")).sample(share, 23)
+        places = F.transform(F.sequence(F.lit(1), F.lit(SPLITTERS)), lambda i: F.floor(i * F.size("keys") / (SPLITTERS + 1)).cast("int"))
+        cut = F.array_distinct(F.transform(F.filter(places, lambda p: p < F.size("keys")), lambda p: F.get("keys", p)))
+        cuts = keep(keys.agg(F.sort_array(F.collect_list("key")).alias("keys")).select(cut.alias("cuts")), "splitters")
+        beside = held.select(key.alias("key"), cuts.scalar().alias("cuts"))
+        part = F.size(F.filter("cuts", lambda c: c <= F.col("key"))).alias("part")
+        counts = {r["part"]: r["n"] for r in beside.groupBy(part).agg(F.count(F.lit(1)).alias("n")).collect()}
+        ahead, chosen = before, []
+        for p in sorted(counts):
+            if ahead <= last and ahead + counts[p] > first:
+                chosen.append((p, ahead, counts[p]))
+            ahead += counts[p]
+        if not chosen or sum(c[2] for c in chosen) == rows:
+            break
+        before, rows = chosen[0][1], sum(c[2] for c in chosen)
+        # Part p holds the keys from cut p on (counted from 1) and before cut p + 1.
+        ends = cuts.select(F.get("cuts", F.lit(chosen[0][0] - 1)).alias("low"), F.get("cuts", F.lit(chosen[-1][0])).alias("high"))
+        edge = ends.select(F.col("low.k0").alias("low"), F.col("high.k0").alias("high"), F.col("high").isNotNull().alias("cut")).head()
+        if chosen[0][0]:
+            held, low = held.filter(key >= ends.select("low").scalar()), edge["low"]
+        if edge["cut"]:
+            held, high = held.filter(key < ends.select("high").scalar()), edge["high"]
+        # Where the end that nulls stand at has a value, there are no nulls in the range.
+        if (high if nulls == "last" else low) is not None:
+            held = held.filter(_first_key_between(df, head, low, high))
+    return held, before
+
+
+def read_page(
+    df: DataFrame, page: int, size: int, order: list[str] | None = None, nulls: str = "last", most: int = SELECT_ROWS
+) -> DataFrame:
+    """Rows of one page in key order, with their ``row_num``.
+
+    The table is not sorted: ``rank_range`` finds the part of it that holds the page, and only that is numbered. The
+    passes that find it run when this is called; each reads the key columns (all columns, for the hash that settles ties)
+    and returns a few counts.
+    """
+    first, last = page * size, (page + 1) * size - 1
+    held, before = rank_range(df, first, last, order, nulls, most)
+    return number_rows(held, order, nulls, start=before + 1).filter(F.col("row_num").between(first + 1, last + 1))
 
 
 def page_of(positioned: DataFrame, page: int, size: int, offsets: DataFrame | None = None) -> DataFrame:
@@ -305,6 +381,7 @@ __all__ = [
     "page_number",
     "page_of",
     "page_size",
+    "rank_range",
     "read_page",
     "row_count",
     "row_sequence",

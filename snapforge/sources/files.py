@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
+import bz2
 import hashlib
 import io
 import zipfile
-from collections.abc import Callable, Iterator
-from typing import BinaryIO
+import zlib
+from collections.abc import Iterator
 from urllib.parse import unquote, urlsplit
 
 import pandas as pd
@@ -15,6 +16,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from snapforge.functions.checksums import checksum_md5, checksum_sha256
+from snapforge.session import MAX_PARTITIONS, keep
 
 # Content type by file extension.
 CONTENT_TYPES = {
@@ -30,6 +32,9 @@ CONTENT_TYPES = {
 UNKNOWN_TYPE = "application/octet-stream"
 
 _PIECE = 8 << 20
+# Longest cell, and tasks that small inputs are dealt to.
+MAX_CELL = (1 << 31) - 64
+DEFAULT_TASKS = 8
 
 
 def content_type(name: Column) -> Column:
@@ -68,6 +73,18 @@ def open_file(path: str):
     return where.open_input_file(inner)
 
 
+def write_file(path: str, data: bytes) -> None:
+    """A new file with ``data``, and the folders above it, on any file system that executors can reach."""
+    uri = urlsplit(path)
+    if uri.scheme in ("", "file"):
+        where, inner = fs.LocalFileSystem(), unquote(uri.path)
+    else:
+        where, inner = fs.FileSystem.from_uri(path.replace("s3a://", "s3://", 1))
+    where.create_dir(inner.rpartition("/")[0], recursive=True)
+    with where.open_output_stream(inner) as out:
+        out.write(data)
+
+
 def file_checksums(spark: SparkSession, path: str, algorithm: str = "md5") -> DataFrame:
     """path, length and hex digest of all files below ``path``.
 
@@ -103,58 +120,157 @@ def changed_files(files: DataFrame, previous: DataFrame, only_changed: bool = Tr
 
 
 _ENTRY = "path string, name string, size bigint, content binary"
+_DIRECTORY = "path string, name string, at bigint, packed bigint, size bigint, method int, crc bigint"
+_PARTS = "path string, name string, size bigint, part bigint, content binary"
 _BATCH_BYTES = 32 << 20
+# Packed bytes of entries that one task opens.
+_TASK_BYTES = 64 << 20
+# Fixed values of the zip format: entries that are stored, deflated, packed with bzip2; bytes of a local header.
+_STORED, _DEFLATED, _BZIP2 = 0, 8, 12
+_LOCAL_HEADER = 30
+
 
+def _listed(path: str, archive: zipfile.ZipFile) -> Iterator[zipfile.ZipInfo]:
+    """Entries that can be read; encrypted ones and those of an unknown compression are skipped."""
+    for info in archive.infolist():
+        if info.is_dir():
+            raise ValueError(f"{path}: directory entry {info.filename}")
+        if not info.flag_bits & 1 and info.compress_type in (_STORED, _DEFLATED, _BZIP2, zipfile.ZIP_LZMA):
+            yield info
 
-def _read_entries(path: str, source: BinaryIO) -> Iterator[tuple[str, str, int, bytes]]:
-    with zipfile.ZipFile(source) as archive:
-        for info in archive.infolist():
-            if info.is_dir():
-                raise ValueError(f"{path}: directory entry {info.filename}")
-            try:
-                data = archive.read(info)
-            except (NotImplementedError, RuntimeError):
-                continue  # encrypted or unknown compression: unreadable, skipped
-            yield path, info.filename, len(data), data
 
+def archive_entries(files: DataFrame) -> DataFrame:
+    """path, name, at (of the local header), packed and unpacked size, method and crc of the entries of the zip files in ``files`` (path).
 
-def _entries(batches: Iterator[pd.DataFrame], source: Callable[[pd.Series], BinaryIO]) -> Iterator[pd.DataFrame]:
-    columns = ["path", "name", "size", "content"]
-    held: list[tuple[str, str, int, bytes]] = []
-    held_bytes = 0
+    Only the central directory at the end of each file is read.
+    """
+
+    def directories(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for path in batch["path"]:
+                with open_file(path) as f, zipfile.ZipFile(f) as archive:
+                    found = [(path, i.filename, i.header_offset, i.compress_size, i.file_size, i.compress_type, i.CRC) for i in _listed(path, archive)]
+                if found:
+                    yield pd.DataFrame(found, columns=["path", "name", "at", "packed", "size", "method", "crc"])
+
+    return files.select("path").mapInPandas(directories, _DIRECTORY)
+
+
+def _unpacked(f, entry) -> Iterator[bytes]:
+    """Unpacked bytes of one entry in pieces of bounded size, checked against its length and crc."""
+    f.seek(entry.at)
+    header = f.read(_LOCAL_HEADER)
+    if header[:4] != zipfile.stringFileHeader:
+        raise zipfile.BadZipFile(f"{entry.path}: no entry at {entry.at}")
+    f.seek(entry.at + _LOCAL_HEADER + int.from_bytes(header[26:28], "little") + int.from_bytes(header[28:30], "little"))
+    left, crc, size = entry.packed, 0, 0
+    unpack = {_DEFLATED: lambda: zlib.decompressobj(-15), _BZIP2: bz2.BZ2Decompressor}.get(entry.method, lambda: None)()
+
+    def pieces() -> Iterator[bytes]:
+        nonlocal left
+        while left > 0:
+            data = f.read(min(_PIECE, left))
+            if not data:
+                raise zipfile.BadZipFile(f"{entry.path}: {entry.name} ends too early")
+            left -= len(data)
+            if unpack is None:
+                yield data
+            elif entry.method == _DEFLATED:
+                while data:
+                    yield unpack.decompress(data, _PIECE)
+                    data = unpack.unconsumed_tail
+            else:
+                yield unpack.decompress(data, _PIECE)
+                while not unpack.needs_input and not unpack.eof:
+                    yield unpack.decompress(b"", _PIECE)
+        if entry.method == _DEFLATED:
+            yield unpack.flush()
+
+    for piece in pieces():
+        crc, size = zlib.crc32(piece, crc), size + len(piece)
+        yield piece
+    if (crc, size) != (entry.crc, entry.size):
+        raise zipfile.BadZipFile(f"{entry.path}: {entry.name} is damaged")
+
+
+def _entry_parts(path: str, f, entry) -> Iterator[bytes]:
+    if entry.method == zipfile.ZIP_LZMA:  # rare; read through the library, whose reader checks it
+        with zipfile.ZipFile(f) as archive, archive.open(entry.name) as data:
+            while piece := data.read(_PIECE):
+                yield piece
+    else:
+        yield from _unpacked(f, entry)
+
+
+def expand_archive_parts(files: DataFrame, part_bytes: int = _BATCH_BYTES) -> DataFrame:
+    """Entries of the zip files in ``files`` (path) in parts: path, name, size, part (from 0) and content.
+
+    The central directories are read first, in a job when this is called. The entries are then dealt to tasks by their
+    packed bytes, so one archive fills as many tasks as it is long, and each task seeks to its entries. An entry is
+    unpacked by one task, in order, and leaves it in parts of ``part_bytes``, so it may be longer than a cell or than
+    memory; the parts of an entry joined in their order are its content. Entries that cannot be read are skipped, a
+    directory entry or a damaged one is an error. An empty entry is one empty part.
+    """
+    entries = keep(archive_entries(files), "entries")
+    total = entries.agg(F.count("*").alias("n"), F.sum("packed").alias("bytes")).head()
+    tasks = max(1, min(total["n"], MAX_PARTITIONS, max((total["bytes"] or 0) // _TASK_BYTES, min(total["n"], DEFAULT_TASKS))))
+
+    def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        columns = ["path", "name", "size", "part", "content"]
+        held: list[tuple] = []
+        held_bytes = 0
+        for batch in batches:
+            for path, rows in batch.groupby("path", sort=False):
+                with open_file(path) as f:
+                    for entry in rows.itertuples():
+                        buffer, part = bytearray(), 0
+                        for piece in _entry_parts(path, f, entry):
+                            buffer += piece
+                            while len(buffer) > part_bytes:
+                                yield pd.DataFrame([(path, entry.name, entry.size, part, bytes(buffer[:part_bytes]))], columns=columns)
+                                del buffer[:part_bytes]
+                                part += 1
+                        held.append((path, entry.name, entry.size, part, bytes(buffer)))
+                        held_bytes += len(buffer)
+                        if held_bytes >= _BATCH_BYTES or len(held) >= 1_000:
+                            yield pd.DataFrame(held, columns=columns)
+                            held, held_bytes = [], 0
+        if held:
+            yield pd.DataFrame(held, columns=columns)
+
+    return entries.repartition(tasks, F.xxhash64("path", "at")).mapInPandas(read, _PARTS)
+
+
+def _given_entries(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Entries of archives that are cells of a table."""
     for batch in batches:
-        for _, row in batch.iterrows():
-            for entry in _read_entries(row["path"], source(row)):
-                held.append(entry)
-                held_bytes += entry[2]
-                if held_bytes >= _BATCH_BYTES or len(held) >= 1_000:
-                    yield pd.DataFrame(held, columns=columns)
-                    held, held_bytes = [], 0
-    if held:
-        yield pd.DataFrame(held, columns=columns)
+        for path, content in zip(batch["path"], batch["content"]):
+            with zipfile.ZipFile(io.BytesIO(content)) as archive:
+                held: list[tuple] = []
+                size = 0
+                for info in _listed(path, archive):
+                    held.append((path, info.filename, info.file_size, archive.read(info)))
+                    size += info.file_size
+                    if size >= _BATCH_BYTES or len(held) >= 1_000:
+                        yield pd.DataFrame(held, columns=["path", "name", "size", "content"])
+                        held, size = [], 0
+            if held:
+                yield pd.DataFrame(held, columns=["path", "name", "size", "content"])
 
 
 def expand_archives(files: DataFrame) -> DataFrame:
     """One row per entry of the zip files in ``files`` (path, and optionally content).
 
-    Without a content column the archives are opened at their path and read entry by entry, so
-    their size does not matter. An entry that cannot be read is skipped, a directory entry is an
-    error. Entries leave the task in batches of bounded size.
+    Without a content column the archives are opened at their path and their entries are dealt to tasks, see
+    ``expand_archive_parts``, which also serves entries that are too long for a cell (2 GiB); here such an entry is an
+    error. An entry that cannot be read is skipped, a directory entry is an error. Entries leave the task in batches of
+    bounded size.
     """
     if "content" in files.columns:
-        given = files.select("path", "content")
-
-        def entries(batches):
-            return _entries(batches, lambda row: io.BytesIO(row["content"]))
+        found = files.select("path", "content").mapInPandas(_given_entries, _ENTRY)
     else:
-        given = files.select("path")
-
-        def entries(batches):
-            return _entries(batches, lambda row: open_file(row["path"]))
-
-    return given.mapInPandas(entries, _ENTRY).select(
-        "path", "name", content_type(F.col("name")).alias("content_type"), "size", "content"
-    )
+        found = expand_archive_parts(files, MAX_CELL).drop("part")
+    return found.select("path", "name", content_type(F.col("name")).alias("content_type"), "size", "content")
 
 
 def read_archives(spark: SparkSession, path: str) -> DataFrame:

@@ -4,11 +4,13 @@ import pytest
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from snapforge.operators import paging
 from snapforge.operators.paging import (
     number_rows,
     page_number,
     page_size,
     partition_offsets,
+    rank_range,
     read_page,
     row_sequence,
     running_totals,
@@ -18,6 +20,7 @@ from snapforge.operators.paging import (
     POSITION,
     part_of,
 )
+from snapforge.session import local_frame
 
 
 @pytest.mark.parametrize("rows, size", [(0, 1000), (999, 1000), (10_000, 1000), (10_001, 1001), (60_000, 6000), (999_999, 100_000), (10**12, 100_000)])
@@ -135,3 +138,25 @@ def test_sample_of_wide_keys_is_bounded(spark, monkeypatch):
     assert [s for s, _ in seen] == ["1", "5", "100"]
     assert seen[0][1] == 4
     assert spark.conf.get(key) == "100"
+
+
+@pytest.mark.parametrize("nulls", ["last", "first"])
+def test_page_selection(spark, monkeypatch, nulls):
+    """Pages found by counting, on keys with ties, nulls, texts and rows that repeat, equal the slice of the sorted table."""
+    monkeypatch.setattr(paging, "SPLITTERS", 4)
+    rows = [(i * 37 % 50 if i % 4 else None, f"v{i % 7}", i) for i in range(400)] + [(7, "same", 1)] * 150
+    df = local_frame(spark, rows, "k int, v string, n int")
+
+    def place(r):
+        absent = (r[0] is None) if nulls == "last" else (r[0] is not None)
+        return (absent, r[0] or 0, r[1])
+
+    ranked = sorted(rows, key=place)
+    for page, size in ((0, 30), (5, 40), (13, 40), (99, 10)):
+        got = sorted(read_page(df, page, size, ["k", "v"], nulls, most=20).collect(), key=lambda r: r.row_num)
+        want = ranked[page * size : (page + 1) * size]
+        assert [place(r) for r in got] == [place(r) for r in want] and [r.row_num for r in got] == list(range(page * size + 1, page * size + len(want) + 1))
+    held, before = rank_range(df, 100, 110, ["k", "v"], nulls, most=20)
+    assert held.count() < 300 and before <= 100
+    assert "RepartitionByExpression" not in held._jdf.queryExecution().optimizedPlan().toString()
+    assert read_page(df.limit(0), 0, 5, ["k"]).count() == 0
