@@ -9,6 +9,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from checks import Registry, table
 from snapforge.operators.graph import break_edges, cycle_edges, dependency_levels, load_order, reachability
@@ -67,6 +68,17 @@ def cyclic_edges(spark, d) -> DataFrame:
 
 
 def register(r: Registry) -> None:
+    @r.add(
+        """SELECT concat('orders/', o_orderkey) AS node, (row_number() OVER (PARTITION BY o_orderkey % 3 ORDER BY o_orderkey) - 1)::INTEGER AS level
+           FROM orders"""
+    )
+    def fk_levels_deep(spark, d):
+        """Three chains, in which each order refers to the one before it: as deep as a third of the table is long."""
+        before = F.lag("o_orderkey").over(Window.partitionBy(F.col("o_orderkey") % 3).orderBy("o_orderkey"))
+        orders = table(spark, d, "orders").select("o_orderkey", before.alias("ref"))
+        edges = _edge(orders.filter("ref is not null"), "orders", "o_orderkey", "orders", "ref")
+        return dependency_levels(edges, orders.select(F.concat(F.lit("orders/"), "o_orderkey").alias("node")))
+
     @r.add(
         f"""WITH RECURSIVE e AS ({_EDGES}), l(node, level) AS (
               SELECT DISTINCT ref, 0 FROM e WHERE ref NOT IN (SELECT src FROM e)

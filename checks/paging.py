@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from checks import TABLES, Registry, table
@@ -16,6 +19,7 @@ from snapforge.operators.paging import (
     running_totals,
     snapshot_totals,
 )
+from snapforge.sources.tables import JdbcSource, keyset_predicates, keyset_query, sorted_bounds
 
 _COUNTS = " UNION ALL ".join(f"SELECT '{t}' AS \"table\", count(*) AS n FROM {t}" for t in TABLES)
 
@@ -87,6 +91,22 @@ def register(r: Registry) -> None:
         events = table(spark, d, "events").selectExpr("event_id", "user_id", "CASE WHEN user_id % 3 > 0 THEN props END AS props")
         return read_page(events, 66, 100, ["props", "event_id"], nulls="first", most=300)
 
+    # The same query and predicates as for a database, run by Spark SQL over the Parquet table.
+    def keyset_parts(spark, d, name, pk, parts):
+        source = JdbcSource("jdbc:none", "MYSQL")  # the vendor that quotes names as Spark does
+        df = table(spark, d, name)
+        view = f"keyset_{name}"
+        df.createOrReplaceTempView(view)
+        bounds = sorted_bounds(spark.sql(keyset_query(source, view, pk, parts)), pk)
+        cut = [df.filter(p).select(*pk, F.lit(i).cast("bigint").alias("part")) for i, p in enumerate(keyset_predicates(source, pk, bounds))]
+        return reduce(DataFrame.unionByName, cut)
+
+    _parts = "SELECT {keys}, (row_number() OVER (ORDER BY {keys}) - 1) * {n} // count(*) OVER () AS part FROM {table}"
+    r.add(_parts.format(keys="conv_id, turn", n=7, table="conversations"), "keyset_parts_conversations")(
+        lambda spark, d: keyset_parts(spark, d, "conversations", ["conv_id", "turn"], 7)
+    )
+    r.add(_parts.format(keys="url", n=20, table="pages"), "keyset_parts_pages")(lambda spark, d: keyset_parts(spark, d, "pages", ["url"], 20))
+
     _nulls = """SELECT c_custkey, c_mktsegment, row_number() OVER (ORDER BY c_mktsegment NULLS {where}, c_custkey) AS row_num
                 FROM (SELECT c_custkey, nullif(c_mktsegment, 'BUILDING') AS c_mktsegment FROM customer)"""
 

@@ -47,7 +47,11 @@ class EvolveError(ValueError):
 
 def column_ops(diff: DataFrame, schema: str | None, table: str) -> list[ColumnOp]:
     """The changes of one table from ``diff_columns``; as many rows as the table has columns."""
-    rows = diff.filter((F.col("schema") == (schema or "")) & (F.col("table") == table)).collect()
+    return ops_of(diff.filter((F.col("schema") == (schema or "")) & (F.col("table") == table)).collect())
+
+
+def ops_of(rows: list) -> list[ColumnOp]:
+    """The changes of one table from its rows of ``diff_columns``: new columns, then dropped, then changed ones."""
     ops = []
     for r in sorted(rows, key=lambda r: (("CREATE", "DROP", "MODIFY").index(r["op"]), r["name"])):
         new = r["new"]

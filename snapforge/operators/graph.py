@@ -7,8 +7,11 @@ the number of rounds is the depth of the graph, not its size.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from functools import reduce
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -17,6 +20,8 @@ from snapforge.session import keep, local_frame, scratch_path
 
 # Rounds after which the parts found so far are written as one.
 COMPACT = 8
+# Most edges whose levels one task finds at once (some 50 MB).
+AT_ONCE = 1 << 18
 
 
 def catalog_edges(foreign_keys: DataFrame) -> DataFrame:
@@ -32,9 +37,58 @@ def _pairs(edges: DataFrame) -> DataFrame:
     return edges.select("src", "ref").distinct()
 
 
+def _levels_at_once(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Levels of the nodes that have edges, of all edges of a graph; those into or on a cycle are marked, and their level has no meaning.
+
+    A node is done in the round after the last node that it refers to; only its edges are looked at then.
+    """
+    frames = [b for b in batches if len(b)]
+    if not frames:
+        return
+    edges = pd.concat(frames)
+    codes, names = pd.factorize(pd.concat([edges["src"], edges["ref"]], ignore_index=True))
+    src, ref = codes[: len(edges)], codes[len(edges) :]
+    order = np.argsort(ref, kind="stable")
+    starts = np.searchsorted(ref[order], np.arange(len(names) + 1))
+    waits = np.bincount(src, minlength=len(names))
+    level = np.where(waits == 0, 0, -1)
+    done, turn = np.flatnonzero(waits == 0), 0
+    while len(done):
+        turn += 1
+        n = starts[done + 1] - starts[done]
+        into = src[order[np.repeat(starts[done] - np.cumsum(n) + n, n) + np.arange(n.sum())]]
+        less, times = np.unique(into, return_counts=True)
+        waits[less] -= times
+        done = less[waits[less] == 0]
+        level[done] = turn
+    stuck = level < 0
+    level[stuck] = level.max(initial=0) + 1
+    listed = level > 0
+    yield pd.DataFrame({"node": names[listed], "level": level[listed].astype("int32"), "stuck": stuck[listed]})
+
+
 def _peel(pairs: DataFrame, nodes: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
     """``node``, ``level`` of all nodes, and the edges that never go (those into or on a cycle).
 
+    A graph of at most ``AT_ONCE`` edges is done by one task, however deep it is; a larger one by rounds.
+    """
+    proper = pairs.filter("src <> ref")
+    if proper.count() > AT_ONCE:
+        return _peel_by_rounds(pairs, nodes)
+    every = pairs.select(F.col("src").alias("node")).union(pairs.select("ref"))
+    if nodes is not None:
+        every = every.union(nodes.select("node"))
+    kind = pairs.schema["src"].dataType.simpleString()
+    found = keep(proper.select("src", "ref").coalesce(1).mapInPandas(_levels_at_once, f"node {kind}, level int, stuck boolean"), "levels")
+    levels = every.distinct().join(found.drop("stuck"), "node", "left").withColumn("level", F.coalesce("level", F.lit(0)))
+    stuck = found.filter("stuck").select("node")
+    left = proper.join(stuck, F.col("src") == F.col("node"), "left_semi").join(stuck, F.col("ref") == F.col("node"), "left_semi")
+    return levels, left.select("src", "ref")
+
+
+def _peel_by_rounds(pairs: DataFrame, nodes: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+    """``_peel`` of a graph of any size.
+
     A round drops the edges whose ref has no edge of its own any more. The nodes that still are the
     src of an edge go to a folder of the round, and the level of a node is the last round that lists
     it. All rounds are read as one table, so no plan grows with the depth.

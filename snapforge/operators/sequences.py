@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import warnings
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
@@ -18,6 +20,9 @@ COLUMN_PLACEHOLDER = "{columnName}"
 # Fixed value: sources that have no sequences.
 WITHOUT_SEQUENCES = ("MYSQL",)
 
+# Tables that are read at the same time.
+PARALLELISM = 10
+
 RESULT = "sequence string, table string, column string, max_value bigint, new_value bigint"
 
 
@@ -31,15 +36,31 @@ class SequenceMapping:
     column: str
 
 
+def quoted(name: str) -> str:
+    return "`" + name.replace("`", "``") + "`"
+
+
 def _as_long(df: DataFrame, column: str) -> Column:
-    """Maximum as a whole number, fractions cut off; null for other types and empty tables."""
+    """Maximum as a whole number, fractions cut off; null for other types, for empty tables, and where it does not fit a bigint.
+
+    The last is so for a maximum of 2^63 or more, for infinity, and for NaN, which counts as the largest number.
+    """
     if not isinstance(df.schema[column].dataType, T.NumericType):
         return F.max(F.lit(None).cast("bigint"))
-    return F.max(f"`{column}`").cast("bigint")
+    return F.max(quoted(column)).try_cast("bigint")
+
+
+def _read_or_warn(maxima: DataFrame) -> DataFrame | None:
+    """The rows of one table, one per sequence asked for, read now."""
+    try:
+        return local_frame(maxima.sparkSession, maxima.collect(), "sequence string, table string, column string, max_value bigint")
+    except Exception as e:  # noqa: BLE001 - a table that fails must not stop the others
+        warnings.warn(f"sequence skipped: {str(e)[:500]}", stacklevel=2)
+        return None
 
 
 def max_value(df: DataFrame, column: str) -> DataFrame:
-    """One row with the maximum of ``column``."""
+    """One row with the maximum of ``column``, see ``next_sequence_values`` for values that are no bigint."""
     return df.agg(_as_long(df, column).alias("max_value"))
 
 
@@ -50,12 +71,16 @@ def next_sequence_values(
     column: str | None = None,
     mappings: list[SequenceMapping] | None = None,
     source_type: str | None = None,
+    continue_on_error: bool = False,
 ) -> DataFrame:
     """New value max + 1 (1 for an empty table) per sequence that exists.
 
     The template is tried for every table that has ``column``, mappings name their column.
     Missing tables, columns and sequences are skipped. Every table is scanned once, for the
-    columns asked for only. A source without sequences gives no rows.
+    columns asked for only. A maximum that does not fit a bigint (2^63 or more, infinity, NaN) counts as none. A source
+    without sequences gives no rows. The result is lazy, and one table that cannot be read fails it. With
+    ``continue_on_error`` the maxima are read when this is called, several tables at a time; a table that fails gives a
+    warning and no rows.
     """
     if source_type in WITHOUT_SEQUENCES:
         return local_frame(sequences.sparkSession, [], RESULT)
@@ -80,6 +105,9 @@ def next_sequence_values(
             for i, (s, c) in enumerate(found)
         ]
         parts.append(maxima.select(F.inline(F.array(*pairs))))
+    if continue_on_error:
+        with ThreadPoolExecutor(PARALLELISM) as pool:
+            parts = [p for p in pool.map(_read_or_warn, parts) if p is not None]
     if not parts:
         return local_frame(sequences.sparkSession, [], RESULT)
     values = parts[0]

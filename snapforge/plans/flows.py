@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from snapforge.catalog import Catalog
 from snapforge.functions.names import qualify
 from snapforge.operators.diff import diff_catalog, diff_columns
-from snapforge.operators.evolve import OpResult, column_ops, evolve_table
+from snapforge.operators.evolve import OpResult, evolve_table, ops_of
 from snapforge.operators.manifest import RUN_LOG
 from snapforge.operators.masking import Mask, MaskTarget, mask_columns
 from snapforge.operators.schema_map import map_schema
@@ -134,22 +134,26 @@ def update_schema(
     changes = diff_catalog(wanted, current, skip_sequences)
     if dry_run:
         return dfs, changes, {}
-    columns = diff_columns(wanted, current)
-    rows = columns.select("schema", "table").distinct().collect()  # one row per changed table
+    # Column changes and orders of all tables, read once: as many rows as the catalogs have columns.
+    by_table: dict[tuple[str, str], list] = {}
+    for r in diff_columns(wanted, current).collect():
+        by_table.setdefault((r["schema"], r["table"]), []).append(r)
+    ordinals = _ordinals(wanted)
     out = dict(dfs)
     outcomes: dict[str, list[OpResult]] = {}
-    for r in rows:
-        name = qualify(r["schema"], r["table"])
+    for (schema, table), rows in by_table.items():
+        name = qualify(schema, table)
         if name in out:
-            out[name], outcomes[name] = evolve_table(
-                out[name], column_ops(columns, r["schema"], r["table"]), _ordinals(wanted, r["schema"], r["table"]), continue_on_error
-            )
+            out[name], outcomes[name] = evolve_table(out[name], ops_of(rows), ordinals.get((schema, table), []), continue_on_error)
     dropped = changes.filter("entity = 'table' and op = 'DROP'").select("qualified_name").collect()
     for r in dropped:
         out.pop(r[0], None)
     return out, changes, outcomes
 
 
-def _ordinals(catalog: Catalog, schema: str, table: str) -> list[str]:
-    rows = catalog.columns.filter((F.coalesce("schema", F.lit("")) == schema) & (F.col("table") == table))
-    return [r["name"] for r in rows.orderBy("ordinal", "name").select("name").collect()]
+def _ordinals(catalog: Catalog) -> dict[tuple[str, str], list[str]]:
+    """Column names in ordinal order by (schema, table)."""
+    listed = catalog.columns.groupBy(F.coalesce("schema", F.lit("")).alias("schema"), "table").agg(
+        F.transform(F.sort_array(F.collect_list(F.struct("ordinal", "name"))), lambda c: c["name"]).alias("names")
+    )
+    return {(r["schema"], r["table"]): list(r["names"]) for r in listed.collect()}

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import os
 import tempfile
 import threading
 import uuid
@@ -9,6 +10,7 @@ from collections.abc import Iterable, Iterator, Sequence
 from contextlib import contextmanager
 
 import pyarrow as pa
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
@@ -177,6 +179,35 @@ def delete_path(spark: SparkSession, path: str) -> bool:
     return fs.delete(target, True) if fs.exists(target) else False
 
 
+def create_exclusive(spark: SparkSession, path: str, text: str) -> bool:
+    """Create a small file that must not exist yet; False if it does. Of several callers at a time one gets True.
+
+    Local files are created by the operating system's exclusive open, others by the file system's create without
+    overwriting, which HDFS and stores with conditional puts do as one step.
+    """
+    fs, target = hadoop_path(spark, path)
+    if fs.getScheme() == "file":
+        local = target.toUri().getPath()
+        os.makedirs(os.path.dirname(local), exist_ok=True)
+        try:
+            with open(local, "x") as f:
+                f.write(text)
+        except FileExistsError:
+            return False
+        return True
+    try:
+        out = fs.create(target, False)
+    except Py4JJavaError as e:
+        if fs.exists(target):
+            return False
+        raise OSError(f"cannot create {path}: {e.java_exception.getMessage()}") from e
+    try:
+        out.write(bytearray(text.encode()))
+    finally:
+        out.close()
+    return True
+
+
 def release_scratch(spark: SparkSession) -> bool:
     """Delete the intermediate tables of this application, once their readers are done."""
     return delete_path(spark, scratch_root(spark))

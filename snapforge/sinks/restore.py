@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import zlib
-from concurrent.futures import ThreadPoolExecutor
+from concurrent.futures import FIRST_COMPLETED, ThreadPoolExecutor, wait
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, Observation, SparkSession
@@ -160,8 +160,8 @@ def restore_all(
 ) -> DataFrame:
     """Load every table of the catalog, parents before children; one report row per table.
 
-    Tables of one level load at the same time. After a failure the tables of later levels are
-    not started and ``RestoreError`` is raised with the report.
+    A table starts as soon as all tables that it refers to are loaded, ``parallelism`` of them at the same time. After a
+    failure no other table is started, and ``RestoreError`` is raised with the report.
     """
     guard_writable(target)
     for process in processors:
@@ -175,23 +175,32 @@ def restore_all(
     if missing:
         raise ValueError(f"no data for tables {missing}")
     spark = catalog.tables.sparkSession
-    report: list[tuple] = []
-    failed = False
-
-    def load(level: int, table: str) -> tuple:
+    level_of = {t: n for n, level in enumerate(levels) for t in level}
+    # References that load order goes against are those of a broken cycle.
+    waits: dict[str, set[str]] = {t: set() for t in level_of}
+    for r in catalog_edges(catalog.foreign_keys).select("src", "ref").distinct().collect():  # one row per pair of tables
+        if level_of[r["ref"]] < level_of[r["src"]]:
+            waits[r["src"]].add(r["ref"])
+
+    def load(table: str) -> tuple:
         try:
-            return table, level, "SUCCESS", restore_table(dfs[table], target, table), None
+            return table, level_of[table], "SUCCESS", restore_table(dfs[table], target, table), None
         except Exception as e:  # noqa: BLE001 - every failure belongs in the report
-            return table, level, "FAILED", None, str(e)
+            return table, level_of[table], "FAILED", None, str(e)
 
+    done: dict[str, tuple] = {}
+    failed = False
     with ThreadPoolExecutor(parallelism) as pool:
-        for level, tables in enumerate(levels):
-            if failed:
-                report += [(t, level, "SKIPPED", None, None) for t in tables]
-                continue
-            done = list(pool.map(lambda t, n=level: load(n, t), tables))
-            failed = any(r[2] == "FAILED" for r in done)
-            report += done
+        running = {pool.submit(load, t) for t in level_of if not waits[t]}
+        while running:
+            ended, running = wait(running, return_when=FIRST_COMPLETED)
+            for row in (f.result() for f in ended):
+                done[row[0]] = row
+                failed = failed or row[2] == "FAILED"
+            loaded = {f.result()[0] for f in ended}
+            free = [t for t in level_of if waits[t] & loaded and waits[t] <= done.keys()] if not failed else []
+            running |= {pool.submit(load, t) for t in free}
+    report = [done.get(t, (t, n, "SKIPPED", None, None)) for t, n in level_of.items()]
     if failed:
         bad = [f"{r[0]}: {r[4]}" for r in report if r[2] == "FAILED"]
         raise RestoreError("; ".join(bad), report)

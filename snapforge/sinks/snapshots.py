@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+import uuid
 from collections.abc import Callable, Iterator
 from concurrent.futures import ThreadPoolExecutor
 from contextlib import contextmanager
@@ -15,10 +16,11 @@ from pyspark.sql import functions as F
 from snapforge.catalog import Catalog
 from snapforge.operators.manifest import MANIFEST, assert_capacity, retention_select
 from snapforge.operators.paging import partition_offsets, write_positioned
-from snapforge.session import delete_path, hadoop_path, local_frame, path_exists
+from snapforge.session import create_exclusive, delete_path, hadoop_path, local_frame, path_exists
 from snapforge.sources.snapshots import (
     CATALOG_FACTS,
     catalog_path,
+    claim_path,
     manifest_path,
     offsets_path,
     read_manifest,
@@ -120,14 +122,26 @@ def write_snapshot(
 
 @contextmanager
 def _whole_version(spark: SparkSession, storage: Storage, data: str, version: int) -> Iterator[None]:
-    """Takes a new version away again when writing it fails, so that it can be tried once more."""
-    if path_exists(spark, version_path(storage.root, data, version)):
-        raise FileExistsError(f"version {version} of {data} exists in {storage.name}")
+    """Claims a new version for this writer, and takes it away again when writing it fails.
+
+    The claim is a file that only one of several writers can create, made before the first write and removed after the
+    last. Readers do not read a claimed version, and only its owner deletes what a failure leaves. The claim of a writer
+    that has died stays; ``delete_version`` removes it together with what there is of the version.
+    """
+    claim = claim_path(storage.root, data, version)
+    owner = f"{spark.sparkContext.applicationId} {uuid.uuid4().hex}"
+    if not create_exclusive(spark, claim, owner):
+        raise FileExistsError(f"version {version} of {data} is being written in {storage.name}")
     try:
-        yield
-    except BaseException:
-        delete_version(spark, storage, data, version)
-        raise
+        if path_exists(spark, version_path(storage.root, data, version)):
+            raise FileExistsError(f"version {version} of {data} exists in {storage.name}")
+        try:
+            yield
+        except BaseException:
+            _remove(spark, storage, data, version)
+            raise
+    finally:
+        delete_path(spark, claim)
 
 
 def _stored(spark: SparkSession, storage: Storage, data: str, version: int) -> DataFrame:
@@ -208,6 +222,12 @@ def write_compressed(df: DataFrame, path: str, codec: str = "gzip", fmt: str = "
 def delete_version(spark: SparkSession, storage: Storage, data: str, version: int) -> bool:
     """Remove the files and manifest entries of a version; a missing version is fine."""
     guard_writable(storage)
+    found = _remove(spark, storage, data, version)
+    return delete_path(spark, claim_path(storage.root, data, version)) or found
+
+
+def _remove(spark: SparkSession, storage: Storage, data: str, version: int) -> bool:
+    # The manifest goes first: what it does not list is not a version.
     delete_path(spark, f"{manifest_path(storage.root)}/data={data}/version={version}")
     return delete_path(spark, version_path(storage.root, data, version))
 

@@ -3,7 +3,8 @@
 Layout: ``<root>/data=<data>/version=<n>/table=<name>/`` with Parquet files in key order, beside it
 ``offsets=<name>/`` with one row per range partition, and
 ``<root>/manifest/data=<data>/version=<n>/`` with one row per table and storage. The catalog of a
-version is in its ``catalog/`` folder, one small table per frame.
+version is in its ``catalog/`` folder, one small table per frame. While a version is written there is a file
+``<root>/_claims/data=<data>/version=<n>``; such a version is not read.
 """
 
 from __future__ import annotations
@@ -36,13 +37,25 @@ def manifest_path(root: str) -> str:
     return f"{root}/manifest"
 
 
+def claim_path(root: str, data: str, version: int) -> str:
+    return f"{root}/_claims/data={data}/version={version}"
+
+
+def assert_committed(spark: SparkSession, root: str, data: str, version: int) -> None:
+    """An error for a version that is being written, or whose writer has died before the end."""
+    if path_exists(spark, claim_path(root, data, version)):
+        raise ValueError(f"version {version} of {data} is not complete")
+
+
 def read_snapshot(spark: SparkSession, root: str, data: str, version: int, table: str) -> DataFrame:
-    """Rows of one table of a version."""
+    """Rows of one table of a complete version."""
+    assert_committed(spark, root, data, version)
     return spark.read.parquet(table_path(root, data, version, table)).drop(POSITION)
 
 
 def read_numbered(spark: SparkSession, root: str, data: str, version: int, table: str) -> DataFrame:
     """Rows of one table with their ``row_num`` in the stored order; nothing is sorted again."""
+    assert_committed(spark, root, data, version)
     offsets = spark.read.parquet(offsets_path(root, data, version, table))
     return number_positioned(spark.read.parquet(table_path(root, data, version, table)), offsets=offsets)
 
@@ -51,6 +64,7 @@ def read_snapshot_page(
     spark: SparkSession, root: str, data: str, version: int, table: str, page: int, size: int
 ) -> DataFrame:
     """One page of a stored table; files and row groups outside the page are skipped."""
+    assert_committed(spark, root, data, version)
     offsets = spark.read.parquet(offsets_path(root, data, version, table))
     return page_of(spark.read.parquet(table_path(root, data, version, table)), page, size, offsets)
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterable
 from dataclasses import dataclass, field
+from decimal import Decimal
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -17,6 +18,9 @@ from snapforge.sources.vendor_catalogs import QUERIES, catalog_from_views, vendo
 MAX_CONNECTIONS = 20
 FETCH_SIZE = 1000
 
+# Types whose values the predicates of a keyset can name exactly.
+KEY_TYPES = (T.IntegralType, T.DecimalType, T.StringType, T.DateType, T.TimestampType, T.TimestampNTZType)
+
 # Per vendor, a whole-row hash that splits a table without a usable key.
 _ROW_HASH = {
     "POSTGRES": "abs(hashtext(t::text)::bigint)",
@@ -67,6 +71,53 @@ def hash_predicates(source_type: str, columns: list[str], partitions: int) -> li
     return [f"{row_hash} % {partitions} = {i}" for i in range(partitions)]
 
 
+def _literal(source_type: str, value) -> str:
+    """A key value as the vendor's SQL writes it."""
+    if isinstance(value, bool) or value is None:
+        raise ValueError(f"{value!r} is no key value")
+    if isinstance(value, (int, Decimal)):
+        return str(value)
+    text = str(value)
+    if source_type == "MYSQL":
+        text = text.replace("\\", "\\\\")
+    prefix = "N" if source_type == "SQLSERVER" and isinstance(value, str) else ""
+    return prefix + "'" + text.replace("'", "''") + "'"
+
+
+def keyset_query(source: JdbcSource, table: str, pk: list[str], partitions: int) -> str:
+    """Query for the first key of every part but the first, when the rows in key order are cut into parts of equal size.
+
+    The database orders and compares the keys, so its own collation holds. It reads the index of the key.
+    """
+    keys = ", ".join(source.quote(c) for c in pk)
+    numbered = f"select {keys}, row_number() over (order by {keys}) - 1 as snap_row, count(*) over () as snap_rows from {source.quote_table(table)}"
+    # In whole numbers, row r of n is in part r * partitions div n; a part begins where that changes.
+    part = f"(snap_row * {partitions} - (snap_row * {partitions}) % snap_rows) / snap_rows"
+    last = f"((snap_row - 1) * {partitions} - ((snap_row - 1) * {partitions}) % snap_rows) / snap_rows"
+    return f"select snap_row, {keys} from ({numbered}) q where snap_row > 0 and {part} <> {last}"
+
+
+def keyset_predicates(source: JdbcSource, pk: list[str], bounds: list[tuple]) -> list[str]:
+    """Disjoint predicates that cover a table with the key ``pk`` (without nulls), cut before each of the sorted ``bounds``.
+
+    They are written without row values, which not all vendors compare: (a > 1 or (a = 1 and b >= 2)).
+    """
+    columns = [source.quote(c) for c in pk]
+
+    def beyond(bound: tuple, op: str) -> str:
+        values = [_literal(source.source_type, v) for v in bound]
+        text = f"{columns[-1]} {op} {values[-1]}"
+        for column, value in list(zip(columns, values))[-2::-1]:
+            text = f"({column} {op[0]} {value} or ({column} = {value} and {text}))"
+        return text
+
+    parts = []
+    for low, high in zip([None, *bounds], [*bounds, None]):
+        sides = ([beyond(low, ">=")] if low is not None else []) + ([beyond(high, "<")] if high is not None else [])
+        parts.append(" and ".join(sides) or "1 = 1")
+    return parts
+
+
 def aggregate_query(source: JdbcSource, table: str, **columns: str) -> str:
     """Query that computes one aggregate per output column inside the database."""
     fields = ", ".join(f"{expr} as {source.quote(name)}" for name, expr in columns.items())
@@ -99,6 +150,11 @@ def table_exists(spark: SparkSession, source: JdbcSource, table: str) -> bool:
     return not views.filter((F.col("table_name") == name) & (F.col("table_schema") == schema)).isEmpty()
 
 
+def sorted_bounds(found: DataFrame, pk: list[str]) -> list[tuple]:
+    """The keys of a ``keyset_query`` in the order in which the database has numbered their rows."""
+    return [tuple(r[c] for c in pk) for r in found.orderBy("snap_row").collect()]  # one key per part
+
+
 def scan_table(
     spark: SparkSession,
     source: JdbcSource,
@@ -108,25 +164,23 @@ def scan_table(
 ) -> DataFrame:
     """Read a whole table in parallel.
 
-    A numeric or temporal leading key column is read in strides between its bounds (one pushed
-    down min/max query); any other table is split by a row hash. Order is not part of the read,
-    ``page_number`` applies it.
+    A table with a key of numbers, texts, dates or timestamps is cut at keys that the database finds in its key order, so
+    the parts have equally many rows however the keys are spread (one query over the key, run when this is called, which
+    returns one key per part). Any other table is split by a row hash. Order is not part of the read, ``page_number``
+    applies it.
     """
     n = partitions or source.connections
     plain = source.reader(spark).option("dbtable", source.quote_table(table))
     schema = plain.load().schema
-    if pk:
-        dtype = schema[pk[0]].dataType
-        if isinstance(dtype, (T.NumericType, T.DateType, T.TimestampType)):
-            key = source.quote(pk[0])
-            query = aggregate_query(source, table, low=f"min({key})", high=f"max({key})")
-            bounds = source.reader(spark).option("query", query).load().head()
-            if bounds is not None and bounds[0] is not None:
-                return plain.options(**split_options(dtype, bounds[0], bounds[1], n, key)).load()
+    properties = {"fetchsize": str(FETCH_SIZE), **source.properties}
+    if pk and all(isinstance(schema[c].dataType, KEY_TYPES) for c in pk):
+        found = source.reader(spark).option("query", keyset_query(source, table, pk, n)).load()
+        bounds = sorted_bounds(found, pk)
+        if not bounds:
             return plain.load()
+        return spark.read.jdbc(source.url, source.quote_table(table), predicates=keyset_predicates(source, pk, bounds), properties=properties)
     aliased = f"{source.quote_table(table)} t"
     predicates = hash_predicates(source.source_type, schema.fieldNames(), n)
-    properties = {"fetchsize": str(FETCH_SIZE), **source.properties}
     return spark.read.jdbc(source.url, aliased, predicates=predicates, properties=properties)
 
 
@@ -164,10 +218,13 @@ __all__ = [
     "aggregate_query",
     "catalog_from_views",
     "hash_predicates",
+    "keyset_predicates",
+    "keyset_query",
     "read_catalog",
     "read_folder",
     "scan_table",
     "scan_tables",
+    "sorted_bounds",
     "split_options",
     "table_exists",
     "table_maxima",

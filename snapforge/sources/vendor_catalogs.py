@@ -43,7 +43,7 @@ QUERIES = {
         "default_constraints": "select parent_object_id, parent_column_id, name from sys.default_constraints",
         "sequences": "select schema_id, name, cast(start_value as bigint) as start_value, cast(minimum_value as bigint) as min_value, "
         "cast(maximum_value as bigint) as max_value, cast(increment as bigint) as increment_by, is_cycling as cycle, "
-        "cast(cache_size as bigint) as cache_size, cast(current_value as bigint) as last_value from sys.sequences",
+        "cast(cache_size as bigint) as cache_size, cast(last_used_value as bigint) as last_value from sys.sequences",
     },
     "MYSQL": {},
 }

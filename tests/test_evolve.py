@@ -125,3 +125,16 @@ def test_sequences(spark):
     assert max_value(dfs["s.a"], "t").head()[0] is None
     assert next_sequence_values(dfs, seqs).isEmpty()
     assert next_sequence_values(dfs, seqs, "{tableName}_{columnName}_seq", "id", source_type="MYSQL").isEmpty()
+
+
+def test_maxima_that_are_no_bigint(spark):
+    df = spark.sql("SELECT explode(array(1.5D, double('NaN'))) AS a, double('Infinity') AS b, 1e30D AS c, 7.9D AS d")
+    assert [max_value(df, c).head()[0] for c in "abcd"] == [None, None, None, 7]
+
+
+def test_a_failing_table_only_warns(spark):
+    broken = spark.range(3).selectExpr("raise_error('gone') AS x", "id").selectExpr("cast(x AS bigint) AS id")
+    seqs = local_frame(spark, [("s", f"{t}_id_seq") for t in "ab"], "schema string, name string")
+    with pytest.warns(UserWarning, match="gone"):
+        out = next_sequence_values({"s.a": broken, "s.b": spark.range(5)}, seqs, "{tableName}_{columnName}_seq", "id", continue_on_error=True)
+    assert [(r["sequence"], r["max_value"], r["new_value"]) for r in out.collect()] == [("s.b_id_seq", 4, 5)]

@@ -1,7 +1,10 @@
 """Snapshots, manifest, retention, restore, files, run log, streaming."""
 
 import hashlib
+import os
+import threading
 import zipfile
+from concurrent.futures import ThreadPoolExecutor
 from datetime import datetime
 
 import pytest
@@ -9,7 +12,7 @@ from pyspark.errors import PySparkException
 from pyspark.sql import functions as F
 
 from checks.storage import PKS, SHOP, new_target, shop_catalog
-from snapforge.catalog import Catalog
+from snapforge.catalog import Catalog, ForeignKey
 from snapforge.operators.manifest import (
     MANIFEST,
     RUN_LOG,
@@ -22,12 +25,12 @@ from snapforge.operators.manifest import (
 )
 from snapforge.operators.masking import Mask
 from snapforge.plans.flows import RunLog
-from snapforge.session import local_frame, partitions_for_bytes, range_partitions, scratch_path
+from snapforge.session import create_exclusive, local_frame, partitions_for_bytes, range_partitions, scratch_path
 from snapforge.sinks.restore import JdbcTarget, RestoreError, TableTarget, clear_tables, drop_tables, missing_tables, restore_all, restore_table
 from snapforge.sinks.snapshots import Storage, apply_retention, delete_version, write_fanout, write_snapshot
-from snapforge.sources.files import changed_files, expand_archives, file_checksums, file_inventory, read_archives
-from snapforge.sources.snapshots import read_manifest, read_snapshot, read_snapshot_page, read_version
-from snapforge.sources.tables import JdbcSource, aggregate_query, catalog_from_views, hash_predicates, split_options
+from snapforge.sources.files import changed_files, expand_archive_parts, expand_archives, file_checksums, file_inventory, read_archives
+from snapforge.sources.snapshots import claim_path, read_manifest, read_numbered, read_snapshot, read_snapshot_page, read_version
+from snapforge.sources.tables import JdbcSource, aggregate_query, catalog_from_views, hash_predicates, keyset_predicates, keyset_query, sorted_bounds, split_options
 from snapforge.streaming import check_violations, length_violations, mask_table
 
 
@@ -296,3 +299,112 @@ def test_streaming(spark, folder, root):
     got = spark.read.parquet(f"{root}/out")
     assert got.count() == spark.read.parquet(f"{folder}/customer.parquet").filter("c_acctbal < 0").count()
     assert {r[0] for r in got.select("c_name").distinct().collect()} == {"****"}
+
+
+@pytest.mark.parametrize("vendor, text", [("POSTGRES", "'it''s'"), ("MYSQL", "'it''s'"), ("SQLSERVER", "N'it''s'")])
+def test_keyset_predicates(vendor, text):
+    source = JdbcSource("jdbc:x", vendor)
+    a, b = source.quote("a"), source.quote("b")
+    parts = keyset_predicates(source, ["a", "b"], [(1, "it's"), (5, "x")])
+    low, high = f"({a} > 1 or ({a} = 1 and {b} >= {text}))", f"({a} < 1 or ({a} = 1 and {b} < {text}))"
+    assert parts[0] == high and parts[1].startswith(f"{low} and ({a} < 5") and parts[2].startswith(f"({a} > 5 or") and len(parts) == 3
+    assert keyset_predicates(source, ["a"], []) == ["1 = 1"]
+    assert keyset_predicates(JdbcSource("jdbc:x", "MYSQL"), ["a"], [("\\",)])[0] == "`a` < '\\\\'"
+
+
+def test_keyset_parts_are_even_whatever_the_keys_are(spark):
+    """Skewed, negative and text keys; each row is in one part, and no part has more than one row above its share."""
+    rows = [(k, f"v'{i}") for i, k in enumerate([-5] * 40 + [1] * 3 + [10**12] * 30)]
+    df = local_frame(spark, rows, "k bigint, v string")
+    df.createOrReplaceTempView("keyset_skewed")
+    source = JdbcSource("jdbc:none", "MYSQL")
+    bounds = sorted_bounds(spark.sql(keyset_query(source, "keyset_skewed", ["k", "v"], 8)), ["k", "v"])
+    sizes = [df.filter(p).count() for p in keyset_predicates(source, ["k", "v"], bounds)]
+    assert sum(sizes) == 73 and len(sizes) == 8 and max(sizes) <= 10
+    spark.sql("SELECT 1L AS k, 'a' AS v WHERE false").createOrReplaceTempView("keyset_empty")
+    assert sorted_bounds(spark.sql(keyset_query(source, "keyset_empty", ["k", "v"], 8)), ["k", "v"]) == []
+
+
+def test_two_writers_of_one_version(spark, root):
+    """One writes the version, the others are refused and take nothing away."""
+    storage = Storage("disk", root)
+    gate = threading.Barrier(4)
+
+    def write(n):
+        gate.wait()
+        try:
+            write_snapshot({"t": spark.range(100 + n)}, storage, "d", 1)
+            return n
+        except FileExistsError:
+            return None
+
+    with ThreadPoolExecutor(4) as pool:
+        done = [n for n in pool.map(write, range(4)) if n is not None]
+    assert len(done) == 1 and read_snapshot(spark, root, "d", 1, "t").count() == 100 + done[0]
+    assert read_manifest(spark, root).count() == 1
+    with pytest.raises(FileExistsError, match="exists"):
+        write_snapshot({"t": spark.range(1)}, storage, "d", 1)
+    assert read_version(spark, root, "d", 1)["t"].count() == 100 + done[0]
+
+
+def test_a_claimed_version_is_not_read(spark, root):
+    storage = Storage("disk", root)
+    write_snapshot({"t": spark.range(5)}, storage, "d", 1)
+    claim = claim_path(root, "d", 1)
+    assert create_exclusive(spark, claim, "a writer that has died") and not create_exclusive(spark, claim, "another")
+    for read in (read_snapshot, read_numbered):
+        with pytest.raises(ValueError, match="not complete"):
+            read(spark, root, "d", 1, "t")
+    with pytest.raises(FileExistsError, match="being written"):
+        write_snapshot({"t": spark.range(1)}, storage, "d", 1)
+    assert delete_version(spark, storage, "d", 1)
+    write_snapshot({"t": spark.range(7)}, storage, "d", 1)
+    assert read_snapshot(spark, root, "d", 1, "t").count() == 7
+
+
+def test_entries_of_archives(spark, tmp_path):
+    """Stored, deflated, bzip2, lzma, empty and long entries; parts joined are the entry; damage is an error."""
+    kinds = (zipfile.ZIP_STORED, zipfile.ZIP_DEFLATED, zipfile.ZIP_BZIP2, zipfile.ZIP_LZMA)
+    want = {}
+    for n in range(2):
+        with zipfile.ZipFile(tmp_path / f"{n}.zip", "w") as z:
+            for i, kind in enumerate(kinds * 3):
+                want[f"{n}-{i}"] = (bytes([i, n]) + os.urandom(50)) * (i * 300)
+                z.writestr(f"{n}-{i}", want[f"{n}-{i}"], kind)
+    files = spark.read.format("binaryFile").load(str(tmp_path)).select("path")
+    assert {r["name"]: bytes(r["content"]) for r in expand_archives(files).collect()} == want
+    parts = {}
+    for r in expand_archive_parts(files, 1000).collect():
+        parts.setdefault(r["name"], {})[r["part"]] = bytes(r["content"])
+        assert len(r["content"]) <= 1000 and r["size"] == len(want[r["name"]])
+    assert {name: b"".join(p[i] for i in range(len(p))) for name, p in parts.items()} == want
+    data = bytearray((tmp_path / "1.zip").read_bytes())
+    data[600] ^= 255
+    (tmp_path / "1.zip").write_bytes(data)
+    with pytest.raises(PySparkException):
+        expand_archives(files).collect()
+    assert expand_archives(files.limit(0)).count() == 0
+
+
+def test_restore_waits_for_parents_only(spark):
+    """A table starts when its own parents are loaded, while a slow table of an earlier level still loads."""
+
+    class Slow:
+        read_only, source_type, name, order = False, None, "slow", []
+        leaf = threading.Event()
+
+        def append(self, df, table):
+            if table == "slow":
+                assert self.leaf.wait(60)
+            df.write.format("noop").mode("overwrite").save()
+            self.order.append(table)
+            if table == "leaf":
+                self.leaf.set()
+
+    catalog = Catalog.of(
+        spark, tables=[(None, t) for t in ("slow", "root", "leaf", "last")],
+        foreign_keys=[ForeignKey("a", None, "leaf", ("x",), None, "root", ("x",)), ForeignKey("b", None, "last", ("x",), None, "slow", ("x",)), ForeignKey("c", None, "last", ("x",), None, "leaf", ("x",))],
+    )
+    target = Slow()
+    report = restore_all({t: spark.range(3) for t in ("slow", "root", "leaf", "last")}, catalog, target)
+    assert target.order == ["root", "leaf", "slow", "last"] and {r["status"] for r in report.collect()} == {"SUCCESS"}
