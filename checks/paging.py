@@ -19,7 +19,7 @@ from snapforge.operators.paging import (
     running_totals,
     snapshot_totals,
 )
-from snapforge.sources.tables import JdbcSource, keyset_predicates, keyset_query, sorted_bounds
+from snapforge.sources.tables import JdbcSource, keyset_predicates, keyset_query, parquet_facts, sorted_bounds
 
 _COUNTS = " UNION ALL ".join(f"SELECT '{t}' AS \"table\", count(*) AS n FROM {t}" for t in TABLES)
 
@@ -33,6 +33,10 @@ def register(r: Registry) -> None:
     def page_totals(spark, d):
         return snapshot_totals({t: table(spark, d, t) for t in TABLES})
 
+    @r.add("SELECT count(*) AS row_count, max(l_orderkey) AS l_orderkey, max(l_linenumber) AS l_linenumber, max(l_extendedprice) AS l_extendedprice FROM lineitem")
+    def parquet_facts_lineitem(spark, d):
+        return parquet_facts(spark, f"{d}/lineitem.parquet", ["l_orderkey", "l_linenumber", "l_extendedprice"])
+
     @r.add("SELECT count(*) AS row_count FROM lineitem")
     def row_count_lineitem(spark, d):
         return row_count(table(spark, d, "lineitem"))

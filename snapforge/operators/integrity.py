@@ -55,6 +55,29 @@ def unique_violations_wide(df: DataFrame, columns: list[str]) -> DataFrame:
     return unique_violations(candidates, columns)
 
 
+def _key_rules(df: DataFrame, table: str, rules: list[tuple[str, str, list[str]]]) -> DataFrame:
+    """rule, table, constraint, violations of all primary and unique keys (rule, constraint, columns) of one table.
+
+    The table is scanned once: grouping sets count the values of all keys in one aggregate, before and after its shuffle.
+    """
+    columns = sorted({c for _, _, names in rules for c in names})
+    short = {c: f"_k{i}" for i, c in enumerate(columns)}  # names without dots
+    sets = sorted({tuple(sorted(names)) for _, _, names in rules})
+    narrow = df.select(*[F.col(f"`{c}`").alias(short[c]) for c in columns])
+    counted = narrow.groupingSets([[F.col(short[c]) for c in s] for s in sets], *short.values()).agg(
+        F.count(F.lit(1)).alias("_n"), F.grouping_id().alias("_set")
+    )
+    sums, rows = [], []
+    for i, (rule, constraint, names) in enumerate(rules):
+        # The id has a bit for every column that is not part of the set, the first column's is the highest.
+        of_key = F.col("_set") == sum(1 << (len(columns) - 1 - n) for n, c in enumerate(columns) if c not in names)
+        present = _all_present([short[c] for c in names])
+        broken = ~present | (F.col("_n") > 1) if rule == "primary key" else present & (F.col("_n") > 1)
+        sums.append(F.count(F.when(of_key & broken, 1)).alias(f"_v{i}"))
+        rows.append(F.struct(F.lit(rule).alias("rule"), F.lit(table).alias("table"), F.lit(constraint).alias("constraint"), F.col(f"_v{i}").alias("violations")))
+    return counted.agg(*sums).select(F.inline(F.array(*rows)))
+
+
 def orphan_keys(
     child: DataFrame, parent: DataFrame, columns: list[str], ref_columns: list[str] | None = None
 ) -> DataFrame:
@@ -204,7 +227,8 @@ def violation_report(dfs: dict[str, DataFrame], catalog: Catalog) -> DataFrame:
     """Number of violations per declared rule: ``rule``, ``table``, ``constraint``, ``violations``.
 
     What a database would refuse on restore, as one lazy DataFrame: keys count by value, checks by
-    row, NOT NULL by column. A check whose text Spark cannot read is listed with the rule
+    row, NOT NULL by column. A table is scanned once for all its keys, once for its checks and NOT NULL
+    columns, and once for each foreign key. A check whose text Spark cannot read is listed with the rule
     ``check not translated`` and null violations. The loops run over the rules of the catalog, not
     over data.
     """
@@ -214,14 +238,11 @@ def violation_report(dfs: dict[str, DataFrame], catalog: Catalog) -> DataFrame:
         named = [F.lit(rule).alias("rule"), F.lit(table).alias("table"), F.lit(constraint).alias("constraint")]
         parts.append(broken.agg(F.count(F.lit(1)).alias("violations")).select(*named, "violations"))
 
-    for k in catalog.keys.collect():
-        table = qualify(k["schema"], k["table"])
-        if table in dfs:
-            add("primary key", table, k["constraint"], pk_violations(dfs[table], k["columns"]))
-    for u in catalog.uniques.collect():
-        table = qualify(u["schema"], u["table"])
-        if table in dfs:
-            add("unique", table, u["constraint"], unique_violations(dfs[table], u["columns"]))
+    keys: dict[str, list[tuple[str, str, list[str]]]] = {}
+    for rule, frame in (("primary key", catalog.keys), ("unique", catalog.uniques)):
+        for r in frame.collect():
+            keys.setdefault(qualify(r["schema"], r["table"]), []).append((rule, r["constraint"], r["columns"]))
+    parts += [_key_rules(dfs[table], table, rules) for table, rules in keys.items() if table in dfs]
     for f in catalog.foreign_keys.collect():
         child, parent = qualify(f["src_schema"], f["src_table"]), qualify(f["ref_schema"], f["ref_table"])
         if child in dfs and parent in dfs:

@@ -200,6 +200,23 @@ def read_folder(spark: SparkSession, root: str, tables: Iterable[str], pattern:
     return {t: spark.read.parquet(f"{root}/{pattern.format(t)}") for t in tables}
 
 
+def parquet_facts(spark: SparkSession, path: str, columns: Iterable[str] = ()) -> DataFrame:
+    """One row with ``row_count`` and the maxima of ``columns`` under their own names, of a Parquet table.
+
+    Count and maxima of numbers and dates come from the footers, no row is read; Spark's own pushdown of aggregates decides
+    that, and scans the columns where a footer does not say (texts, timestamps, files without statistics).
+    ``next_sequence_values`` takes this frame in place of the table.
+    """
+    # A session of its own, since the setting decides how all its tables are read.
+    session = spark.newSession()
+    session.conf.set("spark.sql.sources.useV1SourceList", "avro,csv,json,kafka,orc,text")
+    session.conf.set("spark.sql.parquet.aggregatePushdown", "true")
+    df = session.read.parquet(path)
+    names = list(columns)
+    facts = df.agg(F.count(F.lit(1)).alias("row_count"), *[F.max(f"`{c}`").alias(c) for c in names])
+    return spark.createDataFrame([tuple(facts.head())], facts.schema)
+
+
 def read_catalog(spark: SparkSession, source: JdbcSource, schemas: Iterable[str]) -> Catalog:
     """Catalog of a database, from its system views, see ``vendor_catalog``."""
     queries = QUERIES[source.source_type]
@@ -220,6 +237,7 @@ __all__ = [
     "hash_predicates",
     "keyset_predicates",
     "keyset_query",
+    "parquet_facts",
     "read_catalog",
     "read_folder",
     "scan_table",

@@ -4,6 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from snapforge.catalog import Catalog, Column
+from snapforge.operators import integrity
 from snapforge.operators.integrity import (
     check_predicate,
     check_violations,
@@ -113,3 +114,14 @@ def test_length(spark):
     )
     got = {(r["id"], tuple(r["violations"])) for r in length_violations(df, catalog.columns).collect()}
     assert got == {(1, ("t", "b")), (2, ("n",))}
+
+
+def test_all_keys_of_a_table_in_one_scan(spark):
+    """Keys that share columns, one with a dotted name, nulls and repeated values; counts equal those of the single checks."""
+    df = local_frame(spark, [(i % 5 if i % 4 else None, i % 3, "x" if i < 6 else None) for i in range(20)], "a int, b int, `c.d` string")
+    keys = [("primary key", "pk", ["b", "a"]), ("unique", "u1", ["a"]), ("unique", "u2", ["c.d"]), ("unique", "u3", ["a", "b"]), ("primary key", "p2", ["a", "b"])]
+    report = integrity._key_rules(df, "t", keys)
+    single = {"primary key": pk_violations, "unique": unique_violations}
+    assert {(r.constraint, r.violations) for r in report.collect()} == {(n, single[rule](df, cols).count()) for rule, n, cols in keys}
+    assert report._jdf.queryExecution().optimizedPlan().toString().count("LocalRelation") == 1
+    assert {r.violations for r in integrity._key_rules(df.limit(0), "t", keys).collect()} == {0}

@@ -30,7 +30,7 @@ from snapforge.sinks.restore import JdbcTarget, RestoreError, TableTarget, clear
 from snapforge.sinks.snapshots import Storage, apply_retention, delete_version, write_fanout, write_snapshot
 from snapforge.sources.files import changed_files, expand_archive_parts, expand_archives, file_checksums, file_inventory, read_archives
 from snapforge.sources.snapshots import claim_path, read_manifest, read_numbered, read_snapshot, read_snapshot_page, read_version
-from snapforge.sources.tables import JdbcSource, aggregate_query, catalog_from_views, hash_predicates, keyset_predicates, keyset_query, sorted_bounds, split_options
+from snapforge.sources.tables import JdbcSource, aggregate_query, catalog_from_views, hash_predicates, keyset_predicates, keyset_query, parquet_facts, sorted_bounds, split_options
 from snapforge.streaming import check_violations, length_violations, mask_table
 
 
@@ -408,3 +408,10 @@ def test_restore_waits_for_parents_only(spark):
     target = Slow()
     report = restore_all({t: spark.range(3) for t in ("slow", "root", "leaf", "last")}, catalog, target)
     assert target.order == ["root", "leaf", "slow", "last"] and {r["status"] for r in report.collect()} == {"SUCCESS"}
+
+
+def test_facts_of_parquet_footers(spark, root):
+    spark.range(1000).selectExpr("id", "nullif(id, 999) AS v", "cast(id AS string) AS s").write.parquet(root)
+    facts = parquet_facts(spark, root, ["id", "v", "s"])
+    assert facts.columns == ["row_count", "id", "v", "s"] and tuple(facts.head()) == (1000, 999, 998, "999")
+    assert tuple(parquet_facts(spark, root).head()) == (1000,)
