@@ -102,6 +102,7 @@ def register(r: Registry) -> None:
         view = f"keyset_{name}"
         df.createOrReplaceTempView(view)
         bounds = sorted_bounds(spark.sql(keyset_query(source, view, pk, parts)), pk)
+        spark.catalog.dropTempView(view)
         cut = [df.filter(p).select(*pk, F.lit(i).cast("bigint").alias("part")) for i, p in enumerate(keyset_predicates(source, pk, bounds))]
         return reduce(DataFrame.unionByName, cut)
 
