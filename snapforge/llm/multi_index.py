@@ -3,9 +3,10 @@
 Vectors of one label are scaled to length 1 and cut into two halves; each half has a codebook of its
 own, and the pairs of codes are the cells of a grid. A vector visits cells in the order of how far it
 would have to move to get there, which is a walk over two sorted lists (multi-sequence), and stops
-where a link at the threshold would be less likely than the target recall allows. Only cells that
-hold vectors and come after its own are visited, so a pair meets once; what meets is verified by its
-cosine in double precision.
+where a link at the threshold would be less likely than the target recall allows, given how far the
+vectors spread along the walls between the cells. Vectors that spread in few directions are walked
+to the full length of a link, which loses none. Only cells that hold vectors and come after its own
+are visited, so a pair meets once; what meets is verified by its cosine in double precision.
 """
 
 from __future__ import annotations
@@ -13,6 +14,7 @@ from __future__ import annotations
 import heapq
 from collections.abc import Iterator
 from statistics import NormalDist
+from typing import NamedTuple
 
 import numpy as np
 import pandas as pd
@@ -40,8 +42,15 @@ def valid() -> Column:
     return F.coalesce(F.col("label").isNotNull() & ~odd & F.exists(v, lambda x: x != 0), F.lit(False))
 
 
-def codebooks(distinct: DataFrame, codes: int = CODES, sample: int = SAMPLE) -> dict[int, tuple[np.ndarray, np.ndarray]]:
-    """Two codebooks per length of the vectors, by Lloyd rounds on at most ``sample`` vectors drawn by a hash."""
+class Book(NamedTuple):
+    """Codes of both halves for vectors of one length, and the largest part of their variance along two walls at once."""
+
+    centers: tuple[np.ndarray, np.ndarray]
+    share: float
+
+
+def codebooks(distinct: DataFrame, codes: int = CODES, sample: int = SAMPLE) -> dict[int, Book]:
+    """Codes per length of the vectors, by Lloyd rounds on at most ``sample`` vectors drawn by a hash."""
     drawn = distinct.orderBy(F.xxhash64("embedding", F.lit(SEED)), "node").limit(sample).select("embedding").toArrow()["embedding"].to_pylist()
     by_length: dict[int, list] = {}
     for x in drawn:
@@ -49,11 +58,31 @@ def codebooks(distinct: DataFrame, codes: int = CODES, sample: int = SAMPLE) ->
     books = {}
     for length, rows in by_length.items():
         x = _unit(np.array(rows, np.float64))
-        halves = np.split(x, [length // 2], axis=1)
-        books[length] = tuple(_lloyd(h, codes) for h in halves)
+        centers = tuple(_lloyd(h, codes) for h in np.split(x, [length // 2], axis=1))
+        books[length] = Book(centers, _share(x, centers))
     return books
 
 
+def _share(x: np.ndarray, centers: tuple[np.ndarray, np.ndarray]) -> float:
+    """Largest part of the variance of ``x`` in the plane of two wall normals, one of each half; 1 if nothing varies."""
+    x = x - x.mean(axis=0)
+    total = (x * x).sum() / len(x)
+    if not total > 0:
+        return 1.0
+    along = []
+    for half, c in zip(np.split(x, [x.shape[1] // 2], axis=1), centers):
+        i, j = np.triu_indices(len(c), 1)
+        normals = c[i] - c[j]
+        size = np.linalg.norm(normals, axis=1)
+        normals = normals[size > 0] / size[size > 0, None]
+        # No wall: nothing is walked over in this half.
+        along.append(half @ normals.T if len(normals) else np.zeros((len(x), 1)))
+    a, b = ((v * v).mean(axis=0) for v in along)
+    both = along[0].T @ along[1] / len(x)
+    mid, apart = (a[:, None] + b) / 2, (a[:, None] - b) / 2
+    return min(1.0, float((mid + np.sqrt(apart * apart + both * both)).max() / total))
+
+
 def _unit(x: np.ndarray) -> np.ndarray:
     x = x / np.abs(x).max(axis=1, keepdims=True)
     return x / np.linalg.norm(x, axis=1, keepdims=True)
@@ -99,33 +128,63 @@ def multi_sequence(first: np.ndarray, second: np.ndarray, most: float) -> Iterat
                 heapq.heappush(heap, (first[a[p]] ** 2 + second[b[q]] ** 2, p, q))
 
 
-def _reach(cosine: float, recall: float, length: int) -> float:
-    """Largest squared move of a visit: a link moves a vector by at most sqrt(2 - 2 cosine), over all directions alike."""
+def _reach(cosine: float, recall: float, share: float) -> float:
+    """Largest squared move of a visit.
+
+    A link moves a vector by at most sqrt(2 - 2 cosine), and a wall in between is never farther than that. How much of
+    it goes across the walls follows the spread of the vectors, of which ``share`` is the most that two walls see.
+    """
     z = NormalDist().inv_cdf(1 - (1 - recall) / 2)
-    return z * z * (2 - 2 * cosine) / max(1, length)
+    return (2 - 2 * cosine) * min(1.0, z * z * share) + 1e-9
+
+
+def _by_length(batch: pa.RecordBatch) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """Length of the vectors, rows of the batch that have it, and their vectors scaled to length 1."""
+    vectors = batch.column(batch.schema.get_field_index("embedding"))
+    lengths = np.array([len(v) for v in vectors])
+    for length in np.unique(lengths):
+        at = np.flatnonzero(lengths == length)
+        yield int(length), at, _unit(np.array([vectors[int(i)].as_py() for i in at], np.float64))
+
+
+def _halves(x: np.ndarray, book: Book | None) -> list[np.ndarray]:
+    """Moves of both halves; a length that no sampled vector has is one cell."""
+    if book is None:
+        return [np.zeros((len(x), 1))] * 2
+    return [_moves(h, c) for h, c in zip(np.split(x, [x.shape[1] // 2], axis=1), book.centers)]
+
+
+def _homes(books: dict[int, Book]):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found = set()
+        for batch in batches:
+            for length, _, x in _by_length(batch):
+                if length in books:
+                    a, b = _halves(x, books[length])
+                    found |= {(length, int(c)) for c in a.argmin(axis=1) * b.shape[1] + b.argmin(axis=1)}
+        yield pa.RecordBatch.from_arrays([pa.array([f[i] for f in sorted(found)], pa.int32()) for i in (0, 1)], names=["length", "cell"])
+
+    return run
 
 
-def _visits(books: dict, cosine: float, recall: float):
+def _visits(books: dict[int, Book], held: dict[int, set[int]], cosine: float, recall: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            vectors = batch.column(batch.schema.get_field_index("embedding"))
-            lengths = np.array([len(v) for v in vectors])
-            rows, cells, members = [], [], []
-            for length in np.unique(lengths):
-                at = np.flatnonzero(lengths == length)
-                x = _unit(np.array([vectors[int(i)].as_py() for i in at], np.float64))
-                # A length that no sampled vector has is one cell.
-                halves, centers = np.split(x, [length // 2], axis=1), books.get(int(length))
-                moves = [_moves(h, c) for h, c in zip(halves, centers)] if centers else [np.zeros((len(x), 1))] * 2
-                most, width = _reach(cosine, recall, int(length)), moves[1].shape[1]
-                for row, a, b in zip(at, *moves):
+            rows, lengths, cells, members = [], [], [], []
+            for length, at, x in _by_length(batch):
+                book = books.get(length)
+                first, second = _halves(x, book)
+                most, width, full = _reach(cosine, recall, book.share if book else 1.0), second.shape[1], held.get(length, {0})
+                for row, a, b in zip(at, first, second):
                     home = int(a.argmin()) * width + int(b.argmin())
-                    rows.append(row), cells.append(home), members.append(True)
-                    for i, j in multi_sequence(a, b, most):
-                        if i * width + j > home:
-                            rows.append(row), cells.append(i * width + j), members.append(False)
+                    there = [i * width + j for i, j in multi_sequence(a, b, most)]
+                    there = [home, *(c for c in there if c > home and c in full)]
+                    rows += [row] * len(there)
+                    lengths += [length] * len(there)
+                    cells += there
+                    members += [True] + [False] * (len(there) - 1)
             taken = batch.take(pa.array(rows, pa.int64()))
-            extra = [pa.array(lengths[rows] if rows else [], pa.int32()), pa.array(cells, pa.int32()), pa.array(members, pa.bool_())]
+            extra = [pa.array(lengths, pa.int32()), pa.array(cells, pa.int32()), pa.array(members, pa.bool_())]
             yield pa.RecordBatch.from_arrays(taken.columns + extra, names=[*batch.schema.names, "length", "cell", "member"])
 
     return run
@@ -176,8 +235,12 @@ def near_vectors(
     distinct = keep(numbered, "vectors")
     books = codebooks(distinct, codes, sample)
     visits = distinct.select("label", "node", "copies", "embedding")
+    # At most codes^2 cells for each length of the sampled vectors.
+    held: dict[int, set[int]] = {}
+    for r in visits.select("embedding").mapInArrow(_homes(books), "length int, cell int").distinct().collect():
+        held.setdefault(r["length"], set()).add(r["cell"])
     schema = T.StructType(visits.schema.fields + T.StructType.fromDDL("length int, cell int, member boolean").fields)
-    placed = keep(visits.mapInArrow(_visits(books, cosine, recall), schema), "visits")
+    placed = keep(visits.mapInArrow(_visits(books, held, cosine, recall), schema), "visits")
     groups = deal(placed, ["label", "length", "cell"], BLOCK, "node")
     found = keep(
         groups.groupBy("label", "length", "cell", "_a", "_b").applyInPandas(_compare(cosine), "u long, v long, links long"), "links"

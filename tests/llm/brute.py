@@ -29,7 +29,8 @@ class Sets:
 
     def find(self, x):
         while self.up[x] != x:
-            x = self.up[x] = self.up[self.up[x]]
+            self.up[x] = self.up[self.up[x]]
+            x = self.up[x]
         return x
 
     def join(self, a, b):

@@ -63,6 +63,33 @@ def test_near_vectors_odd(spark):
     assert multi_index.near_vectors(frame.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("rank", [2, 3, 8, 64])
+def test_near_vectors_of_low_rank(spark, rank):
+    rng = np.random.default_rng(rank)
+    x = rng.normal(size=(600, rank)) @ rng.normal(size=(rank, 64))
+    # Vectors of many directions are far apart, so they get groups of copies with noise of the same rank.
+    if rank > 3:
+        x = np.repeat(x[:60], 10, axis=0) + 0.2 * rng.normal(size=(600, rank)) @ rng.normal(size=(rank, 64))
+    rows = [(i, v.tolist(), i % 2) for i, v in enumerate(x)]
+    want = brute.near_vectors(rows)
+    assert sum(links for _, links, _, _ in want) > 2_000
+    frame = spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")
+    assert {tuple(r) for r in multi_index.near_vectors(frame).collect()} == want
+
+
+def test_walls_of_low_rank_are_walked_in_full():
+    rng = np.random.default_rng(1)
+    x = multi_index._unit(rng.normal(size=(1500, 2)) @ rng.normal(size=(2, 64)))
+    centers = tuple(multi_index._lloyd(h, 16) for h in np.split(x, 2, axis=1))
+    book = multi_index.Book(centers, multi_index._share(x, centers))
+    a, b = multi_index._halves(x, book)
+    most = multi_index._reach(0.93, multi_index.TARGET_RECALL, book.share)
+    homes = list(zip(a.argmin(axis=1).tolist(), b.argmin(axis=1).tolist()))
+    near = np.argwhere(np.triu(x @ x.T >= 0.93, 1))
+    visits = [set(multi_index.multi_sequence(p, q, most)) for p, q in zip(a, b)]
+    assert len(near) > 10_000 and all(homes[j] in visits[i] and homes[i] in visits[j] for i, j in near)
+
+
 def test_large_groups_are_cut(spark, monkeypatch):
     rng = np.random.default_rng(3)
     center = rng.normal(size=16)
