@@ -17,6 +17,7 @@ from snapforge.llm.queries import tokenizer_path
 from snapforge.session import scratch_path
 
 _ROW = "caller"
+MIX_BLOCK = 128  # words
 
 
 def _packed(docs: DataFrame, *names: str) -> DataFrame:
@@ -67,11 +68,13 @@ def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents as often as the mix takes them; the one that is cut short in a shard has its first words.
+    """Documents as often as the mix takes them; of one that is not taken in whole the words of its picked blocks stay.
+
+    Blocks are long enough that most documents stay in one piece.
 
     Documents without a word go, since nothing of them can be taken. A null source is a source of its own.
     """
-    return _unpacked(mixing.mixed_documents(_packed(docs, "doc_id", "source")), docs, F.col("text"), F.lit(True))
+    return _unpacked(mixing.mixed_documents(_packed(docs, "doc_id", "source"), block=MIX_BLOCK), docs, F.col("text"), F.lit(True))
 
 
 def encode_texts(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -155,3 +155,52 @@ def shingles(text, size=5):
 
 def jaccard(a, b):
     return len(a & b) / len(a | b) if a or b else 1.0
+
+
+def _signed(n):
+    return n - (1 << 64) if n >= 1 << 63 else n
+
+
+def mixed(rows, goal, block, shard_docs, seed):
+    """rows: (doc_id, source, size), distinct ids; goal: source -> target. Per id: (words, places of the words) of each time it is taken.
+
+    The targets are given, because equal quotients of different sources differ in the last bit by how the targets were rounded.
+    """
+
+    def draw(i, purpose):
+        return int(hashlib.md5(f"{seed}:{purpose}:{i}".encode()).hexdigest()[:12], 16)
+
+    def order(shard, number):
+        h = 42
+        for v in (seed, shard, number):
+            h = xxhash.xxh64(v.to_bytes(8, "little"), seed=h).intdigest()
+        return _signed(h), number
+
+    sizes = {}
+    for _, source, size in rows:
+        sizes[source] = sizes.get(source, 0) + size
+    named = {i: s for i, s in enumerate(sorted(sizes, key=lambda s: (s is None, s or "")))}
+    quotas = sainte_lague({f"{i:06d}": goal[s] for i, s in named.items()}, math.floor(sum(goal.values()) / block + 0.5))
+    out = {i: [] for i, _, _ in rows}
+    for number, source in named.items():
+        mine = [(i, size) for i, s, size in rows if s == source]
+        n = -(-len(mine) // shard_docs)
+        shards = {}
+        for i, size in mine:
+            shards.setdefault(draw(i, "shard") % n, []).append((i, size))
+        shares = sainte_lague({f"{k:06d}": sum(z for _, z in v) for k, v in shards.items()}, quotas[f"{number:06d}"])
+        for k, members in shards.items():
+            members.sort(key=lambda m: (draw(m[0], "pick"), m[0]))
+            stream = [(i, p) for i, size in members for p in range(size)]
+            if not stream:
+                continue
+            times, rest = divmod(min(shares[f"{k:06d}"] * block, 3 * len(stream)), len(stream))
+            picked = {}
+            for b in sorted(range(-(-len(stream) // block)), key=lambda b: order(k, b)):
+                # A block that stands in several documents gives its words in their order.
+                for i, p in stream[b * block : (b + 1) * block][:rest]:
+                    picked.setdefault(i, []).append(p)
+                    rest -= 1
+            for i, size in members:
+                out[i] += [(size, list(range(size)))] * times + [(len(picked.get(i, [])), sorted(picked.get(i, [])))]
+    return out

@@ -310,12 +310,31 @@ def test_mixing(spark, folder, docs):
     assert rows and sorted(rows) == sorted(queries.op8_mixing(spark, folder).collect())
 
 
+@pytest.mark.parametrize("block, shard_docs", [(16, 2_000), (7, 9)])
+def test_mixing_of_each_document(spark, folder, docs, block, shard_docs):
+    frame = spark.read.parquet(f"{folder}/documents.parquet").select("doc_id", "source", "text")
+    rows = [(r.doc_id, r.source, len((brute.SPACE.findall(r.text or "")))) for r in frame.collect()]
+    got = mixing.mix(frame, block, shard_docs).collect()
+    want = brute.mixed(rows, {r.source: r.target for r in got}, block, shard_docs, mixing.SEED)
+    assert {r.doc_id: r.taken for r in got} == {i: sum(whole for whole, _ in w) for i, w in want.items()}
+    texts = {}
+    for r in mixing.mixed_documents(frame, block, shard_docs).collect():
+        texts.setdefault(r.doc_id, []).append(brute.SPACE.findall(r.text))
+    whole = {r.doc_id: brute.SPACE.findall(r.text or "") for r in frame.collect()}
+    slow = {i: [[whole[i][p] for p in places] for n, places in w if n] for i, w in want.items()}
+    assert {i: sorted(t) for i, t in texts.items()} == {i: sorted(t) for i, t in slow.items() if t}
+
+
 def test_apportion(spark):
     weights = {"a": 5300, "b": 2400, "c": 1000, "d": 700, "e": 400, "f": 200, "g": 3}
     for seats in (0, 1, 2, 5, 10, 29, 100):
         frame = spark.createDataFrame([(0, k, w, seats) for k, w in weights.items()], "g int, name string, w long, seats long")
         got = {r.name: r.quota for r in mixing.apportion(frame, ["g"], "w", "seats", ["name"]).collect()}
         assert got == brute.sainte_lague(weights, seats)
+    for seats in range(12):
+        frame = spark.createDataFrame([(0, k, 5, seats) for k in "abcde"], "g int, name string, w long, seats long")
+        got = {r.name: r.quota for r in mixing.apportion(frame, ["g"], "w", "seats", ["name"]).collect()}
+        assert got == brute.sainte_lague(dict.fromkeys("abcde", 5), seats)
 
 
 def test_mixing_odd(odd, empty):
@@ -433,3 +452,7 @@ def test_mixed_documents_of_three_columns(spark):
     docs = spark.createDataFrame([(r[0], r[1], r[2]) for r in ODD], "doc_id long, text string, source string")
     assert mixing.mix(docs).columns == ["doc_id", "text", "source", "size", "source_size", "target", "taken"]
     assert mixing.mixed_documents(docs).columns == docs.columns and mixing.mixed_documents(docs).count() > 0
+    named = docs.select("*", *[F.lit(i).alias(c) for i, c in enumerate(("_given", "_docs", "_row", "_takes", "size", "target", "a.b"))])
+    kept = mixing.mixed_documents(named)
+    assert kept.columns == named.columns and {tuple(r)[3:] for r in kept.collect()} == {tuple(range(7))}
+    assert "a.b" in mixing.mix(named).columns and mixing.mix(named).count() == len(ODD)
