@@ -9,12 +9,13 @@ from concurrent.futures import ThreadPoolExecutor
 from contextlib import contextmanager
 from dataclasses import dataclass
 from datetime import UTC, datetime
+from threading import Lock
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from snapforge.catalog import Catalog
-from snapforge.operators.manifest import MANIFEST, assert_capacity, retention_select
+from snapforge.operators.manifest import MANIFEST, assert_capacity, capacity_check, retention_select
 from snapforge.operators.paging import partition_offsets, write_positioned
 from snapforge.session import create_exclusive, delete_path, hadoop_path, local_frame, path_exists
 from snapforge.sources.snapshots import (
@@ -57,16 +58,49 @@ def _check_name(kind: str, name: str) -> None:
         raise ValueError(f"{kind} name {name!r} cannot be a folder name")
 
 
-def _each_table(names, work: Callable[[str], int]) -> dict[str, int]:
+class _Room:
+    """What a storage has left for a version: asked before every table, told the size of every table that is written.
+
+    A version that does not fit is given up at the first table that goes beyond the capacity; tables that have not
+    begun by then are not written. A storage without capacity has room for all.
+    """
+
+    def __init__(self, spark: SparkSession, storage: Storage, data: str, version: int):
+        self._capacity, self._taken, self._lock = storage.capacity, 0, Lock()
+        if self._capacity is not None:
+            # As many rows as there are stored tables, read once: others that write at the same time are seen at the commit.
+            used = capacity_check(_stored(spark, storage, data, version), self._capacity, 0).head()["used_size"]
+            self._used = local_frame(spark, [(int(used),)], "size bigint")
+        self.need(1)
+
+    def need(self, size: int) -> None:
+        """An error unless ``size`` more bytes fit."""
+        if self._capacity is not None:
+            assert_capacity(self._used, self._capacity, self._taken + size)
+
+    def take(self, size: int) -> None:
+        with self._lock:
+            self._taken += size
+        self.need(0)
+
+
+def _each_table(names, work: Callable[[str], int], room: _Room) -> dict[str, int]:
     """Run ``work`` for every table, several at a time, so that small tables do not wait in line."""
+
+    def one(table: str) -> int:
+        room.need(0)
+        size = work(table)
+        room.take(size)
+        return size
+
     with ThreadPoolExecutor(PARALLELISM) as pool:
-        return dict(zip(names, pool.map(work, names)))
+        return dict(zip(names, pool.map(one, names)))
 
 
 def folder_size(spark: SparkSession, path: str) -> int:
-    """Bytes below a folder, from the file system listing."""
+    """Bytes below a folder, from the file system listing; 0 if there is none."""
     fs, target = hadoop_path(spark, path)
-    return fs.getContentSummary(target).getLength()
+    return fs.getContentSummary(target).getLength() if fs.exists(target) else 0
 
 
 def _record(
@@ -100,7 +134,8 @@ def write_snapshot(
     Rows go through one range shuffle and are written once; the stored position column gives row
     numbers and pages later without another sort. With ``ordered`` off there is no shuffle: rows
     keep the order of the input, and so do the pages. An existing version is an error, and so is
-    an empty set of tables. When a table fails, the whole version is taken away again.
+    an empty set of tables. When a table fails, the whole version is taken away again. A full storage
+    is an error before anything is written; one that gets full ends the write at the table that does not fit.
     """
     guard_writable(storage)
     if not dfs:
@@ -117,7 +152,8 @@ def write_snapshot(
         return folder_size(spark, path)
 
     with _whole_version(spark, storage, data, version):
-        return _finish(spark, storage, data, version, _each_table(list(dfs), store), tags)
+        room = _Room(spark, storage, data, version)
+        return _finish(spark, storage, data, version, _each_table(list(dfs), store, room), tags)
 
 
 @contextmanager
@@ -184,7 +220,8 @@ def write_fanout(
     """Store the same tables in every storage; returns the manifest rows of the recording ones.
 
     The tables are computed and sorted once: the other storages get copies of the first one's
-    files, in the same order and with the same positions.
+    files, in the same order and with the same positions. The size is known by then, so a storage
+    without room for it is an error before anything is copied there.
     """
     for s in storages:
         guard_writable(s)
@@ -205,7 +242,10 @@ def write_fanout(
             return folder_size(spark, path)
 
         with _whole_version(spark, s, data, version):
-            rows = _finish(spark, s, data, version, _each_table(list(dfs), copy), tags)
+            room = _Room(spark, s, data, version)
+            if s.capacity is not None:
+                room.need(sum(folder_size(spark, table_path(first.root, data, version, table)) for table in dfs))
+            rows = _finish(spark, s, data, version, _each_table(list(dfs), copy, room), tags)
         if s.record:
             recorded.append(rows)
     out = local_frame(spark, [], MANIFEST)
@@ -268,7 +308,8 @@ def clear_version(spark: SparkSession, storage: Storage, data: str, version: int
         return folder_size(spark, path)
 
     with _whole_version(spark, storage, data, version + 1):
-        rows = _finish(spark, storage, data, version + 1, _each_table(sorted(names), carry), tags)
+        room = _Room(spark, storage, data, version + 1)
+        rows = _finish(spark, storage, data, version + 1, _each_table(sorted(names), carry, room), tags)
         if path_exists(spark, catalog_path(storage.root, data, version)):
             write_catalog(read_stored_catalog(spark, storage.root, data, version), storage, data, version + 1)
     return rows

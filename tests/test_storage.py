@@ -68,6 +68,35 @@ def test_unordered_snapshot_has_no_shuffle_and_whole_pages(spark, root):
     assert sorted(sum(pages, [])) == list(range(2_000))
 
 
+def test_a_full_storage_is_refused_before_tables_are_computed(spark, root):
+    seen = spark.sparkContext.accumulator(0)
+
+    def count(batches):
+        for batch in batches:
+            seen.add(len(batch))
+            yield batch
+
+    df = spark.range(500).mapInPandas(count, "id long")
+    held = write_snapshot({"t": df}, Storage("disk", root), "d", 1).agg(F.sum("size")).head()[0]
+    before = seen.value
+    with pytest.raises(ValueError, match="not enough capacity: 0 free"):
+        write_snapshot({"t": df}, Storage("disk", root, capacity=held), "d", 2)
+    assert seen.value == before and not os.path.exists(f"{root}/data=d/version=2")
+    # There is room for some tables, but not for all: those after the first one too many are not written.
+    dfs = {f"t{i}": df for i in range(40)}
+    with pytest.raises(ValueError, match="not enough capacity"):
+        write_snapshot(dfs, Storage("disk", root, capacity=held + held // 2), "d", 2)
+    assert seen.value - before < 40 * 500
+    assert write_snapshot({"t": df}, Storage("disk", root, capacity=3 * held), "d", 2).count() == 1
+
+
+def test_copies_are_refused_before_anything_is_copied(spark, root, tmp_path):
+    small = Storage("small", str(tmp_path / "small"), capacity=200)
+    with pytest.raises(ValueError, match="not enough capacity: 200 free"):
+        write_fanout({"t": spark.range(100)}, [Storage("disk", root), small], "d", 1)
+    assert read_manifest(spark, root).count() == 1 and not os.path.exists(f"{small.root}/data=d/version=1")
+
+
 def test_snapshot_refusals(spark, root):
     with pytest.raises(ValueError, match="nothing"):
         write_snapshot({}, Storage("disk", root), "d", 1)
