@@ -9,10 +9,11 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from checks import Registry, table
 from snapforge.operators.graph import break_edges, cycle_edges, dependency_levels, load_order, reachability
+from snapforge.operators.paging import number_rows
+from snapforge.session import keep
 
 _EDGES = """SELECT concat('orders/', o_orderkey) AS src, concat('customer/', o_custkey) AS ref FROM orders
     UNION SELECT concat('customer/', c_custkey), concat('nation/', c_nationkey) FROM customer
@@ -74,9 +75,10 @@ def register(r: Registry) -> None:
     )
     def fk_levels_deep(spark, d):
         """Three chains, in which each order refers to the one before it: as deep as a third of the table is long."""
-        before = F.lag("o_orderkey").over(Window.partitionBy(F.col("o_orderkey") % 3).orderBy("o_orderkey"))
-        orders = table(spark, d, "orders").select("o_orderkey", before.alias("ref"))
-        edges = _edge(orders.filter("ref is not null"), "orders", "o_orderkey", "orders", "ref")
+        orders = table(spark, d, "orders").select("o_orderkey", (F.col("o_orderkey") % 3).alias("third"))
+        numbered = keep(number_rows(orders.filter("o_orderkey is not null"), ["third", "o_orderkey"]), "numbered")
+        before = numbered.select((F.col("row_num") + 1).alias("row_num"), "third", F.col("o_orderkey").alias("ref"))
+        edges = _edge(numbered.join(before, ["row_num", "third"]), "orders", "o_orderkey", "orders", "ref")
         return dependency_levels(edges, orders.select(F.concat(F.lit("orders/"), "o_orderkey").alias("node")))
 
     @r.add(

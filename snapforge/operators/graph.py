@@ -1,8 +1,8 @@
 """Order, reachability and cycles of foreign-key edges.
 
 An edge ``src -> ref`` says that src refers to ref, so ref has to exist first. Every round writes
-its result to the scratch folder: the plan of a round never grows with the rounds before it, and
-the number of rounds is the depth of the graph, not its size.
+its result to the scratch folder: the plan of a round never grows with the rounds before it. Deep
+graphs are contracted first, so that the rounds of their levels grow with the logarithm of the size.
 """
 
 from __future__ import annotations
@@ -22,6 +22,8 @@ from snapforge.session import keep, local_frame, scratch_path
 COMPACT = 8
 # Most edges whose levels one task finds at once (some 50 MB).
 AT_ONCE = 1 << 18
+# A round of levels that drops less than this part of the edges is the last one; the rest is contracted.
+LEAST_DROP = 64
 
 
 def catalog_edges(foreign_keys: DataFrame) -> DataFrame:
@@ -40,31 +42,40 @@ def _pairs(edges: DataFrame) -> DataFrame:
 def _levels_at_once(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     """Levels of the nodes that have edges, of all edges of a graph; those into or on a cycle are marked, and their level has no meaning.
 
-    A node is done in the round after the last node that it refers to; only its edges are looked at then.
+    An edge (src, ref) stands for ``steps`` levels; with ``ground`` it leads to level 0, whatever its ref. A node is done in
+    the round after the last node that it refers to; only its edges are looked at then.
     """
     frames = [b for b in batches if len(b)]
     if not frames:
         return
     edges = pd.concat(frames)
     codes, names = pd.factorize(pd.concat([edges["src"], edges["ref"]], ignore_index=True))
-    src, ref = codes[: len(edges)], codes[len(edges) :]
+    src, ref, steps, ground = codes[: len(edges)], codes[len(edges) :], edges["steps"].to_numpy(), edges["ground"].to_numpy()
+    level = np.zeros(len(names), np.int64)
+    np.maximum.at(level, src[ground], steps[ground])
+    src, ref, steps = src[~ground], ref[~ground], steps[~ground]
     order = np.argsort(ref, kind="stable")
     starts = np.searchsorted(ref[order], np.arange(len(names) + 1))
     waits = np.bincount(src, minlength=len(names))
-    level = np.where(waits == 0, 0, -1)
-    done, turn = np.flatnonzero(waits == 0), 0
+    done = np.flatnonzero(waits == 0)
     while len(done):
-        turn += 1
         n = starts[done + 1] - starts[done]
-        into = src[order[np.repeat(starts[done] - np.cumsum(n) + n, n) + np.arange(n.sum())]]
-        less, times = np.unique(into, return_counts=True)
+        into = order[np.repeat(starts[done] - np.cumsum(n) + n, n) + np.arange(n.sum())]
+        np.maximum.at(level, src[into], level[ref[into]] + steps[into])
+        less, times = np.unique(src[into], return_counts=True)
         waits[less] -= times
         done = less[waits[less] == 0]
-        level[done] = turn
-    stuck = level < 0
-    level[stuck] = level.max(initial=0) + 1
+    stuck = waits > 0
+    level[stuck] = level[~stuck].max(initial=0) + 1
     listed = level > 0
-    yield pd.DataFrame({"node": names[listed], "level": level[listed].astype("int32"), "stuck": stuck[listed]})
+    yield pd.DataFrame({"node": names[listed], "level": level[listed], "stuck": stuck[listed]})
+
+
+def _found_at_once(edges: DataFrame) -> DataFrame:
+    """``node``, ``level``, ``stuck`` of the edges src, ref, steps; a null ref is the ground."""
+    kind = edges.schema["src"].dataType.simpleString()
+    given = edges.select("src", F.coalesce("ref", "src").alias("ref"), "steps", F.col("ref").isNull().alias("ground"))
+    return given.coalesce(1).mapInPandas(_levels_at_once, f"node {kind}, level long, stuck boolean")
 
 
 def _peel(pairs: DataFrame, nodes: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
@@ -78,12 +89,15 @@ def _peel(pairs: DataFrame, nodes: DataFrame | None = None) -> tuple[DataFrame,
     every = pairs.select(F.col("src").alias("node")).union(pairs.select("ref"))
     if nodes is not None:
         every = every.union(nodes.select("node"))
-    kind = pairs.schema["src"].dataType.simpleString()
-    found = keep(proper.select("src", "ref").coalesce(1).mapInPandas(_levels_at_once, f"node {kind}, level int, stuck boolean"), "levels")
-    levels = every.distinct().join(found.drop("stuck"), "node", "left").withColumn("level", F.coalesce("level", F.lit(0)))
+    found = keep(_found_at_once(proper.select("src", "ref", F.lit(1).cast("long").alias("steps"))), "levels")
+    levels = every.distinct().join(found.drop("stuck"), "node", "left")
+    return levels.select("node", F.coalesce("level", F.lit(0)).cast("int").alias("level")), _stuck_edges(proper, found)
+
+
+def _stuck_edges(proper: DataFrame, found: DataFrame) -> DataFrame:
     stuck = found.filter("stuck").select("node")
     left = proper.join(stuck, F.col("src") == F.col("node"), "left_semi").join(stuck, F.col("ref") == F.col("node"), "left_semi")
-    return levels, left.select("src", "ref")
+    return left.select("src", "ref")
 
 
 def _peel_by_rounds(pairs: DataFrame, nodes: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
@@ -91,7 +105,8 @@ def _peel_by_rounds(pairs: DataFrame, nodes: DataFrame | None = None) -> tuple[D
 
     A round drops the edges whose ref has no edge of its own any more. The nodes that still are the
     src of an edge go to a folder of the round, and the level of a node is the last round that lists
-    it. All rounds are read as one table, so no plan grows with the depth.
+    it. All rounds are read as one table, so no plan grows with the depth. When a round drops few
+    edges, the rest is deep and goes to ``_levels_by_contraction``.
     """
     spark = pairs.sparkSession
     every = pairs.select(F.col("src").alias("node")).union(pairs.select("ref"))
@@ -99,7 +114,7 @@ def _peel_by_rounds(pairs: DataFrame, nodes: DataFrame | None = None) -> tuple[D
         every = every.union(nodes.select("node"))
     path, level = scratch_path(spark, "levels"), 0
     every.distinct().write.parquet(f"{path}/level=0")
-    left = pairs.filter("src <> ref")
+    left, deep = pairs.filter("src <> ref"), None
     size = left.count()
     while size:
         level += 1
@@ -109,7 +124,63 @@ def _peel_by_rounds(pairs: DataFrame, nodes: DataFrame | None = None) -> tuple[D
         before, size, left = size, rest.count(), rest
         if size == before:
             break
-    return spark.read.parquet(path).groupBy("node").agg(F.max("level").alias("level")), left
+        if size and (before - size) * LEAST_DROP < before:
+            deep = _levels_by_contraction(left)
+            left = _stuck_edges(left, deep)
+            break
+    listed = spark.read.parquet(path).select("node", F.col("level").cast("long"))
+    if deep is not None:  # nodes without edges in the rest have the level of this round, at most
+        listed = listed.union(deep.select("node", F.col("level") + level))
+    return listed.groupBy("node").agg(F.max("level").cast("int").alias("level")), left
+
+
+def _levels_by_contraction(pairs: DataFrame) -> DataFrame:
+    """``node``, ``level``, ``stuck`` of the nodes that are the src of ``pairs`` (no self references), for graphs that are deep.
+
+    An edge to a node without edges leads to the ground (ref null). A node with a single edge is as many steps above the
+    end of that edge as it stands for, so it can be left out: the edges to it go on to that end and stand for more
+    steps; of several edges between two nodes the longest counts. A round leaves out those whose coin shows heads, unless the
+    coin of the end does so too; so no two neighbours go at once, and a quarter of such nodes goes. The rest, once it has at
+    most ``AT_ONCE`` edges, is done by one task, and the nodes left out get their levels in the opposite order. All
+    rounds together read and write a few times the edges. A graph that is deep although its nodes have several edges
+    each (no chains, at no stage) takes about as many rounds as it is deep.
+    """
+    spark, kind = pairs.sparkSession, pairs.schema["src"].dataType.simpleString()
+    own = pairs.select(F.col("src").alias("ref")).distinct().withColumn("_own", F.lit(True))
+    grounded = pairs.join(own, "ref", "left").select("src", F.when(F.col("_own"), F.col("ref")).alias("ref"))
+    edges = keep(grounded.distinct().withColumn("steps", F.lit(1).cast("long")), "edges")
+    removed: list[DataFrame] = []
+    turn = 0
+    while True:
+        counts = edges.agg(F.count("*").alias("n"), F.count("ref").alias("inner")).head()
+        if counts["n"] <= AT_ONCE:
+            found = _found_at_once(edges)
+            break
+        turn += 1
+        single = edges.groupBy("src").agg(F.count("*").alias("_n"), F.max("ref").alias("to"), F.max("steps").alias("by"))
+        single = single.filter((F.col("_n") == 1) & (F.col("to").isNull() | (F.col("to") != F.col("src"))))
+        heads = lambda c: F.xxhash64(F.col(c), F.lit(turn)) % 2 == 0
+        out = single.filter(heads("src") & (F.col("to").isNull() | ~heads("to"))).select(F.col("src").alias("node"), "to", "by")
+        out = keep(out, "removed")
+        if out.isEmpty():
+            # Without a way to the ground, or without nodes of one edge, all that is left reaches a cycle.
+            if counts["n"] == counts["inner"] or single.isEmpty():
+                found = edges.select(F.col("src").alias("node")).distinct().select("node", F.lit(0).cast("long").alias("level"), F.lit(True).alias("stuck"))
+                break
+            continue
+        removed.append(out)
+        kept = edges.join(out.select(F.col("node").alias("src")), "src", "left_anti").join(out, F.col("ref") == F.col("node"), "left")
+        ref = F.when(F.col("node").isNull(), F.col("ref")).otherwise(F.col("to"))
+        moved = kept.select("src", ref.alias("ref"), (F.col("steps") + F.coalesce("by", F.lit(0))).alias("steps"))
+        edges = keep(moved.groupBy("src", "ref").agg(F.max("steps").alias("steps")), "edges")
+    path, schema = scratch_path(spark, "contracted"), f"node {kind}, level long, stuck boolean"
+    found.write.parquet(path)
+    while removed:
+        known = spark.read.schema(schema).parquet(path).select(F.col("node").alias("to"), "level", "stuck")
+        level = F.coalesce("level", F.lit(0)) + F.col("by")
+        back = removed.pop().join(known, "to", "left").select("node", level.alias("level"), F.coalesce("stuck", F.lit(False)).alias("stuck"))
+        back.write.mode("append").parquet(path)
+    return spark.read.schema(schema).parquet(path)
 
 
 def dependency_levels(edges: DataFrame, nodes: DataFrame | None = None) -> DataFrame:

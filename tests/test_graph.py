@@ -180,3 +180,39 @@ def test_levels_at_once_and_by_rounds_agree(spark, monkeypatch, seed):
 def test_a_deep_chain(spark):
     edges = spark.range(1, 5_000).selectExpr("id AS src", "id - 1 AS ref")
     assert dependency_levels(edges).filter("node = level").count() == 5_000
+
+
+def test_deep_graphs_beyond_one_task(spark, monkeypatch):
+    """Chains, a tree of chains, and a chain into a cycle, with more edges than one task takes: in a few rounds, not one a level."""
+    monkeypatch.setattr(graph, "AT_ONCE", 100)
+    rounds = []
+    monkeypatch.setattr(graph, "keep", lambda df, label, keep=graph.keep: (rounds.append(label), keep(df, label))[1])
+    chain = [(f"a{i}", f"a{i - 1}") for i in range(1, 1_500)]
+    tree = [(f"b{i}", f"b{i - 1 if i % 100 else i // 4}") for i in range(1, 1_000)] + [("b999", "a7"), ("b1", "a1400")]
+    want = {"a0": 0} | {f"a{i}": i for i in range(1, 1_500)} | {"alone": 0}
+    for i in range(1_000):
+        want[f"b{i}"] = max([want[r] + 1 for s, r in tree if s == f"b{i}"], default=0)
+    frame = local_frame(spark, chain + tree, "src string, ref string")
+    nodes = local_frame(spark, [("alone",)], "node string")
+    assert levels_of(dependency_levels(frame, nodes)) == want
+    assert len(rounds) < 100
+    ring = [(f"c{i}", f"c{(i + 1) % 300}") for i in range(300)] + [(f"d{i}", f"d{i - 1}" if i else "c0") for i in range(300)]
+    mixed = local_frame(spark, chain + ring + [("c5", "a3"), ("a0", "a-1")], "src string, ref string")
+    levels, left = graph._peel(mixed)
+    assert pairs_of(left) == sorted(ring)
+    found = levels_of(levels)
+    assert [found[f"a{i}"] for i in range(-1, 1_500)] == list(range(1_501))
+    with pytest.raises(ValueError, match="cycle"):
+        dependency_levels(mixed)
+
+
+def test_levels_by_contraction_of_random_graphs(spark, monkeypatch):
+    monkeypatch.setattr(graph, "AT_ONCE", 10)
+    rng = random.Random(5)
+    pairs = sorted({(f"n{a:03}", f"n{rng.randrange(max(0, a - 9), a):03}") for a in range(1, 300) for _ in range(rng.choice((1, 1, 1, 2)))})
+    level = {"n000": 0}
+    for a, b in pairs:
+        level[a] = max(level.get(a, 0), level[b] + 1)
+    found = graph._levels_by_contraction(local_frame(spark, pairs, "src string, ref string"))
+    assert {r["node"]: r["level"] for r in found.collect()} == {k: v for k, v in level.items() if v}
+    assert found.filter("stuck").isEmpty()
