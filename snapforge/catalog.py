@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from snapforge.functions.names import qualified_name
 from snapforge.functions.types import type_facts
-from snapforge.session import local_frame
+from snapforge.session import keep, local_frame
 
 SCHEMAS = {
     "tables": "schema string, table string",
@@ -227,26 +227,40 @@ def filter_schemas(catalog: Catalog, schemas: Iterable[str]) -> Catalog:
     return catalog.with_frames(**frames, schemas=tuple(s for s in catalog.schemas or () if s in wanted))
 
 
+def _unlike(rows: DataFrame, known: DataFrame) -> DataFrame:
+    """Distinct ``rows`` that no row of ``known`` equals; a null equals nothing."""
+    both = rows.withColumn("_known", F.lit(0)).unionByName(known.dropna().withColumn("_known", F.lit(1)))
+    return both.groupBy(*rows.columns).agg(F.max("_known").alias("_known")).filter("_known = 0").drop("_known")
+
+
 def validate_fk_catalog(catalog: Catalog) -> DataFrame:
-    """Foreign keys that name an unknown table, or an unknown referenced column."""
+    """Foreign keys that name an unknown table, or an unknown referenced column.
+
+    Distinct names are looked up, not foreign keys, so a table that many of them name is one row; the names that are
+    not known are written (when this is called), and the foreign keys are only read for those.
+    """
     fks = catalog.foreign_keys
     tables = catalog.tables.select(qualified_name(F.col("schema"), F.col("table")).alias("qname"))
     known = catalog.columns.select(
         qualified_name(F.col("schema"), F.col("table")).alias("qname"), F.col("name").alias("column")
     )
-    src = fks.select(
-        "constraint", qualified_name(F.col("src_schema"), F.col("src_table")).alias("qname")
-    ).join(tables, "qname", "left_anti")
+    src = fks.select("constraint", qualified_name(F.col("src_schema"), F.col("src_table")).alias("qname"))
     ref = fks.select("constraint", qualified_name(F.col("ref_schema"), F.col("ref_table")).alias("qname"), "ref_columns")
-    lost = ref.join(tables, "qname", "left_anti")
-    columns = (
-        ref.join(tables, "qname", "left_semi")
-        .select("constraint", "qname", F.explode("ref_columns").alias("column"))
-        .join(known, ["qname", "column"], "left_anti")
-    )
-    none = F.lit(None).cast("string")
+    pairs = ref.select("constraint", "qname", F.explode("ref_columns").alias("column"))
+    # Aggregates hold each name once, where joins would sort every row of both sides.
+    lost = keep(_unlike(ref.select("qname"), tables), "unknown")
+    missing = keep(_unlike(pairs.select("qname", "column"), known), "unknown").join(lost, "qname", "left_anti")
+
+    def of(rows: DataFrame, names: DataFrame, label: str) -> DataFrame:
+        """``rows`` whose names are in ``names``, nulls included."""
+        renamed = names.select(*[F.col(c).alias(f"_{c}") for c in names.columns])
+        same = [F.col(c).eqNullSafe(F.col(f"_{c}")) for c in names.columns]
+        found = rows.join(renamed, same, "left_semi")
+        column = F.col("column") if "column" in names.columns else F.lit(None).cast("string").alias("column")
+        return found.select("constraint", F.lit(label).alias("problem"), "qname", column)
+
     return (
-        src.select("constraint", F.lit("unknown source table").alias("problem"), "qname", none.alias("column"))
-        .unionByName(lost.select("constraint", F.lit("unknown referenced table").alias("problem"), "qname", none.alias("column")))
-        .unionByName(columns.select("constraint", F.lit("unknown referenced column").alias("problem"), "qname", "column"))
+        of(src, keep(_unlike(src.select("qname"), tables), "unknown"), "unknown source table")
+        .unionByName(of(ref, lost, "unknown referenced table"))
+        .unionByName(of(pairs, keep(missing, "unknown"), "unknown referenced column"))
     )

@@ -216,3 +216,21 @@ def test_levels_by_contraction_of_random_graphs(spark, monkeypatch):
     found = graph._levels_by_contraction(local_frame(spark, pairs, "src string, ref string"))
     assert {r["node"]: r["level"] for r in found.collect()} == {k: v for k, v in level.items() if v}
     assert found.filter("stuck").isEmpty()
+
+
+def test_foreign_keys_are_checked_by_distinct_names(spark, root):
+    """Names that many foreign keys share meet the catalog once; repeated and null names are listed as often as they come."""
+    fks = spark.range(2_000).selectExpr(
+        "concat('fk', id) AS constraint", "'s' AS src_schema", "if(id < 3, 'gone', 'a') AS src_table", "array('x') AS src_columns", "'s' AS ref_schema",
+        "if(id % 1000 = 7, 'lost', 'a') AS ref_table", "if(id % 1000 = 9, array('x', null, 'y', 'y'), array('x')) AS ref_columns",
+    )
+    fks.write.parquet(root)
+    c = Catalog.of(spark, columns=[Column("s", "a", "x", "bigint")], foreign_keys=spark.read.parquet(root))
+    found = validate_fk_catalog(c)
+    assert sorted((r["constraint"], r["problem"].split()[-1], r["problem"].split()[1], r["qname"], str(r["column"])) for r in found.collect()) == sorted(
+        [(f"fk{i}", "table", "source", "s.gone", "None") for i in range(3)]
+        + [(f"fk{i}", "table", "referenced", "s.lost", "None") for i in (7, 1007)]
+        + [(f"fk{i}", "column", "referenced", "s.a", x) for i in (9, 1009) for x in ("None", "y", "y")]
+    )
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("LeftSemi") == 3 and "LeftAnti" not in plan  # only unknown names, written before, meet the foreign keys
