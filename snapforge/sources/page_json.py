@@ -8,7 +8,8 @@ from pyspark.sql import types as T
 
 from snapforge.functions.codecs import DATETIME_FORMAT, decode_cells, encode_cells, row_key
 from snapforge.operators.paging import DEFAULT_BATCH, page_number, page_size
-from snapforge.sources.files import list_files
+from snapforge.session import MAX_PARTITIONS, delete_path, path_exists, scratch_path
+from snapforge.sources.files import join_files, list_files
 from snapforge.sources.page_documents import read_document_pages, read_document_totals
 
 # Fixed value: shape of the interchange document.
@@ -17,6 +18,9 @@ PAGE_SCHEMA = (
     "dataPages array<struct<pageNum: bigint, data: map<string, array<string>>, size: bigint>>"
 )
 ROWS_PER_LINE = 1_000
+# Bytes of a document that one task sorts, and rows whose width tells how many tasks that takes.
+DOCUMENT_PART = 64 << 20
+SAMPLE_ROWS = 10_000
 # Endings of files that are read from their start only.
 COMPRESSED = ("gz", "bz2", "zst", "lz4", "snappy", "deflate", "xz")
 
@@ -81,8 +85,8 @@ def write_table_document(
 ) -> None:
     """Write the table as one document in one file, a row a line, each page once and in order.
 
-    One file is one task, which sorts the lines by their number and spills what does not fit; only the key of each row
-    and its cells pass through it. Two rows of a page with the same key are not refused here.
+    Ranges of row numbers of about ``DOCUMENT_PART`` bytes are sorted by a task each; their files, in this order, are the
+    document, see ``join_files``. Two rows of a page with the same key are not refused here.
     """
     paged, rows, size = _paged(df, pk, size, batch)
     pages = rows // size + 1
@@ -105,7 +109,19 @@ def write_table_document(
     pair = F.to_json(F.create_map(key, encode_cells(df.schema, datetime_format)), {"ignoreNullFields": "false"})
     line = F.concat(before, F.expr("substring(_pair, 2, length(_pair) - 2)"), after)
     lines = paged.withColumn("_pair", pair).select("row_num", line.alias("value"))
-    lines.repartition(1).sortWithinPartitions("row_num").select("value").write.mode("errorifexists").text(path)
+    width = lines.sample(min(1.0, SAMPLE_ROWS / rows), 11).agg(F.avg(F.octet_length("value"))).head()[0] or 0
+    parts = max(1, min(rows, MAX_PARTITIONS, int(width * rows) // DOCUMENT_PART))
+    place = F.expr(f"cast((row_num - 1) * {parts}L div {rows}L as int)")
+    ordered = lines.repartitionById(parts, place).sortWithinPartitions("row_num").select("value")
+    if parts == 1:
+        ordered.write.mode("errorifexists").text(path)
+        return
+    if path_exists(df.sparkSession, path):
+        raise FileExistsError(f"{path} exists")
+    folder = scratch_path(df.sparkSession, "document")
+    ordered.write.text(folder)
+    join_files(df.sparkSession, folder, f"{path}/part-00000.txt")
+    delete_path(df.sparkSession, folder)
 
 
 def _compressed(spark: SparkSession, path: str) -> bool:
