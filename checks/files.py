@@ -5,8 +5,10 @@ from __future__ import annotations
 import io
 import zipfile
 from collections.abc import Iterator
+from itertools import groupby
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 from checks import Registry, table
@@ -14,18 +16,25 @@ from snapforge.functions.checksums import checksum_md5, checksum_sha256
 from snapforge.session import scratch_path
 from snapforge.sources.files import changed_files, expand_archive_parts, expand_archives, file_checksums, file_inventory, read_archives, write_file
 
+_PACKED_BYTES = 4 << 20
 
-def _pack(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """One zip per document, with its text and its language."""
+
+def _pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """One zip per document, with its text and its language; they leave the task in batches of bounded size."""
     for batch in batches:
-        packed = []
-        for row in batch.itertuples():
+        paths, packed, size = [], [], 0
+        for i in range(batch.num_rows):
+            doc_id, text, lang = (batch.column(c)[i].as_py() for c in ("doc_id", "text", "lang"))
             buffer = io.BytesIO()
             with zipfile.ZipFile(buffer, "w", zipfile.ZIP_DEFLATED) as z:
-                z.writestr(f"{row.doc_id}.txt", row.text)
-                z.writestr(f"{row.doc_id}.lang.json", row.lang)
+                z.writestr(f"{doc_id}.txt", text)
+                z.writestr(f"{doc_id}.lang.json", lang)
+            paths.append(f"{doc_id}.zip")
             packed.append(buffer.getvalue())
-        yield pd.DataFrame({"path": [f"{i}.zip" for i in batch["doc_id"]], "content": packed})
+            size += len(packed[-1])
+            if size >= _PACKED_BYTES or i == batch.num_rows - 1:
+                yield pa.RecordBatch.from_arrays([pa.array(paths, pa.string()), pa.array(packed, pa.binary())], ["path", "content"])
+                paths, packed, size = [], [], 0
 
 
 def _archive_files(spark, d: str) -> str:
@@ -48,9 +57,21 @@ def _archive_files(spark, d: str) -> str:
 
 
 def _page_files(spark, d: str) -> str:
-    """A folder with one text file per page; the writer ends each with a line feed."""
+    """A folder with one text file per page, in a folder of its own; each text ends with a line feed.
+
+    The tasks write the files: Spark's writer would move every file once more when it commits, one after the other.
+    """
     folder = scratch_path(spark, "pages")
-    table(spark, d, "pages").select("page_id", "html").write.partitionBy("page_id").text(folder)
+
+    def write(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        rows = (row for batch in batches for row in batch.itertuples(index=False))
+        for page, texts in groupby(rows, key=lambda row: row.page):
+            write_file(f"{folder}/page_id={page}/part-00000.txt", b"".join((row.html or "").encode() + b"\n" for row in texts))
+            yield pd.DataFrame({"page": [page]})
+
+    page = F.coalesce(F.col("page_id").cast("string"), F.lit("__HIVE_DEFAULT_PARTITION__")).alias("page")
+    pages = table(spark, d, "pages").select(page, "html").repartition("page").sortWithinPartitions("page")
+    pages.mapInPandas(write, "page string").count()
     return folder
 
 
@@ -112,5 +133,5 @@ def register(r: Registry) -> None:
            UNION ALL SELECT concat(doc_id, '.zip'), concat(doc_id, '.lang.json'), 'application/json', octet_length(encode(lang))::BIGINT, md5(lang) FROM documents"""
     )
     def expand_archives_documents(spark, d):
-        packed = table(spark, d, "documents").select("doc_id", "text", "lang").mapInPandas(_pack, "path string, content binary")
+        packed = table(spark, d, "documents").select("doc_id", "text", "lang").mapInArrow(_pack, "path string, content binary")
         return expand_archives(packed).select("path", "name", "content_type", "size", F.md5("content").alias("md5"))
