@@ -17,6 +17,7 @@ from snapforge.session import SHUFFLE_KEY, keep
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 # Words between white space, for the functions of the JVM.
 WORD = r"[^\x20\x09-\x0D]+"
+PIECE_BYTES = 4 << 20  # of a batch that are made Python objects at once
 
 
 def quoted(name: str) -> Column:
@@ -49,8 +50,15 @@ def text_bytes(column: pa.Array) -> list[bytes]:
     return [b"" if x is None else x for x in column.cast(pa.large_binary()).to_pylist()]
 
 
+def pieces(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    """``batch`` in pieces of about ``PIECE_BYTES``, so that no more of it at a time becomes Python objects."""
+    step = max(1, int(batch.num_rows * PIECE_BYTES / max(1, batch.nbytes)))
+    for at in range(0, batch.num_rows, step):
+        yield batch.slice(at, step)
+
+
 def with_computed(df: DataFrame, factory: Callable[[], Callable], ddl: str, source: str = "text") -> DataFrame:
-    """``df`` and new columns computed from the column ``source``, batch by batch.
+    """``df`` and new columns computed from the column ``source``, some rows of a batch at a time.
 
     ``factory`` makes one function per task; that gets an Arrow column and returns one Arrow array
     per field of ``ddl``. A column of ``df`` with the name of a new one is replaced.
@@ -66,9 +74,10 @@ def with_computed(df: DataFrame, factory: Callable[[], Callable], ddl: str, sour
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         compute = factory()
         for batch in batches:
-            made = [a if isinstance(a, pa.Array) else pa.array(a, t) for a, t in zip(compute(batch.column(at)), types)]
-            columns = batch.columns if at >= 0 else batch.columns[:-1]
-            yield pa.RecordBatch.from_arrays(columns + made, names=names)
+            for piece in pieces(batch):
+                made = [a if isinstance(a, pa.Array) else pa.array(a, t) for a, t in zip(compute(piece.column(at)), types)]
+                columns = piece.columns if at >= 0 else piece.columns[:-1]
+                yield pa.RecordBatch.from_arrays(columns + made, names=names)
 
     # Names by number on the way in: mapInArrow looks its columns up by names, in which dots have a meaning.
     return picked.toDF(*[f"c{i}" for i in range(len(picked.columns))]).mapInArrow(run, schema)

@@ -19,11 +19,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from snapforge.llm.common import arrow_schema, others, partitions, planes, quoted, text_bytes, union_all, unplanes
+from snapforge.llm.common import arrow_schema, others, partitions, pieces, planes, quoted, text_bytes, union_all, unplanes
 
 WINDOW = 20
 _NULL = -(1 << 63)  # stands for a null id, which counts as the smallest
-_FLUSH = 3_000_000  # windows that a task packs at once
+_FLUSH = 1_000_000  # windows that a task packs at once
 _WORDS = 400_000  # hashed words that a task remembers
 _PACKED = "place int, kind int, data binary"
 _PLACE = np.dtype([("doc", "<i8"), ("sub", "<u4"), ("start", "<u4")])
@@ -120,45 +120,55 @@ def _removals(cells: np.ndarray, groups: int) -> Iterator[tuple]:
 
 
 def _emit(docs: list[tuple], size: int, buckets: int, groups: int) -> Iterator[tuple]:
-    """Packed rows of some documents (id, sub, word codes): hashes by bucket, own repeats by group."""
+    """Packed rows of some documents (id, sub, word codes): hashes by bucket, own repeats by group; empties ``docs``."""
     docs.sort(key=lambda d: d[:2])
-    seen, hashes, cells = set(), [], []
-    for doc, sub, words in docs:
-        if (doc, sub) in seen:  # a repeated row is the same document
-            continue
-        seen.add((doc, sub))
-        hashes.append(rolling(words, size))
-        cell = np.empty(len(hashes[-1]), _PLACE)
-        cell["doc"], cell["sub"], cell["start"] = doc, sub, np.arange(len(cell))
-        cells.append(cell)
-    h, cell = np.concatenate(hashes), np.concatenate(cells)
-    if not len(h):
-        return
+    # A repeated row is the same document.
+    kept = [d for i, d in enumerate(docs) if not i or d[:2] != docs[i - 1][:2]]
+    docs.clear()
+    lengths = np.array([len(words) - size + 1 for _, _, words in kept], np.int64)
+    ends = np.cumsum(lengths)
+    ids = np.empty(len(kept), _PLACE)
+    ids["doc"], ids["sub"] = [d[0] for d in kept], [d[1] for d in kept]
+    h = np.empty(int(ends[-1]), np.uint64)
+    for i, end in enumerate(ends.tolist()):
+        words, kept[i] = kept[i][2], None
+        h[end - int(lengths[i]) : end] = rolling(words, size)
+
+    def cells(at: np.ndarray) -> np.ndarray:
+        """Places of the windows ``at``; for some windows at a time, since they take twice the room of the hashes."""
+        own = np.searchsorted(ends, at, side="right")
+        out = ids[own]
+        out["start"] = at - (ends - lengths)[own]
+        return out
+
     order = np.argsort(h, kind="stable")
-    again = np.zeros(len(h), bool)
-    again[order[1:]] = h[order[1:]] == h[order[:-1]]
-    if again.any():
-        yield from _removals(cell[again], groups)
-        h, cell = h[~again], cell[~again]
-    bucket = ((h >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)).astype(np.int64)
+    same = h[order[1:]] == h[order[:-1]]
+    again = np.sort(order[1:][same])
+    del order, same
+    left = np.arange(len(h), dtype=np.uint32 if len(h) < 1 << 32 else np.int64)
+    if len(again):
+        yield from _removals(cells(again), groups)
+        left = np.delete(left, again)
+    bucket = ((h[left] >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)).astype(np.int32)
     for b, part in _split(bucket):
-        yield _row(b, 0, _pack(cell[part], h[part]))
+        part = left[part]
+        yield _row(b, 0, _pack(cells(part), h[part]))
 
 
 def _hash_task(size: int, buckets: int, groups: int):
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
         codes, held, count = _Hashes(), [], 0
         for batch in batches:
-            ids = batch.column(0).to_pylist()
-            for doc, data in zip(ids, text_bytes(batch.column(1))):
-                words = data.split()
-                if len(words) < size:
-                    continue
-                held.append((_NULL if doc is None else doc, _sub(data), np.fromiter(map(codes.__getitem__, words), np.uint64, len(words))))
-                count += len(words)
-                if count > _FLUSH:
-                    yield from _emit(held, size, buckets, groups)
-                    held, count = [], 0
+            for piece in pieces(batch):
+                for doc, data in zip(piece.column(0).to_pylist(), text_bytes(piece.column(1))):
+                    words = data.split()
+                    if len(words) < size:
+                        continue
+                    held.append((_NULL if doc is None else doc, _sub(data), np.fromiter(map(codes.__getitem__, words), np.uint64, len(words))))
+                    count += len(words)
+                    if count > _FLUSH:
+                        yield from _emit(held, size, buckets, groups)
+                        held, count = [], 0
         if held:
             yield from _emit(held, size, buckets, groups)
 

@@ -3,9 +3,11 @@
 import math
 import os
 import sys
+import tracemalloc
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -14,6 +16,7 @@ sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
 import brute  # noqa: E402
 import corpus_pipeline  # noqa: E402
 from snapforge.llm import bpe, language, licenses, minhash, mixing, multi_index, queries, simhash, toxicity, tree_weighting, windows  # noqa: E402
+from snapforge.llm.common import with_computed  # noqa: E402
 from snapforge.llm.components import components  # noqa: E402
 
 LONG = " ".join(f"w{i % 997} tail{i}" for i in range(30_000))
@@ -227,6 +230,30 @@ def test_repeated_windows(spark, folder, docs):
     assert result(spark, folder, "op5_repeated_windows") == want
 
 
+def test_hashing_windows_takes_little_memory():
+    """Pipeline check: two million words of one batch, each of which starts a window, take about 25 bytes a word at a time."""
+    texts = [" ".join(str((i * 7919 + j * j) % 997) for j in range(2000)) for i in range(1000)]
+    batch = pa.RecordBatch.from_pydict({"doc_id": pa.array(range(1000), pa.int64()), "text": texts})
+    del texts
+    tracemalloc.start()
+    rows = [(place, kind) for b in windows._hash_task(20, 8, 4)(iter([batch])) for place, kind in zip(*(c.to_pylist() for c in b.columns[:2]))]
+    _, peak = tracemalloc.get_traced_memory()
+    tracemalloc.stop()
+    assert {p for p, kind in rows if not kind} == set(range(8)) and {p for p, kind in rows if kind} <= set(range(4))
+    assert peak < 90e6
+
+
+def test_batches_are_computed_in_pieces(spark):
+    """Pipeline check: a task makes a few MiB of a batch Python objects at once, and hands on as much."""
+    df = spark.range(40).selectExpr("id", "repeat(concat(id, ' '), 400000) AS text").coalesce(1)
+
+    def factory():
+        return lambda column: [[len(column)] * len(column)]
+
+    rows = with_computed(df, factory, "together long").select("id", "together").collect()
+    assert [r.id for r in rows] == list(range(40)) and max(r.together for r in rows) <= 8
+
+
 def test_repeated_windows_odd(odd, empty):
     rows = windows.remove_repeats(odd).collect()
     want = brute.cut_repeats(list({(r[0], r[1]): None for r in ODD}))
